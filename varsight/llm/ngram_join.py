@@ -231,13 +231,11 @@ class CountVectorTree:
         """Rows whose bound reaches the similarity, best bound first."""
         nodes = None
         for top, low, high in reversed(self.levels):
-            nodes = np.arange(len(top)) if nodes is None else nodes
+            nodes = np.arange(len(top)) if nodes is None else nodes[nodes < len(top)]
             bound = np.minimum(top[nodes], point).sum(axis=1)
             # overlap o reaches p/100 of the union when o (100 + p) >= p (a + b)
             fits = (bound * (100 + percent) >= percent * (low[nodes] + size)) & (high[nodes] * 100 >= percent * size) & (low[nodes] * percent <= 100 * size)
-            nodes = nodes[fits]
-            below = (nodes[:, None] * self.FAN + np.arange(self.FAN)).ravel()
-            nodes = below
+            nodes = (nodes[fits][:, None] * self.FAN + np.arange(self.FAN)).ravel()
         if nodes is None:
             nodes = np.arange(len(self.points))
         nodes = nodes[nodes < len(self.points)]
