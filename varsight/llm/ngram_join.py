@@ -9,10 +9,12 @@ everything below the node.  What the bound leaves is verified on the sets.
 The tree is cut into tasks by families: documents that could reach the
 similarity at all.  With J(A, B) >= t both sets keep at least t of their size
 in common, so of any order of the shingles the first ``n - ceil(t n) + k`` of
-each set share k or more.  Every document ships that prefix with k a tenth of
+each set share k or more.  Every document ships that prefix with k a fifth of
 its size; one that does not find k of its prefix shingles anywhere else links
-with nothing and leaves.  The rest form families over shared prefix shingles,
-and a family is one R-tree, or several tiles of one where it is large.
+with nothing and leaves.  Of the k or more that a pair shares, one is left when
+each set drops its k - 1 most widely held ones, so passages that many documents
+share drop out.  The rest form families over shared shingles, and a family is
+one R-tree, or several tiles of one where it is large.
 
 Exact copies are one class with one node; classes carry a 64-bit hash of the
 shingle set.  The result is exact up to collisions of 64-bit hashes.
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
@@ -34,6 +36,7 @@ from .graph import connected_components
 
 GROUPS = 64
 _SHIFT = np.uint64(58)  # the upper six bits name a shingle's group
+_MANY = 4096
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,7 @@ class JoinConfig:
     filter_bits: int = 1 << 23
 
     def least_common(self, n: np.ndarray) -> np.ndarray:
-        return np.maximum(1, n // 10)
+        return np.maximum(1, n // 5)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return np.minimum(n, n - (self.percent * n + 99) // 100 + self.least_common(n))
@@ -141,51 +144,65 @@ def _prefixes(cfg: JoinConfig, common: object) -> Callable:
     return run
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, class) to ``(class_id, hub, n)`` for keys that two or more classes hold.
+def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, class) to ``(class_id, key, held)`` for keys that several classes hold.
 
-    The hub of a key is its smallest class.  Only the last row of a batch is
-    carried over, so a key may be of any size.
+    held is the number of classes, or ``_MANY`` for that many and more, so that
+    no more than that of one key is kept at once.
     """
-    key = first = prev = None
-    waiting = False  # whether the hub of the open key has not been told yet
+    k = np.zeros(0, dtype=np.int64)
+    c = np.zeros(0, dtype=np.int64)
+    many = None  # a key of which _MANY rows have been told
+
+    def told(classes: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(keys), pa.array(held.astype(np.int64))], ["class_id", "key", "held"])
+
+    for batch in batches:
+        k = np.concatenate([k, batch.column(0).to_numpy()])
+        c = np.concatenate([c, batch.column(1).to_numpy()])
+        if many is not None and len(k):
+            more = int(np.searchsorted(k, many, side="right"))
+            if more:
+                yield told(c[:more], k[:more], np.full(more, _MANY))
+                k, c = k[more:], c[more:]
+            if len(k):
+                many = None
+        if not len(k):
+            continue
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        k, c = k[fresh], c[fresh]
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        last = cut[-1]
+        sizes = np.diff(cut)
+        held = np.repeat(sizes, sizes)
+        several = held > 1
+        if several.any():
+            yield told(c[:last][several], k[:last][several], np.minimum(held[several], _MANY))
+        k, c = k[last:], c[last:]
+        if len(k) >= _MANY:
+            yield told(c, k, np.full(len(k), _MANY))
+            many = k[0]
+            k, c = k[:0], c[:0]
+    if len(k) > 1:
+        yield told(c, k, np.full(len(k), min(len(k), _MANY)))
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, class) to ``(class_id, hub)``; a key's hub is its smallest class."""
+    key = first = None
     for batch in batches:
         k = batch.column(0).to_numpy()
         c = batch.column(1).to_numpy()
-        n = len(k)
-        if not n:
+        if not len(k):
             continue
-        new_key = np.empty(n, bool)
-        new_key[0] = key is None or k[0] != key
-        np.not_equal(k[1:], k[:-1], out=new_key[1:])
-        new_row = new_key.copy()
-        if not new_key[0]:
-            new_row[0] = c[0] != prev
-        new_row[1:] |= c[1:] != c[:-1]
-        start = np.maximum.accumulate(np.where(new_key, np.arange(n), -1))
+        new = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         hub = np.where(start >= 0, c[np.maximum(start, 0)], first if first is not None else 0)
-        other = new_row & ~new_key
-        members, hubs = [c[other]], [hub[other]]
-        firsts = np.flatnonzero(new_key)
-        ends = np.append(firsts[1:], n)
-        said = np.add.reduceat(other.astype(np.int64), firsts) > 0 if len(firsts) else np.zeros(0, bool)
-        head = other[: firsts[0]] if len(firsts) else other
-        if waiting and head.any():
-            members.append(np.array([first])), hubs.append(np.array([first]))
-            waiting = False
-        told = c[firsts[said]]
-        members.append(told), hubs.append(told)
-        if len(firsts):
-            waiting = not said[-1]
-            first = int(c[firsts[-1]])
-        assert not len(ends) or ends[-1] == n
-        key, prev = k[-1], c[-1]
-        m, h = np.concatenate(members), np.concatenate(hubs)
-        if len(m):
-            order = np.lexsort((h, m))
-            m, h = m[order], h[order]
-            cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(m[cut]), pa.array(h[cut]), pa.array(np.diff(np.append(cut, len(m))))], ["class_id", "hub", "n"])
+        key, first = k[-1], hub[-1]
+        other = hub != c
+        if other.any():
+            pairs = np.unique(np.stack([c[other], hub[other]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["class_id", "hub"])
 
 
 def _wanted_sets(width: int, bitmap: object) -> Callable:
@@ -329,17 +346,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
 
     keys = texts.select("text").mapInArrow(_prefixes(cfg, common), "key long, class_id long")
     keys = keys.repartition("key").sortWithinPartitions("key", "class_id")
-    shared = keys.mapInArrow(_shared_keys, "class_id long, hub long, n long")
-    shared = materialize(shared.groupBy("class_id", "hub").agg(F.sum("n").alias("n")), "shared")
-
+    repeated = keys.mapInArrow(_repeated_keys, "class_id long, key long, held long")
     sizes = classes.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"))
-    partner = F.ceil(F.col("n_shingles") * cfg.percent / 100)
-    alive = shared.groupBy("class_id").agg(F.sum("n").alias("found")).join(sizes, "class_id")
-    alive = alive.where(F.col("found") >= F.greatest(F.lit(1), F.floor(partner / 10))).select("class_id")
-    alive = materialize(alive, "alive")
-    edges = shared.join(alive, "class_id").select(F.col("class_id").alias("a"), F.col("hub").alias("b"))
-    families = connected_components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("family"))
-    members = alive.join(families, "class_id")
+    # k of the smallest set that can be similar; a set with fewer repeated keys links with nothing
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * cfg.percent / 100) / 5))
+    ranked = repeated.join(sizes, "class_id").withColumn("need", need)
+    mine = Window.partitionBy("class_id")
+    ranked = ranked.withColumn("found", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("held", "key")))
+    rare = ranked.where("place <= found - need + 1").select("key", "class_id")
+    edges = rare.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_hubs, "class_id long, hub long")
+    families = connected_components(edges.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
+    members = families.select(F.col("node").alias("class_id"), F.col("component").alias("family"))
     counts = members.groupBy("family").count().where("count > 1")
     members = members.join(counts, "family").withColumn("tiles", F.ceil(F.col("count") / cfg.tile_docs))
     members = materialize(members.select("class_id", "family", "count", "tiles"), "members")
