@@ -32,16 +32,18 @@ class ToxicityConfig:
 
     bits: size of the hash space.  fit_rows: bound of the labelled sample.
     features: how many features of the largest ratios the classifier sees.
-    smoothing, l2, steps: of the ratios and the regression.  threshold: least
-    score that counts as toxic.
+    caution: standard errors by which a ratio is lessened before features are
+    ranked.  smoothing, l2, steps: of the ratios and the regression.
+    threshold: least score that counts as toxic.
     """
 
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     fit_rows: int = 16_000
-    features: int = 4096
+    features: int = 2048
+    caution: float = 2.0
     smoothing: float = 1.0
-    l2: float = 1e-3
+    l2: float = 1.0
     steps: int = 400
     threshold: float = 0.3
 
@@ -148,7 +150,7 @@ def _regress(lists: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cf
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     cols = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
     value = ratios[cols]
-    w, bias = np.ones(len(ratios)) * 0.05, float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
+    w, bias = np.full(len(ratios), 0.1), float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
     m = np.zeros(len(w) + 1)
     v = np.zeros(len(w) + 1)
     n = max(len(labels), 1)
@@ -188,10 +190,10 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
         return ToxicityModel(cfg, table, np.zeros(1), float(np.log(share / (1 - share))))
     a = cfg.smoothing
     ratio = F.log((F.col("toxic") + a) / (n_toxic + 2 * a)) - F.log((F.col("other") + a) / (n - n_toxic + 2 * a))
-    held = (F.col("toxic") + F.col("other")).alias("held")
-    # strength grows with the ratio and with how many texts show it
-    best = counts.select("feature", ratio.alias("ratio"), held).where("held >= 2")
-    best = best.orderBy(F.desc(F.abs("ratio") * F.sqrt("held")), "feature").limit(cfg.features).toPandas()
+    # features whose ratio is large beyond its standard error
+    error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
+    best = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) - cfg.caution * error).alias("sure")).where("sure > 0")
+    best = best.orderBy(F.desc("sure"), "feature").limit(cfg.features).toPandas()
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
     sample = rows.mapInArrow(_held_features(cfg, sc.broadcast(table)), "toxic int, features array<int>").toPandas()
