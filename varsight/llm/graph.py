@@ -1,48 +1,75 @@
-"""Connected components as alternating star contractions of an edge table."""
+"""Connected components by alternating star contractions of an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub"))
-    moved = both.where("b > a").join(hub, "a").where("b != hub")
-    return moved.select(F.col("b").alias("a"), F.col("hub").alias("b")).distinct()
+def _contract(large: bool) -> Callable:
+    """Rows sorted by (a, b), to edges towards the smallest neighbour of each ``a``.
+
+    Large stars move the neighbours above ``a`` to the smallest of it and its
+    neighbours.  Small stars, whose neighbours all lie below ``a``, move ``a``
+    and the other neighbours to the smallest.  A node's rows stream through:
+    only the last row of a batch is carried over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = last = low = None
+        for batch in batches:
+            a = batch.column(0).to_numpy()
+            b = batch.column(1).to_numpy()
+            if not len(a):
+                continue
+            new = np.concatenate([[a[0] != node], a[1:] != a[:-1]])
+            fresh = new.copy()
+            fresh[0] |= b[0] != last
+            fresh[1:] |= b[1:] != b[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+            least = np.where(start >= 0, b[np.maximum(start, 0)], low if low is not None else 0)
+            node, last, low = a[-1], b[-1], least[-1]
+            if large:
+                keep = fresh & (b > a)
+                ends, hubs = b[keep], np.minimum(least, a)[keep]
+            else:
+                keep = fresh & (b != least)
+                ends, hubs = np.concatenate([b[keep], a[new]]), np.concatenate([least[keep], least[new]])
+            real = ends != hubs
+            if real.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ends[real]), pa.array(hubs[real])], ["a", "b"])
 
+    return run
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    hub = down.groupBy("a").agg(F.min("b").alias("hub"))
-    moved = down.join(hub, "a").where("b != hub").select(F.col("b").alias("a"), F.col("hub").alias("b"))
-    return moved.unionByName(hub.select("a", F.col("hub").alias("b"))).distinct()
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    return edges.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_contract(large), "a long, b long")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a long, b long)`` to ``(node, component)``; component is its smallest node.
 
-    Nodes that no edge between two different nodes names are absent.  Each
-    round halves path lengths or better, so rounds grow with the logarithm of
-    the longest path; every round's edges go to the shared folder.  Null ends
-    are ignored; an empty edge table gives an empty result.
+    Nodes that no edge between two different nodes names are absent.  A round
+    is two shuffles of the edges and at least halves path lengths; its edges go
+    to the shared folder.  Null ends are ignored; an empty edge table gives an
+    empty result.
     """
-    current = materialize(
-        edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-    )
+    down = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current = materialize(_stars(down, large=False), "edges")
     mark = None
     for _ in range(max_rounds):
-        row = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
-        if not row[0]:
+        row = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if row == mark or not row[0]:
             break
-        current = materialize(_small_star(_large_star(current)), "edges")
+        mark = row
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        current = materialize(_stars(_stars(both, large=True), large=False), "edges")
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -357,8 +357,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     edges = rare.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_hubs, "class_id long, hub long")
     families = connected_components(edges.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
     members = families.select(F.col("node").alias("class_id"), F.col("component").alias("family"))
-    counts = members.groupBy("family").count().where("count > 1")
-    members = members.join(counts, "family").withColumn("tiles", F.ceil(F.col("count") / cfg.tile_docs))
+    members = members.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("family"))).withColumn("tiles", F.ceil(F.col("count") / cfg.tile_docs))
     members = materialize(members.select("class_id", "family", "count", "tiles"), "members")
 
     low = F.col("class_id").bitwiseAND(cfg.filter_bits - 1)
