@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_join, packing, toxicity
+from . import bpe, fingerprints, langid, ngram_join, packing, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_jaccard_join, op3_toxicity, op5_bpe_round_trip, op9_language_id, op10_best_fit_packing)
+    found = (op1_ngram_jaccard_join, op3_toxicity, op5_bpe_round_trip, op6_document_fingerprints, op9_language_id, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
