@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, ngram_join, packing, secrets, toxicity
+from . import bpe, fingerprints, langid, ngram_join, packing, quality, secrets, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op5_bpe_round_trip, op6_document_fingerprints, op9_language_id, op10_best_fit_packing)
+    found = (op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_bpe_round_trip, op6_document_fingerprints, op9_language_id, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
