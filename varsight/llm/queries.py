@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, ngram_join, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_bpe_round_trip, op6_document_fingerprints, op9_language_id, op10_best_fit_packing)
+    found = (op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_bpe_round_trip, op6_document_fingerprints, op7_warc_index, op8_license_scan, op9_language_id, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
