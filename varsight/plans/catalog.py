@@ -1,18 +1,246 @@
-"""Registered analytics queries."""
+"""Registered analytics queries and the SQL each is held against.
+
+Bars come from ``lineitem``: flag and status are the ticker, unit prices its
+trades.  Announcements are the first days of its quarters.  Continuous results
+are rounded to eight places at this boundary only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import BacktestConfig, DecompositionConfig
+from ..functions import expressions as X
+from ..operators import alignment, backtest, cone, decomposition, estimators, premium, quality, report
+from ..sources import tables
+from ..streaming import bars as stream_bars
+from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "decompose_c2c"
 
+C2C = DecompositionConfig()
+GAP10 = DecompositionConfig(baseline_gap=10, ddof=1, zero_mean=False)
+BT = BacktestConfig()
+CONE_WINDOWS = (5, 20, 60)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), 8).alias(c) if t == "double" else F.col(f"`{c}`").cast("long").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+class Inputs:
+    """The tables a query starts from."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.lineitem = _table(spark, sf_dir, "lineitem")
+        self.bars = tables.lineitem_bars(self.lineitem)
+        self.announcements = tables.lineitem_announcements(self.lineitem)
+
+    def events(self, cfg: DecompositionConfig = C2C) -> DataFrame:
+        return decomposition.decompose_events(self.bars, self.announcements, cfg)
+
+    def trades(self, cfg: BacktestConfig = BT, **more) -> backtest.BacktestResult:
+        return backtest.run_backtest(self.bars, self.events(), cfg, C2C, **more)
+
+    def damaged(self) -> DataFrame:
+        """Bars with rows broken by rule: the thirteenth of a month has its high below its low."""
+        return self.bars.withColumn("high", F.when(F.dayofmonth("date") == 13, F.col("low") - 1).otherwise(F.col("high")))
+
+    def holed(self) -> DataFrame:
+        """Bars without the second half of every quarter's first month."""
+        hole = (F.month("date") % 3 == 1) & (F.dayofmonth("date") > 15)
+        return self.bars.where(~hole)
+
+
+_QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {}
+
+
+def _add(name: str, build: Callable[[Inputs], DataFrame], sql: str | None) -> None:
+    _QUERIES[name] = (build, sql)
+
+
+# bars and their quality
+_EXACT = {"daily_bars", "validated_bars"}  # plain arithmetic, equal to the last bit
+_add("daily_bars", lambda i: i.bars, oracle.daily_bars())
+_add(
+    "ohlcv_violations",
+    lambda i: quality.violations(i.damaged(), allow_zero_volume=False).select("ticker", "n_rows", "n_complete", "n_high_below_low", "first_high_below_low", "n_open_outside", "n_close_outside", "n_duplicated", "n_zero_volume"),
+    oracle.base("d AS (SELECT ticker, date, open, low, close, volume, CASE WHEN day(date) = 13 THEN low - 1 ELSE high END AS high FROM bars)")
+    + """SELECT ticker, count(*) AS n_rows, count(*) AS n_complete, count(*) FILTER (WHERE high < low) AS n_high_below_low, min(date) FILTER (WHERE high < low) AS first_high_below_low,
+  count(*) FILTER (WHERE open < low OR open > high) AS n_open_outside, count(*) FILTER (WHERE close < low OR close > high) AS n_close_outside, 0::BIGINT AS n_duplicated,
+  count(*) FILTER (WHERE volume = 0) AS n_zero_volume FROM d GROUP BY ticker""",
+)
+_add(
+    "validated_bars",
+    lambda i: tables.load_prices(i.damaged().withColumn("high", F.when(F.col("ticker").startswith("A"), F.col("high")).otherwise(F.greatest("high", "low", "open", "close"))), strict=False, min_rows=60),
+    oracle.base("g AS (SELECT ticker, date, open, low, close, volume, CASE WHEN day(date) = 13 THEN greatest(low - 1, low, open, close) ELSE greatest(high, low, open, close) END AS high FROM bars WHERE ticker NOT LIKE 'A%')")
+    + "SELECT ticker, date, open, high, low, close, volume FROM g",
+)
+_add(
+    "gap_runs",
+    lambda i: quality.detect_gaps(i.holed()),
+    "WITH " + oracle._BARS
+    + """, h AS (SELECT ticker, date FROM bars WHERE NOT (month(date) % 3 = 1 AND day(date) > 15)),
+span AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM h GROUP BY ticker),
+days AS (SELECT ticker, d::DATE AS date FROM span, LATERAL (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5),
+grid AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM days),
+miss AS (SELECT g.ticker, g.date, g.k - row_number() OVER (PARTITION BY g.ticker ORDER BY g.date) AS run FROM grid g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.ticker = g.ticker AND h.date = g.date))
+SELECT ticker, min(date) AS gap_start, max(date) AS gap_end, count(*) AS n_days FROM miss GROUP BY ticker, run HAVING count(*) > 4""",
+)
+_add(
+    "hourly_bars",
+    lambda i: stream_bars.windowed_bars(stream_bars.event_ticks(_table(i.spark, i.sf_dir, "events"))),
+    """SELECT event_type AS ticker, date_trunc('hour', ts) AS bar_start, round(first(value ORDER BY ts, value), 8) AS open, round(max(value), 8) AS high, round(min(value), 8) AS low,
+  round(last(value ORDER BY ts, value), 8) AS close, count(*) AS n_ticks FROM events GROUP BY event_type, date_trunc('hour', ts)""",
+)
+
+# returns and estimators
+_add("log_returns", lambda i: estimators.log_returns(i.bars), oracle.base() + "SELECT ticker, date, pp - 1 AS ret_pos, round(r, 8) AS log_return FROM s WHERE pp >= 1")
+_add("realized_variance_zero_mean", lambda i: estimators.realized_variance(i.bars), oracle.base() + "SELECT ticker, round(avg(r * r), 8) AS realized_variance, count(r) AS n_obs FROM s GROUP BY ticker")
+_add("realized_variance_demeaned", lambda i: estimators.realized_variance(i.bars, zero_mean=False, ddof=2), oracle.base() + "SELECT ticker, round(var_pop(r) * count(r) / (count(r) - 2), 8) AS realized_variance, count(r) AS n_obs FROM s GROUP BY ticker")
+_add("close_to_close_vol", lambda i: estimators.close_to_close(i.bars), oracle.base() + "SELECT ticker, round(stddev_samp(r) * sqrt(252), 8) AS sigma, count(r) AS n_obs FROM s GROUP BY ticker")
+_add("parkinson_vol", lambda i: estimators.parkinson(i.bars), oracle.base() + "SELECT ticker, round(sqrt(avg(h2) / (4 * ln(2))) * sqrt(252), 8) AS sigma, count(*) AS n_obs FROM s GROUP BY ticker")
+_add(
+    "yang_zhang_vol",
+    lambda i: estimators.yang_zhang(i.bars),
+    oracle.base("q AS (SELECT *, 0.34::DOUBLE / (1.34::DOUBLE + n::DOUBLE / (n - 2)) AS k FROM s WHERE pp >= 1)")
+    + "SELECT ticker, round(sqrt(greatest(0, var_samp(o) + any_value(k) * var_samp(c) + (1 - any_value(k)) * avg(u))) * sqrt(252), 8) AS sigma, count(*) + 1 AS n_obs FROM q GROUP BY ticker",
+)
+_add("rolling_close_to_close", lambda i: estimators.rolling_close_to_close(i.bars, 20), oracle.rolling_sigma("close_to_close", 20))
+_add("rolling_parkinson", lambda i: estimators.rolling_parkinson(i.bars, 20), oracle.rolling_sigma("parkinson", 20))
+_add("rolling_yang_zhang", lambda i: estimators.rolling_yang_zhang(i.bars, 20), oracle.rolling_sigma("yang_zhang", 20))
+
+# alignment
+_STATUS = "SELECT ticker, announcement_date, return_position, session_date, status, CASE WHEN status = 'duplicate' THEN 'same session as an earlier announcement' ELSE why END AS drop_reason FROM status"
+_add("aligned_events", lambda i: alignment.aligned_events(i.bars, i.announcements), oracle.base(oracle.status_ctes(C2C)) + "SELECT ticker, announcement_date, p AS return_position, session_date FROM al")
+_add("alignment_status", lambda i: alignment.align_events(i.bars, i.announcements), oracle.base(oracle.status_ctes(C2C)) + _STATUS)
+_OFFSET1 = DecompositionConfig(announcement_offset=1)
+_add("alignment_offset1", lambda i: alignment.align_events(i.bars, i.announcements, _OFFSET1), oracle.base(oracle.status_ctes(_OFFSET1)) + _STATUS)
+_add(
+    "alignment_counts",
+    lambda i: alignment.alignment_counts(alignment.align_events(i.bars, i.announcements)),
+    oracle.base(oracle.status_ctes(C2C)) + "SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS n_{k}" for k in ("aligned", "future", "insufficient", "duplicate")) + " FROM status GROUP BY ticker",
+)
+
+# decomposition
+for _name, _cfg in {
+    "decompose_c2c": C2C,
+    "decompose_parkinson": DecompositionConfig(estimator="parkinson"),
+    "decompose_yang_zhang": DecompositionConfig(estimator="yang_zhang", baseline_gap=3),
+    "decompose_prototype": DecompositionConfig.prototype(),
+    "decompose_gap10": GAP10,
+}.items():
+    _add(_name, lambda i, cfg=_cfg: i.events(cfg), oracle.decompose(_cfg))
+_add("decomposition_summary", lambda i: decomposition.summarize(i.events()), oracle.summary(C2C))
+_add(
+    "decomposition_timeline",
+    lambda i: report.decomposition_timeline(i.events()),
+    oracle.base(*oracle.event_ctes(C2C)) + f"SELECT {oracle.rounded(['ticker', 'session_date', 'sigma_baseline', 'sigma_jump', 'sigma_total', 'variance_ratio', 'jump_clamped'], oracle.PLAIN)} FROM events_out",
+)
+
+# premium
+_add(
+    "implied_jump_move",
+    lambda i: i.events().select("ticker", "session_date", X.implied_jump_move(F.lit(0.3), F.col("sigma_baseline"), 15).alias("implied_move")),
+    oracle.base(*oracle.event_ctes(C2C)) + f"SELECT ticker, session_date, round({oracle.constant_iv(0.3, 15)}, 8) AS implied_move FROM events_out",
+)
+_add("vrp_proxy", lambda i: premium.volatility_risk_premium(i.events()).per_event, oracle.premium(C2C, oracle.PROXY, "historical_proxy"))
+_add("vrp_constant_move", lambda i: premium.volatility_risk_premium(i.events(), implied_moves=0.01).per_event, oracle.premium(C2C, "0.01::DOUBLE", "constant_scenario"))
+_add("vrp_constant_iv", lambda i: premium.volatility_risk_premium(i.events(), implied_vols=0.25).per_event, oracle.premium(C2C, oracle.constant_iv(0.25), "constant_iv_scenario"))
+_add("vrp_stats_trimmed", lambda i: premium.volatility_risk_premium(i.events(), implied_moves=0.01, trim_quantile=0.1).stats, oracle.premium_stats(C2C, "0.01::DOUBLE", "constant_scenario", 0.1))
+_add("vrp_stats_iv", lambda i: premium.volatility_risk_premium(i.events(), implied_vols=0.25).stats, oracle.premium_stats(C2C, oracle.constant_iv(0.25), "constant_iv_scenario", 0.05))
+_add(
+    "vrp_scatter",
+    lambda i: report.premium_scatter(premium.volatility_risk_premium(i.events(), implied_moves=0.01).per_event),
+    oracle.base(*oracle.event_ctes(C2C), oracle.premium_cte("0.01::DOUBLE", "constant_scenario"))
+    + "SELECT ticker, session_date, round(implied_move, 8) AS implied_move, round(realized_move, 8) AS realized_move, round(max(greatest(implied_move, realized_move)) OVER (PARTITION BY ticker) * 1.1::DOUBLE, 8) AS axis_limit FROM pe",
+)
+
+# cones
+for _name, _est in {"cone_c2c": "close_to_close", "cone_parkinson": "parkinson", "cone_yang_zhang": "yang_zhang"}.items():
+    _add(_name, lambda i, e=_est: cone.vol_cone(i.bars, CONE_WINDOWS, estimator=e).withColumnRenamed("window", "window_sessions"), oracle.cone(_est, CONE_WINDOWS, cone.QUANTILES))
+
+# options and backtest
+_add(
+    "straddle_grid",
+    lambda i: X.with_straddle(i.bars, "b", F.col("close"), F.col("open"), F.col("high") / F.col("low") - 1 + 0.05, F.dayofmonth("date") / 252.0, 0.01).select("ticker", "date", "b.*"),
+    oracle.base() + "SELECT ticker, date, round(price, 8) AS price, round(delta, 8) AS delta, round(gamma, 8) AS gamma FROM ("
+    + oracle.straddle("SELECT ticker, date, close AS spot, open AS strike, high / low - 1 + 0.05::DOUBLE AS vol, day(date) / 252::DOUBLE AS tau FROM bars", "ticker, date", 0.01) + ")",
+)
+_add(
+    "entry_inputs",
+    lambda i: backtest.entry_inputs(i.bars, i.events(), BT, C2C).select("ticker", "session_date", "entry_date", "exit_date", "baseline", "history_events", "calibration", "usable"),
+    oracle.entry_inputs(BT, C2C),
+)
+for _name, _bt, _iv in [
+    ("trades_calendar", BT, {}),
+    ("trades_short_straddle", BacktestConfig(structure="short_straddle", exit_offset=2, rate=0.02), {}),
+    ("trades_constant_iv", BT, {"iv": 0.3, "iv_days": 15}),
+    ("trades_net_credit", BacktestConfig(capital_basis="net_credit", implied_move_multiplier=1.1), {}),
+    ("trades_slippage", BacktestConfig(slippage_vol_points=0.01, back_iv_multiplier=1.2, capital_basis="notional"), {}),
+]:
+    _more = {"implied_vols": _iv["iv"], "implied_vol_days": _iv["iv_days"]} if _iv else {}
+    _add(_name, lambda i, c=_bt, m=_more: i.trades(c, **m).trades, oracle.trades(_bt, C2C, backtest.TRADE_COLUMNS, **_iv))
+_add(
+    "equity_drawdown",
+    lambda i: i.trades().equity.select("ticker", "session_date", "return", "equity", "peak", "drawdown"),
+    oracle.base(*oracle.trade_ctes(BT, C2C), oracle.EQUITY) + 'SELECT ticker, session_date, round("return", 8) AS "return", round(equity, 8) AS equity, round(peak, 8) AS peak, round(equity - peak, 8) AS drawdown FROM eq2',
+)
+_add("trade_stats", lambda i: i.trades().stats.select(*oracle.STATS), oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes()) + f"SELECT {oracle.rounded(oracle.STATS, ('ticker',))} FROM stats")
+_add(
+    "skipped_events",
+    lambda i: i.trades().skipped,
+    oracle.base(*oracle.entry_ctes(BT, C2C)) + "SELECT ticker, count(*) FILTER (WHERE NOT (priceable AND calibration IS NOT NULL)) AS n_skipped, count(*) FILTER (WHERE priceable AND calibration IS NOT NULL) AS n_traded FROM ei GROUP BY ticker",
+)
+_add("events_per_year", lambda i: backtest.events_per_year(i.events()), oracle.base(*oracle.event_ctes(C2C), oracle.RATES.format(table="events_out")) + "SELECT ticker, round(events_per_year, 8) AS events_per_year FROM rates")
+
+# reports
+_CROSS = {"mean_sigma_baseline": "baseline", "mean_sigma_jump": "jump", "mean_sigma_total": "total", "mean_variance_ratio": "var_ratio", "mean_abs_event_return": "mean_move", "downside_share": "downside_share", "clamp_rate": "clamp_rate", "win_rate": "win_rate", "sharpe_ratio": "sharpe"}
+_add(
+    "cross_section",
+    lambda i: report.cross_section(decomposition.summarize(i.events()), i.trades().stats),
+    oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes(), f"sm_ AS ({oracle.summary_select(C2C)})")
+    + "SELECT ticker, n_events AS events, " + ", ".join(f"round({a}, 8) AS {b}" for a, b in _CROSS.items()) + " FROM sm_ LEFT JOIN stats USING (ticker)",
+)
+_add(
+    "jump_histogram",
+    lambda i: report.jump_histogram(i.events()),
+    oracle.base(*oracle.event_ctes(C2C))
+    + """, b AS (SELECT ticker, min(sigma_jump) AS lo, max(sigma_jump) AS hi FROM events_out GROUP BY ticker),
+k AS (SELECT e.ticker, least(20, floor((sigma_jump - lo) / ((hi - lo) / 20))::BIGINT + 1) AS bin, lo, hi FROM events_out e JOIN b USING (ticker))
+SELECT ticker, bin, round(lo + (hi - lo) / 20 * (bin - 1), 8) AS bin_lo, round(lo + (hi - lo) / 20 * bin, 8) AS bin_hi, count(*) AS n FROM k GROUP BY ticker, bin, lo, hi""",
+)
+_add(
+    "jump_summary",
+    lambda i: report.jump_summary(i.events()),
+    oracle.base(*oracle.event_ctes(C2C)) + "SELECT ticker, round(avg(sigma_jump), 8) AS mean_jump, round(median(sigma_jump), 8) AS median_jump, count(*) FILTER (WHERE sigma_jump = 0) AS n_zero, round(avg(sigma_baseline), 8) AS mean_baseline FROM events_out GROUP BY ticker",
+)
+_add(
+    "pnl_chart_data",
+    lambda i: report.pnl_chart(i.trades().equity),
+    oracle.base(*oracle.trade_ctes(BT, C2C), oracle.EQUITY)
+    + 'SELECT ticker, session_date, round("return", 8) AS "return", round(equity, 8) AS equity, round(running_peak, 8) AS running_peak, round(CASE WHEN running_peak != 0 THEN equity / running_peak - 1 END, 8) AS drawdown_ratio FROM eq2',
+)
+
+
+def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _QUERIES[name][0](Inputs(spark, sf_dir))
+    return df if name in _EXACT else _rounded(df)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: partial(_run, name) for name in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}
