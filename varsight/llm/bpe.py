@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .common import tokenizer_path
+from .common import map_arrow, tokenizer_path
 
 CHUNK_BYTES = 12 << 20
 CACHE_WORDS = 1_500_000
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", into:
             lists = pa.ListArray.from_arrays(pa.array(ranges, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, into])
 
-    return docs.drop(into).mapInArrow(run, schema)
+    return docs.drop(into).transform(map_arrow, run, schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, column: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -356,7 +356,7 @@ def decode(docs: DataFrame, path: str | None = None, column: str = "token_ids",
             texts = [bpe.decode(np.array(ids or [], dtype=np.int64)).decode("utf-8") for ids in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return docs.drop(into).mapInArrow(run, schema)
+    return docs.drop(into).transform(map_arrow, run, schema)
 
 
 def _digests(path: str) -> Callable:
@@ -384,4 +384,4 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     and empty texts have no tokens; repeated rows give repeated rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_digests(path or tokenizer_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.transform(map_arrow, _digests(path or tokenizer_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

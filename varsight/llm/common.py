@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +49,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _lean(run: Callable) -> Callable:
+    """``run``, after which the worker gives freed memory back, as it lives on for later tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of a bounded number of bytes, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = df.sparkSession.conf.get(key, "64m").rstrip("b")
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(_lean(run), schema)
+
+
 def crc_mod4(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; the held-out fold is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -54,10 +81,6 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_mod4(doc_id) == 2, F.lit(False))
 
 
-def either(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
-
-
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed public vocabulary file lies; the name is a parameter."""
     import public_tokenizers

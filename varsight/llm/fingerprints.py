@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textkernels as tk
+from .common import map_arrow
 
 BLOCK_CHARS = 600_000
 ROWS = 2048  # terms whose values are made at a time
@@ -137,7 +138,7 @@ def fingerprint(documents: DataFrame, cfg: FingerprintConfig = DEFAULT, column:
                 found, some = signatures([t or "" for t in rows.column(column).to_pylist()], cfg)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([as_text(s, k) for s, k in zip(found, some, strict=True)], pa.string())], [*rows.schema.names, into])
 
-    return documents.mapInArrow(run, schema)
+    return documents.transform(map_arrow, run, schema)
 
 
 def _compare(cfg: FingerprintConfig) -> Callable:
@@ -227,4 +228,4 @@ def compare_edited(documents: DataFrame, cfg: FingerprintConfig = DEFAULT) -> Da
     halos = rows.drop("bucket").join(F.broadcast(halo), "key").select("bucket", F.lit(True).alias("halo"), "key", "doc_id", "text")
     rows = rows.select("bucket", F.lit(False).alias("halo"), "key", "doc_id", "text").unionByName(halos)
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", "key", F.xxhash64("text"))
-    return rows.mapInArrow(_compare(cfg), _RESULT)
+    return rows.transform(map_arrow, _compare(cfg), _RESULT)

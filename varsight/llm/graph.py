@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 
 def _contract(large: bool) -> Callable:
@@ -49,7 +49,7 @@ def _contract(large: bool) -> Callable:
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    return edges.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_contract(large), "a long, b long")
+    return edges.repartition("a").sortWithinPartitions("a", "b").transform(map_arrow, _contract(large), "a long, b long")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

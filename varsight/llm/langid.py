@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textkernels as tk
-from .common import is_held_out, materialize, tokenizer_path
+from .common import is_held_out, map_arrow, materialize, tokenizer_path
 
 WORD_BYTES = 32
 CACHE_WORDS = 1_000_000
@@ -219,12 +219,12 @@ def fit(documents: DataFrame, cfg: LanguageConfig = DEFAULT) -> LanguageModel:
     picks = [rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.texts) for x in languages]
     chosen = reduce(DataFrame.unionByName, picks).distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
-    words = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.transform(map_arrow, _count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
     sizes = np.array([len(x) for x in table.pieces])
     p *= (0.2 ** sizes)[:, None]  # a start that favours no long piece
     for _ in range(cfg.rounds):
-        found = words.mapInArrow(_expect(cfg, languages, sc.broadcast(p)), "piece int, lang int, n double")
+        found = words.transform(map_arrow, _expect(cfg, languages, sc.broadcast(p)), "piece int, lang int, n double")
         found = found.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full_like(p, cfg.floor)
         counts[found["piece"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy()
@@ -286,7 +286,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """
     documents = documents.drop("lang_pred", "lang_score")
     schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
-    return documents.mapInArrow(_identify(documents.sparkSession.sparkContext.broadcast(model)), schema)
+    return documents.transform(map_arrow, _identify(documents.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def identify_documents(documents: DataFrame, cfg: LanguageConfig = DEFAULT) -> DataFrame:

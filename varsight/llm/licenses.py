@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
+from .common import map_arrow
 
 # Notices as their publishers word them. Fixed values.
 TEMPLATES = {
@@ -176,6 +177,6 @@ def scan_licenses(documents: DataFrame, cfg: LicenseConfig = DEFAULT, templates:
     """
     index = documents.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, cfg))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(index), "doc_id long, n_templates long, licenses string, best_containment double")
+    return rows.transform(map_arrow, _scan(index), "doc_id long, n_templates long, licenses string, best_containment double")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .common import materialize
+from .common import map_arrow, materialize
 from .graph import connected_components
 
 GROUPS = 64
@@ -94,7 +94,7 @@ def _classify(width: int) -> Callable:
 def classify(docs: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
     """``(doc_id, class_id, n_shingles)``: equal shingle sets have equal class ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_classify(cfg.width), "doc_id long, class_id long, n_shingles long")
+    return rows.transform(map_arrow, _classify(cfg.width), "doc_id long, class_id long, n_shingles long")
 
 
 def _new_classes(seen: set[int], classes: np.ndarray, sizes: np.ndarray) -> list[int]:
@@ -329,7 +329,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """members: (family, tile, class_id, label, probe); sets: (class_id, shingles)."""
     rows = members.join(sets, "class_id").select("family", "tile", "class_id", "label", "probe", "shingles")
     rows = rows.repartition("family", "tile").sortWithinPartitions("family", "tile", "class_id")
-    return rows.mapInArrow(_link_tiles(percent), "a long, b long")
+    return rows.transform(map_arrow, _link_tiles(percent), "a long, b long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
@@ -340,13 +340,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
 
     sample = classes.groupBy("class_id").agg(F.min("doc_id").alias("doc_id")).orderBy("class_id").limit(cfg.sample_docs)
     sampled = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("text")
-    counted = sampled.mapInArrow(_all_shingles(cfg.width), "key long, class_id long").distinct().groupBy("key").count()
+    counted = sampled.transform(map_arrow, _all_shingles(cfg.width), "key long, class_id long").distinct().groupBy("key").count()
     last = counted.where(F.col("count") >= cfg.sample_repeats).orderBy(F.desc("count"), "key").limit(cfg.common_limit).select("key").toPandas()
     common = sc.broadcast(np.sort(last["key"].to_numpy().astype(np.int64).view(np.uint64)))
 
-    keys = texts.select("text").mapInArrow(_prefixes(cfg, common), "key long, class_id long")
+    keys = texts.select("text").transform(map_arrow, _prefixes(cfg, common), "key long, class_id long")
     keys = keys.repartition("key").sortWithinPartitions("key", "class_id")
-    repeated = keys.mapInArrow(_repeated_keys, "class_id long, key long, held long")
+    repeated = keys.transform(map_arrow, _repeated_keys, "class_id long, key long, held long")
     sizes = classes.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"))
     # k of the smallest set that can be similar; a set with fewer repeated keys links with nothing
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * cfg.percent / 100) / 5))
@@ -354,7 +354,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     mine = Window.partitionBy("class_id")
     ranked = ranked.withColumn("found", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("held", "key")))
     rare = ranked.where("place <= found - need + 1").select("key", "class_id")
-    edges = rare.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_hubs, "class_id long, hub long")
+    edges = rare.repartition("key").sortWithinPartitions("key", "class_id").transform(map_arrow, _hubs, "class_id long, hub long")
     families = connected_components(edges.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
     members = families.select(F.col("node").alias("class_id"), F.col("component").alias("family"))
     members = members.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("family"))).withColumn("tiles", F.ceil(F.col("count") / cfg.tile_docs))
@@ -364,7 +364,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     bits = members.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((class_id & {63}) as int))")).alias("bits")).toPandas()
     words = np.zeros(cfg.filter_bits // 64, dtype=np.uint64)
     words[bits["word"].to_numpy().astype(np.int64)] = bits["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    sets = texts.select("text").mapInArrow(_wanted_sets(cfg.width, sc.broadcast(words)), "class_id long, shingles binary")
+    sets = texts.select("text").transform(map_arrow, _wanted_sets(cfg.width, sc.broadcast(words)), "class_id long, shingles binary")
 
     own = F.pmod(F.xxhash64("class_id"), F.col("tiles"))
     hub = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("count")) < cfg.hubs)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoded_chunks, encoder
-from .common import materialize, tokenizer_path
+from .common import map_arrow, materialize, tokenizer_path
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), repeats
 
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(rows.mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), _PIECES), "pieces")
+    pieces = materialize(rows.transform(map_arrow, _cut(path or tokenizer_path(), capacity, end_id), _PIECES), "pieces")
     lanes = pieces.groupBy("length", "lane").agg((F.max("lane_rank") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = materialize(lanes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lanes")
@@ -246,4 +246,4 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
     places = spark.sparkContext.broadcast(_place(plan_patterns(histogram, capacity)))
     ranked = pieces.join(lanes.select("length", "lane", "base"), ["length", "lane"]).withColumn("rank", F.col("base") + F.col("lane_rank"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.transform(map_arrow, _assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

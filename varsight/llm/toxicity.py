@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .common import is_held_out
+from .common import is_held_out, map_arrow
 
 BLOCK_CHARS = 1 << 20
 
@@ -213,7 +213,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
-    counts = rows.mapInArrow(_presence_counts(cfg), "feature int, toxic long, other long")
+    counts = rows.transform(map_arrow, _presence_counts(cfg), "feature int, toxic long, other long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     totals = rows.agg(F.sum("toxic"), F.count("toxic")).first()
     n_toxic, n = int(totals[0] or 0), int(totals[1])
@@ -229,7 +229,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     best = best.orderBy(F.desc("sure"), "feature").limit(cfg.features).toPandas()
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
-    sample = rows.mapInArrow(_held_features(cfg, sc.broadcast(table)), "toxic int, features array<int>").toPandas()
+    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "toxic int, features array<int>").toPandas()
     lists = [np.asarray(x, dtype=np.int64) for x in sample["features"]]
     weights, bias = _regress(lists, sample["toxic"].to_numpy(dtype=float), ratios, cfg)
     return ToxicityModel(cfg, table, weights, bias)
@@ -248,7 +248,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         for rows, texts in _batches_of_texts(batches):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.scores(texts))], [*rows.schema.names, "toxicity"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.transform(map_arrow, run, schema)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_shared_path
+from .common import map_arrow, new_shared_path
 
 _END = "\r\n"
 _ID = "urn:capture:"
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, path: str, cfg: WarcConfig = DEFAULT) -> No
     large = rows.where(F.octet_length("html") >= cfg.least_payload)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     joined = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first_id", "copies")
-    records = joined.mapInArrow(_write_rows(cfg), "value string")
+    records = joined.transform(map_arrow, _write_rows(cfg), "value string")
     records.write.option("lineSep", _END).option("maxRecordsPerFile", cfg.records_per_file).text(path)
 
 
@@ -245,9 +245,9 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     Partitions are consecutive ranges of that order, and each is sorted.
     """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    captures = archives.mapInArrow(_captures, _CAPTURE)
+    captures = archives.transform(map_arrow, _captures, _CAPTURE)
     dealt = captures.repartitionByRange(F.col("url_key"), F.col("captured"), F.col("page_id"))
-    return dealt.mapInArrow(_merge, _CAPTURE)
+    return dealt.transform(map_arrow, _merge, _CAPTURE)
 
 
 def archive_pages(pages: DataFrame, cfg: WarcConfig = DEFAULT) -> DataFrame:
