@@ -202,8 +202,8 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     """Learn from labelled rows outside the held-out fold.
 
     Rows whose label or id is null are no labels; of labels that repeat an id
-    the largest counts.  Without both classes every score is the share of toxic
-    labels, 0 without any.
+    the largest counts.  Without both classes, or a telling feature, every score
+    is the share of toxic labels, about 0 without any.
     """
     sc = documents.sparkSession.sparkContext
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -218,15 +218,18 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     totals = rows.agg(F.sum("toxic"), F.count("toxic")).first()
     n_toxic, n = int(totals[0] or 0), int(totals[1])
     table = np.full(1 << cfg.bits, -1, dtype=np.int32)
+    share = min(max(n_toxic / n if n else 0.0, 1e-9), 1 - 1e-9)
+    constant = ToxicityModel(cfg, table, np.zeros(1), float(np.log(share / (1 - share))))
     if not 0 < n_toxic < n:
-        share = min(max(n_toxic / n if n else 0.0, 1e-9), 1 - 1e-9)
-        return ToxicityModel(cfg, table, np.zeros(1), float(np.log(share / (1 - share))))
+        return constant
     a = cfg.smoothing
     ratio = F.log((F.col("toxic") + a) / (n_toxic + 2 * a)) - F.log((F.col("other") + a) / (n - n_toxic + 2 * a))
     # features whose ratio is large beyond its standard error
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
     best = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) - cfg.caution * error).alias("sure")).where(F.col("sure") > cfg.least_sure)
     best = best.orderBy(F.desc("sure"), "feature").limit(cfg.features).toPandas()
+    if best.empty:
+        return constant
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
     sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "toxic int, features array<int>").toPandas()
