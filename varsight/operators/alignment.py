@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecompositionConfig
 from ..errors import AlignmentError, MissingEventsError
-from ..functions.windows import positioned
+from ..functions.windows import by_session, by_ticker, positioned
 
 ALIGNED, FUTURE, SHORT, DUPLICATE = "aligned", "future", "insufficient", "duplicate"
 
@@ -17,23 +17,38 @@ def announcement_set(announcements: DataFrame) -> DataFrame:
     return announcements.select("ticker", F.to_date("announcement_date").alias("announcement_date")).dropna().distinct()
 
 
-def first_session_at(bars: DataFrame, announcements: DataFrame) -> DataFrame:
-    """``(ticker, announcement_date, position, n_returns)``: the first return on or after the date.
+def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: DecompositionConfig, payload: list[str]) -> DataFrame:
+    """Every announcement with ``return_position``, status, reason and the payload of its session.
 
-    Sessions and announcements are one sorted stream per ticker, read from the
-    latest date back, so each announcement takes the last session met: one
-    shuffle and one running frame.  Past the last session position is
-    ``n_returns``.  Announcements of tickers without sessions drop out.
+    ``sessions`` come from ``positioned``.  Sessions and announcements are one
+    sorted stream per ticker, read from the latest date back, so that each
+    announcement takes the last session met, and with it the columns named in
+    ``payload``: an as-of join by one running frame, after which no other join
+    is needed.  Announcements of tickers without sessions drop out.
     """
-    sessions = positioned(bars).where("pp >= 1")
-    stream = sessions.select("ticker", "date", F.lit(1).alias("kind"), (F.col("pp") - 1).alias("position")).unionByName(
-        announcement_set(announcements).select("ticker", F.col("announcement_date").alias("date"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("position"))
-    )
+    at = F.struct(*payload)
+    if cfg.announcement_offset:
+        at = F.lead(at, cfg.announcement_offset).over(by_session())
+    slot = F.struct((F.col("pp") - 1).alias("position"), at.alias("at"))
+    stream = sessions.withColumn("slot", slot).where("pp >= 1").select("ticker", "date", F.lit(1).alias("kind"), "slot")
+    dates = announcement_set(announcements).select("ticker", F.col("announcement_date").alias("date"), F.lit(0).alias("kind"))
+    stream = stream.unionByName(dates, allowMissingColumns=True)
     back = Window.partitionBy("ticker").orderBy(F.desc("date"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("kind").over(Window.partitionBy("ticker"))
-    found = stream.withColumn("found", F.last("position", ignorenulls=True).over(back)).withColumn("n_returns", n)
-    found = found.where("kind = 0 and n_returns > 0")
-    return found.select("ticker", F.col("date").alias("announcement_date"), F.coalesce("found", "n_returns").alias("position"), "n_returns")
+    found = stream.withColumn("slot", F.last("slot", ignorenulls=True).over(back)).withColumn("n_returns", F.sum("kind").over(by_ticker()))
+    found = found.where("kind = 0 and n_returns > 0").withColumn("return_position", F.coalesce("slot.position", "n_returns") + cfg.announcement_offset)
+    p, n = F.col("return_position"), F.col("n_returns")
+    reason = (
+        F.when(p >= n, "after the last session")
+        .when(p < cfg.back_need, f"needs {cfg.back_need} sessions before the event")
+        .when(p + cfg.forward_need > n, f"needs {cfg.forward_need} sessions from the event")
+    )
+    found = found.withColumn("drop_reason", reason).withColumn("early", F.when(p >= n, FUTURE).when(reason.isNotNull(), SHORT))
+    order = Window.partitionBy("ticker", "return_position", "early").orderBy("date")
+    again = F.col("early").isNull() & (F.row_number().over(order) > 1)
+    found = found.withColumn("again", again)
+    status = F.coalesce("early", F.when(F.col("again"), DUPLICATE), F.lit(ALIGNED))
+    reason = F.when(F.col("again"), "same session as an earlier announcement").otherwise(F.col("drop_reason"))
+    return found.select("ticker", F.col("date").alias("announcement_date"), "return_position", status.alias("status"), reason.alias("drop_reason"), F.col("slot.at").alias("at"))
 
 
 def align_events(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, strict: bool = False) -> DataFrame:
@@ -45,22 +60,9 @@ def align_events(bars: DataFrame, announcements: DataFrame, config: Decompositio
     raises if anything was not aligned, or nothing was.
     """
     cfg = config or DecompositionConfig()
-    placed = first_session_at(bars, announcements).withColumn("return_position", F.col("position") + cfg.announcement_offset)
-    p, n = F.col("return_position"), F.col("n_returns")
-    reason = (
-        F.when(p >= n, "after the last session")
-        .when(p < cfg.back_need, f"needs {cfg.back_need} sessions before the event")
-        .when(p + cfg.forward_need > n, f"needs {cfg.forward_need} sessions from the event")
-    )
-    first = F.when(p >= n, FUTURE).when(reason.isNotNull(), SHORT)
-    order = Window.partitionBy("ticker", "return_position", "_kept").orderBy("announcement_date")
-    placed = placed.withColumn("_first", first).withColumn("drop_reason", reason).withColumn("_kept", F.col("_first").isNull())
-    placed = placed.withColumn("_rank", F.row_number().over(order))
-    again = F.col("_kept") & (F.col("_rank") > 1)
-    placed = placed.withColumn("status", F.coalesce("_first", F.when(again, DUPLICATE), F.lit(ALIGNED)))
-    placed = placed.withColumn("drop_reason", F.when(again, "same session as an earlier announcement").otherwise(F.col("drop_reason")))
-    dates = positioned(bars).select("ticker", (F.col("pp") - 1).alias("return_position"), F.col("date").alias("session_date"))
-    out = placed.join(dates, ["ticker", "return_position"], "left").select("ticker", "announcement_date", "return_position", "session_date", "status", "drop_reason")
+    placed = placed_announcements(positioned(bars), announcements, cfg, ["date"])
+    session = F.when(F.col("status") != FUTURE, F.col("at.date"))
+    out = placed.select("ticker", "announcement_date", "return_position", session.alias("session_date"), "status", "drop_reason")
     if strict:
         _raise_on_drops(out)
     return out

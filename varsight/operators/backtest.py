@@ -184,7 +184,8 @@ def run_backtest(
         raise BacktestError("no event has enough surrounding or prior calibration history")
     calendar = cfg.structure == "calendar"
 
-    path = used.select(*_KEY, "entry_spot", "baseline", "jump_var", F.posexplode("path").alias("t", "spot"))
+    known = [c for c in used.columns if c not in (*_KEY, "path")]
+    path = used.select(*_KEY, *known, F.posexplode("path").alias("t", "spot"))
     path = _leg(path, "front", cfg.entry_offset + cfg.front_expiry_offset, F.col("baseline"), F.col("jump_var"), last, cfg)
     if calendar:
         path = _leg(path, "back", cfg.entry_offset - cfg.back_expiry_offset, F.col("baseline") * cfg.back_iv_multiplier, F.lit(0.0), -1, cfg)
@@ -199,7 +200,7 @@ def run_backtest(
         legs += [F.sum("back_step").alias("back_pnl"), at_entry("back_value").alias("back_premium"), at_entry("back_sigma").alias("back_iv")]
     else:
         legs += [F.lit(0.0).alias("back_pnl"), F.lit(0.0).alias("back_premium"), F.lit(None).cast("double").alias("back_iv")]
-    trades = used.join(path.groupBy(*_KEY).agg(*legs), _KEY)
+    trades = path.groupBy(*_KEY).agg(*legs, *[F.first(c).alias(c) for c in known])
 
     spot, slip = F.col("entry_spot"), cfg.slippage_vol_points
     trades = with_straddle(trades, "front_sale", spot, spot, F.greatest(F.col("front_iv") - slip, F.lit(1e-6)), F.lit(front_tau), cfg.rate)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DecompositionConfig
 from ..errors import InsufficientDataError, SchemaError
 from ..functions.windows import by_session, full, positioned, variance
-from .alignment import aligned_events
+from .alignment import ALIGNED, placed_announcements
 from .estimators import rolling_variance
 
 
@@ -62,9 +62,9 @@ def decompose_events(bars: DataFrame, announcements: DataFrame, config: Decompos
     """
     cfg = config or DecompositionConfig()
     _check(bars, cfg, strict)
-    sessions = session_variances(bars, cfg).where("pp >= 1").withColumn("return_position", F.col("pp") - 1).drop("date")
-    events = aligned_events(bars, announcements, cfg)
-    rows = sessions.join(events, ["ticker", "return_position"])
+    payload = ["date", "close", "v_total", "event_sum", "event_return", *[f"v_base_{w}" for w in cfg.baseline_windows], *[f"v_post_{k}" for k in cfg.post_windows]]
+    placed = placed_announcements(session_variances(bars, cfg), announcements, cfg, payload)
+    rows = placed.where(F.col("status") == ALIGNED).select("ticker", "announcement_date", "return_position", "at.*").withColumnRenamed("date", "session_date")
     base = F.col(f"v_base_{cfg.primary_baseline}")
     raw = F.col("v_total") - base
     s = cfg.scale
