@@ -2,7 +2,7 @@
 
 Records are rows whose text is a whole record; Spark's text writer puts them
 into files through its commit protocol, on any file system it knows, so an
-archive survives lost executors.  A payload that another record holds already
+archive survives lost executors.  Archives are gzipped whole.  A payload that another record holds already
 becomes a revisit record, which refers to that record and repeats no payload.
 
 Reading parses archives by their length fields, sorts each archive's captures
@@ -14,6 +14,7 @@ tree, so that the whole index is in order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -125,7 +126,7 @@ def write_archives(pages: DataFrame, path: str, cfg: WarcConfig = DEFAULT) -> No
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     joined = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first_id", "copies")
     records = joined.transform(map_arrow, _write_rows(cfg), "value string")
-    records.write.option("lineSep", _END).option("maxRecordsPerFile", cfg.records_per_file).text(path)
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", cfg.records_per_file).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
@@ -156,7 +157,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             run = []
-            for head, at, block in parse_records(content):
+            for head, at, block in parse_records(gzip.decompress(content)):
                 kind = head["warc-type"]
                 http, _, payload = block.partition(b"\r\n\r\n")
                 size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
@@ -244,7 +245,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
     Partitions are consecutive ranges of that order, and each is sorted.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     captures = archives.transform(map_arrow, _captures, _CAPTURE)
     dealt = captures.repartitionByRange(F.col("url_key"), F.col("captured"), F.col("page_id"))
     return dealt.transform(map_arrow, _merge, _CAPTURE)
