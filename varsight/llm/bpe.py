@@ -30,7 +30,7 @@ from . import textkernels as tk
 from .common import map_arrow, tokenizer_path
 
 CHUNK_BYTES = 12 << 20
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 
 # The alphabet of byte-level vocabularies: printable bytes stand for themselves,
 # the others for code points from 256 on.  Fixed by the file format.

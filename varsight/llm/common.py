@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # names of glibc's mallopt settings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +51,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def _lean(run: Callable) -> Callable:
-    """``run``, after which the worker gives freed memory back, as it lives on for later tasks."""
+    """``run`` in a worker that gives freed memory back, as it lives on for later tasks.
+
+    Where the C library is glibc, large arrays are mapped on their own, so that
+    they go when they are freed, and the rest is trimmed at a task's end.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        tune, trim = getattr(libc, "mallopt", None), getattr(libc, "malloc_trim", None)
+        if tune is not None and trim is not None:
+            tune(_MMAP_THRESHOLD, 4 << 20)
+            tune(_TRIM_THRESHOLD, 16 << 20)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)
 

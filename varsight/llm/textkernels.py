@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _PRIME = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 _MASK = (1 << 64) - 1
