@@ -115,22 +115,53 @@ def bs_straddle(spot: Column, strike: Column, vol: Column, tau: Column, rate: fl
 def with_norm_cdf(df: DataFrame, x: str, into: str) -> DataFrame:
     """``norm_cdf`` of a column in steps, so that generated code computes each part once."""
     a, e, tail = f"{into}_a", f"{into}_e", f"{into}_tail"
-    df = df.withColumn(a, F.abs(x)).withColumn(e, F.exp(-F.col(a) * F.col(a) / 2))
-    df = df.withColumn(tail, _tail(F.col(a), F.col(e)))
+    df = df.withColumns({a: F.abs(x), e: F.exp(-F.col(x) * F.col(x) / 2)}).withColumn(tail, _tail(F.col(a), F.col(e)))
     return df.withColumn(into, F.when(F.col(x) > 0, 1 - F.col(tail)).otherwise(F.col(tail))).drop(a, e, tail)
 
 
+def with_straddles(df: DataFrame, legs: dict[str, tuple[Column, Column, Column, Column]], rate: float = 0.0) -> DataFrame:
+    """``df`` with a struct of ``bs_straddle`` per leg ``(spot, strike, vol, tau)``.
+
+    The legs advance together through a few layers of columns, which generated
+    code evaluates once each and which keep the plan shallow.
+    """
+
+    def c(leg: str, part: str) -> Column:
+        return F.col(f"_{leg}_{part}")
+
+    def layer(df: DataFrame, build: Callable[[str], dict[str, Column]]) -> DataFrame:
+        return df.withColumns({f"_{leg}_{part}": column for leg in legs for part, column in build(leg).items()})
+
+    def inputs(leg: str) -> dict[str, Column]:
+        spot, strike, vol, tau = legs[leg]
+        return {"s": spot, "k": strike, "v": vol, "u": tau, "t": F.greatest(tau, F.lit(SHORTEST_TAU))}
+
+    def distances(leg: str) -> dict[str, Column]:
+        s, k, v, u, t = (c(leg, n) for n in "skvut")
+        ok = _valid_straddle(s, k, v, u)
+        return {"w": F.when(ok, v * F.sqrt(t)), "d1": F.when(ok, _d1(s, k, v, t, rate))}
+
+    def powers(leg: str) -> dict[str, Column]:
+        d1, d2 = c(leg, "d1"), c(leg, "d1") - c(leg, "w")
+        return {"d2": d2, "a1": F.abs(d1), "e1": F.exp(-d1 * d1 / 2), "a2": F.abs(d2), "e2": F.exp(-d2 * d2 / 2)}
+
+    def tails(leg: str) -> dict[str, Column]:
+        return {n: _tail(c(leg, f"a{n[-1]}"), c(leg, f"e{n[-1]}")) for n in ("tail1", "tail2")}
+
+    def value(leg: str) -> Column:
+        up, down = (F.when(c(leg, f"d{n}") > 0, 1 - c(leg, f"tail{n}")).otherwise(c(leg, f"tail{n}")) for n in (1, 2))
+        alive = _straddle_struct(c(leg, "s"), c(leg, "k"), c(leg, "w"), c(leg, "t"), c(leg, "d1"), up, down, rate)
+        ok = c(leg, "w").isNotNull()
+        return F.when(ok & (c(leg, "u") > 0), alive).when(ok, _intrinsic(c(leg, "s"), c(leg, "k")))
+
+    kept = df.columns
+    for build in (inputs, distances, powers, tails):
+        df = layer(df, build)
+    return df.select(*[F.col(f"`{n}`") for n in kept if n not in legs], *[value(leg).alias(leg) for leg in legs])
+
+
 def with_straddle(df: DataFrame, into: str, spot: Column, strike: Column, vol: Column, tau: Column, rate: float = 0.0) -> DataFrame:
-    """``df`` with the struct of ``bs_straddle``, computed in steps inside generated code."""
-    s, k, v, u, t, w, d1, d2, up, down = (f"_{into}_{n}" for n in ("s", "k", "v", "u", "t", "w", "d1", "d2", "up", "down"))
-    df = df.withColumns({s: spot, k: strike, v: vol, u: tau})
-    df = df.withColumn(t, F.greatest(F.col(u), F.lit(SHORTEST_TAU)))
-    ok = _valid_straddle(*(F.col(c) for c in (s, k, v, u)))
-    df = df.withColumn(w, F.when(ok, F.col(v) * F.sqrt(t))).withColumn(d1, F.when(ok, _d1(F.col(s), F.col(k), F.col(v), F.col(t), rate))).withColumn(d2, F.col(d1) - F.col(w))
-    df = with_norm_cdf(with_norm_cdf(df, d1, up), d2, down)
-    alive = _straddle_struct(*(F.col(c) for c in (s, k, w, t, d1, up, down)), rate)
-    df = df.withColumn(into, F.when(F.col(w).isNotNull() & (F.col(u) > 0), alive).when(F.col(w).isNotNull(), _intrinsic(F.col(s), F.col(k))))
-    return df.drop(s, k, v, u, t, w, d1, d2, up, down)
+    return with_straddles(df, {into: (spot, strike, vol, tau)}, rate)
 
 
 def implied_jump_move(iv: Column, baseline: Column, days_to_expiry: int = 21, periods_per_year: float = PERIODS_PER_YEAR) -> Column:

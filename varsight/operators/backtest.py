@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, DecompositionConfig
 from ..errors import BacktestError, InsufficientDataError, SchemaError
-from ..functions.expressions import SQRT_2_OVER_PI, finite, with_straddle
+from ..functions.expressions import SQRT_2_OVER_PI, finite, with_straddles
 from ..functions.windows import by_session, by_ticker, full, positioned, variance
 from .estimators import rolling_variance
 
@@ -114,16 +114,28 @@ def entry_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig, events
     return rows.withColumn("priceable", inside & priced).withColumn("usable", F.col("priceable") & F.col("calibration").isNotNull()).drop("_mean")
 
 
-def _leg(path: DataFrame, name: str, expiry: int, base: Column, jump: Column, loaded_until: int, cfg: BacktestConfig) -> DataFrame:
-    """Adds value, delta and volatility of a straddle that expires at path step ``expiry``."""
-    tau = (F.lit(expiry) - F.col("t")) * cfg.dt
-    alive = F.col("t") < expiry
-    safe = F.when(alive, tau).otherwise(F.lit(1.0))
-    loaded = F.when(F.col("t") <= loaded_until, jump).otherwise(F.lit(0.0))
-    sigma = F.sqrt(F.greatest((base * base * safe + loaded) / safe, F.lit(1e-12)))
-    path = with_straddle(path.withColumn(f"{name}_sigma", sigma), f"{name}_bs", F.col("spot"), F.col("entry_spot"), F.col(f"{name}_sigma"), safe, cfg.rate)
-    value = F.when(alive, F.col(f"{name}_bs.price")).otherwise(F.abs(F.col("spot") - F.col("entry_spot")))
-    return path.withColumn(f"{name}_value", value).withColumn(f"{name}_delta", F.col(f"{name}_bs.delta")).withColumn(f"{name}_alive", alive).drop(f"{name}_bs")
+def _revalued(path: DataFrame, legs: dict[str, tuple[int, Column, Column]], loaded_until: int, cfg: BacktestConfig) -> DataFrame:
+    """Adds value, delta and volatility of straddles ``(expiry step, baseline, jump variance)``.
+
+    The jump variance is still ahead through step ``loaded_until``; an expired
+    straddle has its intrinsic value.
+    """
+    t = F.col("t")
+    taus = {name: F.when(t < expiry, (F.lit(expiry) - t) * cfg.dt).otherwise(F.lit(1.0)) for name, (expiry, _, _) in legs.items()}
+
+    def sigma(name: str) -> Column:
+        _, base, jump = legs[name]
+        loaded = F.when(t <= loaded_until, jump).otherwise(F.lit(0.0))
+        return F.sqrt(F.greatest((base * base * taus[name] + loaded) / taus[name], F.lit(1e-12)))
+
+    path = path.withColumns({f"{name}_sigma": sigma(name) for name in legs})
+    path = with_straddles(path, {f"{name}_bs": (F.col("spot"), F.col("entry_spot"), F.col(f"{name}_sigma"), taus[name]) for name in legs}, cfg.rate)
+    columns = {}
+    for name, (expiry, _, _) in legs.items():
+        columns[f"{name}_value"] = F.when(t < expiry, F.col(f"{name}_bs.price")).otherwise(F.abs(F.col("spot") - F.col("entry_spot")))
+        columns[f"{name}_delta"] = F.col(f"{name}_bs.delta")
+        columns[f"{name}_alive"] = t < expiry
+    return path.withColumns(columns)
 
 
 def _pnl(name: str) -> Column:
@@ -186,28 +198,29 @@ def run_backtest(
 
     known = [c for c in used.columns if c not in (*_KEY, "path")]
     path = used.select(*_KEY, *known, F.posexplode("path").alias("t", "spot"))
-    path = _leg(path, "front", cfg.entry_offset + cfg.front_expiry_offset, F.col("baseline"), F.col("jump_var"), last, cfg)
+    legs = {"front": (cfg.entry_offset + cfg.front_expiry_offset, F.col("baseline"), F.col("jump_var"))}
     if calendar:
-        path = _leg(path, "back", cfg.entry_offset - cfg.back_expiry_offset, F.col("baseline") * cfg.back_iv_multiplier, F.lit(0.0), -1, cfg)
-    path = path.withColumn("front_step", _pnl("front")).withColumn("back_step", _pnl("back") if calendar else F.lit(0.0))
+        legs["back"] = (cfg.entry_offset - cfg.back_expiry_offset, F.col("baseline") * cfg.back_iv_multiplier, F.lit(0.0))
+    path = _revalued(path, legs, last, cfg)
+    path = path.withColumns({"front_step": _pnl("front"), "back_step": _pnl("back") if calendar else F.lit(0.0)})
     start = F.col("t") == 0
 
     def at_entry(column: str) -> Column:
         return F.max(F.when(start, F.col(column)))
 
-    legs = [(-F.sum("front_step")).alias("front_pnl"), at_entry("front_value").alias("front_premium"), at_entry("front_sigma").alias("front_iv")]
+    sums = [(-F.sum("front_step")).alias("front_pnl"), at_entry("front_value").alias("front_premium"), at_entry("front_sigma").alias("front_iv")]
     if calendar:
-        legs += [F.sum("back_step").alias("back_pnl"), at_entry("back_value").alias("back_premium"), at_entry("back_sigma").alias("back_iv")]
+        sums += [F.sum("back_step").alias("back_pnl"), at_entry("back_value").alias("back_premium"), at_entry("back_sigma").alias("back_iv")]
     else:
-        legs += [F.lit(0.0).alias("back_pnl"), F.lit(0.0).alias("back_premium"), F.lit(None).cast("double").alias("back_iv")]
-    trades = path.groupBy(*_KEY).agg(*legs, *[F.first(c).alias(c) for c in known])
+        sums += [F.lit(0.0).alias("back_pnl"), F.lit(0.0).alias("back_premium"), F.lit(None).cast("double").alias("back_iv")]
+    trades = path.groupBy(*_KEY).agg(*sums, *[F.first(c).alias(c) for c in known])
 
     spot, slip = F.col("entry_spot"), cfg.slippage_vol_points
-    trades = with_straddle(trades, "front_sale", spot, spot, F.greatest(F.col("front_iv") - slip, F.lit(1e-6)), F.lit(front_tau), cfg.rate)
+    orders = {"front_sale": (spot, spot, F.greatest(F.col("front_iv") - slip, F.lit(1e-6)), F.lit(front_tau))}
     if calendar:
-        back_tau = (cfg.entry_offset - cfg.back_expiry_offset) * cfg.dt
-        trades = with_straddle(trades, "back_buy", spot, spot, F.col("back_iv") + slip, F.lit(back_tau), cfg.rate)
-    trades = trades.withColumn("front_entry_execution", F.col("front_sale.price")).withColumn("back_entry_execution", F.col("back_buy.price") if calendar else F.lit(0.0))
+        orders["back_buy"] = (spot, spot, F.col("back_iv") + slip, F.lit((cfg.entry_offset - cfg.back_expiry_offset) * cfg.dt))
+    trades = with_straddles(trades, orders, cfg.rate)
+    trades = trades.withColumns({"front_entry_execution": F.col("front_sale.price"), "back_entry_execution": F.col("back_buy.price") if calendar else F.lit(0.0)})
     front_gap = F.col("front_entry_execution") - F.col("front_premium")
     trades = trades.withColumns(
         {
