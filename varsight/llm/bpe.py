@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import textkernels as tk
 from .common import map_arrow, tokenizer_path
@@ -335,7 +336,7 @@ def encoded_chunks(batches: Iterator[pa.RecordBatch], bpe: PairIndexBPE, column:
 def encode(docs: DataFrame, path: str | None = None, column: str = "text", into: str = "token_ids") -> DataFrame:
     """``docs`` with a column of token ids, ``array<int>``; null counts as empty."""
     path = path or tokenizer_path()
-    schema = docs.drop(into).schema.add(into, "array<int>")
+    schema = StructType([*docs.drop(into).schema.fields, StructField(into, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ids, ranges in encoded_chunks(batches, encoder(path), column):
@@ -348,7 +349,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", into:
 def decode(docs: DataFrame, path: str | None = None, column: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text that its token ids stand for; null counts as no ids."""
     path = path or tokenizer_path()
-    schema = docs.drop(into).schema.add(into, "string")
+    schema = StructType([*docs.drop(into).schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
