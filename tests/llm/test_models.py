@@ -171,6 +171,24 @@ def test_secret_network(secret_docs, spark):
     assert len([d for d in marked if d < 50]) >= 25
 
 
+def test_secret_candidates(secret_docs):
+    """Every token run outside the base spans is shown, and the shared responses give the network's scores."""
+    text = "key QwErTyUiOpAsDfGh x1 0123456789abcdefTAIL é7"
+    base = secrets.base_spans(text)
+    assert [text[s:e] for s, e in secrets.other_candidates(text, base)] == ["key", "QwErTyUiOpAsDfGh", "x1", "TAIL", "7"]
+    net = secrets.fit(secret_docs)
+    rng = random.Random(4)
+    signs = "abcxyzABCXYZ0123456789 \t\n\"'=:-_/+.,;@~(é中"
+    texts = [t or "" for t in secret_texts()] + ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(300)] + [text, "a" * 39, "b1" * 60, "", "q"]
+    base = [secrets.base_spans(t) for t in texts]
+    shown = [(i, s, e) for i, t in enumerate(texts) for s, e in secrets.other_candidates(t, base[i])]
+    p = net.probability(np.stack([secrets.window(texts[i], s, e, net.cfg) for i, s, e in shown]))
+    for threshold in (net.threshold, float(np.median(p)) + 1e-4):
+        net.threshold = threshold
+        got = secrets._findings(texts, secrets._Screen(net))
+        assert [(i, s, e) for i, (_, a) in enumerate(got) for k, s, e in a if k == "model"] == [x for x, q in zip(shown, p, strict=True) if abs(q - threshold) > 1e-6 and q >= threshold]
+
+
 def test_redaction(secret_docs, awkward, clashing, nothing):
     out = secrets.redact_documents(secret_docs)
     assert out.columns == secret_docs.columns
