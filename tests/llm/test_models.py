@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -117,6 +118,31 @@ def test_forward_sums_all_segmentations():
     assert b"".join(w[1:] for w in langid.words_of(long)) == long.encode()
 
 
+def test_language_whole_vocabulary_and_words():
+    """Long pieces and words over 32 bytes are summed like any other, against plain recursion."""
+    table = langid.piece_table(langid.DEFAULT)
+    with open(langid.tokenizer_path(langid.DEFAULT.vocabulary), "rb") as f:
+        vocabulary = {base64.b64decode(line.split()[0]) for line in f}
+    assert vocabulary <= set(table.pieces)
+    rng = np.random.default_rng(1)
+    p = rng.random((len(table.pieces), 2)) * 1e-3 + 1e-9
+    number = {piece: i for i, piece in enumerate(table.pieces)}
+    texts = ["internationalization", "Donaudampfschifffahrtsgesellschaftskapitän", "правительственный", "достопримечательностями", "é" * 100, "z" * 2000]
+    words = [w for t in texts for w in langid.words_of(t)]
+    assert words == [(" " + t.lower()).encode() for t in texts]
+
+    def total(word, lang):
+        sums = [0.0] + [-np.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            parts = [sums[s] + np.log(p[number[word[s:end]], lang]) for s in range(max(0, end - table.longest), end) if word[s:end] in number]
+            sums[end] = np.logaddexp.reduce(parts)
+        return sums[-1]
+
+    np.testing.assert_allclose(langid.log_likelihoods(words, p, table), [[total(w, k) for k in (0, 1)] for w in words], rtol=1e-9)
+    counts = langid.expected_counts(words, np.ones(len(words)), np.zeros(len(words), int), p, table)
+    assert counts[:, 0] @ np.array([len(x) for x in table.pieces]) == pytest.approx(sum(map(len, words)))
+
+
 def base_spans(text):
     rules = {
         "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),

@@ -7,7 +7,8 @@ language sums over every way to cut it into pieces, with a forward recursion
 over its bytes; a text's is the product over its words.
 
 Words are maximal runs of letters of the lower-cased text, each with a blank
-before it.  Longer ones than ``WORD_BYTES`` count as several.
+before it, and are never cut.  Those longer than ``WORD_BYTES`` are summed in
+logarithms, as their probabilities may be too small for a double.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import is_held_out, map_arrow, materialize, tokenizer_path
 
 WORD_BYTES = 32
 CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20
+BLOCK_CELLS = 1 << 22
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -38,8 +41,7 @@ class LanguageConfig:
     """texts: bound of the labelled texts per language, those with the smallest
     hash of their ids.  languages: bound of the languages, most frequent first.
     rounds: of expectation maximisation.  floor: pseudo-count of every piece.
-    piece_bytes: length of the longest piece used.  evidence: number of words
-    beyond which more words add no certainty.
+    evidence: number of words beyond which more words add no certainty.
     """
 
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
@@ -47,7 +49,6 @@ class LanguageConfig:
     languages: int = 256
     rounds: int = 3
     floor: float = 0.05
-    piece_bytes: int = 8
     evidence: int = 64
 
 
@@ -57,19 +58,13 @@ DEFAULT = LanguageConfig()
 class PieceTable:
     """Looks up byte substrings among the pieces of a vocabulary."""
 
-    def __init__(self, path: str, piece_bytes: int):
-        pieces = []
+    def __init__(self, path: str):
+        pieces = {bytes([b]) for b in range(256)}
         for line in open(path, "rb"):
             token, _ = line.split()
-            piece = base64.b64decode(token)
-            if len(piece) <= piece_bytes:
-                pieces.append(piece)
-        missing = {bytes([b]) for b in range(256)} - set(pieces)
-        self.pieces = sorted({*pieces, *missing})
-        self.longest = piece_bytes
-        n = WORD_BYTES + 2
-        self._power = tk._power_tables(n)[0][:n].copy()
-        self._inverse = tk._power_tables(n)[1][:n].copy()
+            pieces.add(base64.b64decode(token))
+        self.pieces = sorted(pieces)
+        self.longest = max(map(len, self.pieces))
         hashes = np.array([self._of(np.frombuffer(p, dtype=np.uint8)[None, :])[0, -1] for p in self.pieces], dtype=np.uint64)
         self._order = np.argsort(hashes)
         self._sorted = hashes[self._order]
@@ -80,57 +75,61 @@ class PieceTable:
 
     def _of(self, rows: np.ndarray) -> np.ndarray:
         """Prefix sums of rows of bytes; their differences hash substrings."""
-        sums = np.zeros((rows.shape[0], rows.shape[1] + 1), dtype=np.uint64)
-        np.cumsum(tk._BYTE[rows] * self._power[: rows.shape[1]], axis=1, out=sums[:, 1:])
+        n = rows.shape[1]
+        sums = np.zeros((rows.shape[0], n + 1), dtype=np.uint64)
+        np.cumsum(tk._BYTE[rows] * tk._power_tables(n + 1)[0][:n], axis=1, out=sums[:, 1:])
         return sums
 
     def spans(self, rows: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For words of one length, (start, end) to the words whose bytes there are a piece, and the piece."""
-        sums = self._of(rows)
-        n = rows.shape[1]
-        found = {}
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                h = (sums[:, end] - sums[:, start]) * self._inverse[start]
-                at = np.flatnonzero(self._maybe[tk.mix64(h) >> np.uint64(43)])
-                if len(at):
-                    k = np.minimum(np.searchsorted(self._sorted, h[at]), len(self._sorted) - 1)
-                    real = self._sorted[k] == h[at]
-                    if real.any():
-                        found[start, end] = (at[real], self._order[k[real]])
-        return found
-
-
-_tables: dict[tuple[str, int], PieceTable] = {}
+        """For words of one length, (start, end) to the words whose bytes there are a piece, and the piece.
+
+        In order of end, then start.
+        """
+        sums, n = self._of(rows), rows.shape[1]
+        inverse = tk._power_tables(n + 1)[1]
+        words, starts, ends, pieces = [], [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = (sums[:, size:] - sums[:, :-size]) * inverse[: n - size + 1]
+            w, start = np.nonzero(self._maybe[tk.mix64(h) >> np.uint64(43)])
+            h = h[w, start]
+            k = np.minimum(np.searchsorted(self._sorted, h), len(self._sorted) - 1)
+            real = self._sorted[k] == h
+            words.append(w[real])
+            starts.append(start[real])
+            ends.append(start[real] + size)
+            pieces.append(self._order[k[real]])
+        word, start, end, piece = map(np.concatenate, (words, starts, ends, pieces))
+        order = np.lexsort((word, start, end))
+        word, start, end, piece = word[order], start[order], end[order], piece[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1]) | (end[1:] != end[:-1])]))
+        bounds = [*cuts.tolist(), len(word)]
+        keys = zip(start[cuts].tolist(), end[cuts].tolist(), strict=True)
+        return {key: (word[lo:hi], piece[lo:hi]) for key, lo, hi in zip(keys, bounds[:-1], bounds[1:], strict=True)}
+
+
+_tables: dict[str, PieceTable] = {}
 
 
 def piece_table(cfg: LanguageConfig) -> PieceTable:
-    key = (cfg.vocabulary, cfg.piece_bytes)
-    if key not in _tables:
-        _tables[key] = PieceTable(tokenizer_path(cfg.vocabulary), cfg.piece_bytes)
-    return _tables[key]
+    if cfg.vocabulary not in _tables:
+        _tables[cfg.vocabulary] = PieceTable(tokenizer_path(cfg.vocabulary))
+    return _tables[cfg.vocabulary]
 
 
 def words_of(text: str) -> list[bytes]:
     """The text's words as bytes, a blank before each."""
-    words = []
-    for w in _LETTERS.findall(text.lower()):
-        raw = (" " + w).encode("utf-8")
-        while len(raw) > WORD_BYTES:
-            cut = WORD_BYTES
-            while raw[cut] & 0xC0 == 0x80:
-                cut -= 1
-            words.append(raw[:cut])
-            raw = b" " + raw[cut:]
-        words.append(raw)
-    return words
-
-
-def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return [(" " + w).encode("utf-8") for w in _LETTERS.findall(text.lower())]
+
+
+def _by_length(words: list[bytes], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length, so many that ``columns`` numbers per byte stay bounded (one word at least)."""
     sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == n)
-        yield at, np.frombuffer(b"".join(words[i] for i in at), dtype=np.uint8).reshape(len(at), n)
+        same = np.flatnonzero(sizes == n)
+        most = max(1, BLOCK_CELLS // (n * max(columns, 1)))
+        for lo in range(0, len(same), most):
+            at = same[lo : lo + most]
+            yield at, np.frombuffer(b"".join(words[i] for i in at), dtype=np.uint8).reshape(len(at), n)
 
 
 def _forward(spans: dict, count: int, n: int, p: np.ndarray) -> np.ndarray:
@@ -142,34 +141,67 @@ def _forward(spans: dict, count: int, n: int, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _forward_logs(spans: dict, count: int, n: int, p: np.ndarray, longest: int) -> np.ndarray:
+    """Logs of the words' probabilities; keeps as many places as the longest piece has bytes."""
+    ring = np.full((longest + 1, count, p.shape[1]), -np.inf)
+    ring[0] = 0
+    last = 0
+    for (start, end), (at, piece) in spans.items():
+        if end != last:
+            ring[end % (longest + 1)] = -np.inf
+            last = end
+        k = end % (longest + 1)
+        ring[k, at] = np.logaddexp(ring[k, at], ring[start % (longest + 1), at] + np.log(p[piece]))
+    return ring[n % (longest + 1)]
+
+
 def log_likelihoods(words: list[bytes], p: np.ndarray, table: PieceTable) -> np.ndarray:
     """Natural logs of the words' probabilities, one column per language."""
     out = np.zeros((len(words), p.shape[1]))
-    for at, rows in _by_length(words):
-        alpha = _forward(table.spans(rows), len(at), rows.shape[1], p)
-        out[at] = np.log(np.maximum(alpha[-1], 1e-300))
+    for at, rows in _by_length(words, p.shape[1]):
+        spans, n = table.spans(rows), rows.shape[1]
+        if n > WORD_BYTES:
+            out[at] = _forward_logs(spans, len(at), n, p, table.longest)
+        else:
+            out[at] = np.log(np.maximum(_forward(spans, len(at), n, p)[-1], 1e-300))
     return out
 
 
 def expected_counts(words: list[bytes], times: np.ndarray, language: np.ndarray, p: np.ndarray, table: PieceTable) -> np.ndarray:
     """Expected uses of every piece by language, over all segmentations of the words."""
     out = np.zeros_like(p)
-    for at, rows in _by_length(words):
+    for at, rows in _by_length(words, 1):
         spans, n, own = table.spans(rows), rows.shape[1], language[at]
-        mine = p[:, :]
+        if n > WORD_BYTES:
+            _expect_logs(spans, len(at), n, own, times[at], p, out)
+            continue
         alpha = np.zeros((n + 1, len(at)))
         beta = np.zeros((n + 1, len(at)))
         alpha[0] = beta[n] = 1
         for (start, end), (w, piece) in spans.items():
-            alpha[end, w] += alpha[start, w] * mine[piece, own[w]]
-        for (start, end), (w, piece) in reversed(spans.items()):
-            beta[start, w] += beta[end, w] * mine[piece, own[w]]
+            alpha[end, w] += alpha[start, w] * p[piece, own[w]]
+        for (start, end), (w, piece) in sorted(spans.items(), key=lambda s: -s[0][0]):
+            beta[start, w] += beta[end, w] * p[piece, own[w]]
         scale = times[at] / np.maximum(alpha[n], 1e-300)
         for (start, end), (w, piece) in spans.items():
-            np.add.at(out, (piece, own[w]), alpha[start, w] * mine[piece, own[w]] * beta[end, w] * scale[w])
+            np.add.at(out, (piece, own[w]), alpha[start, w] * p[piece, own[w]] * beta[end, w] * scale[w])
     return out
 
 
+def _expect_logs(spans: dict, count: int, n: int, own: np.ndarray, times: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
+    """``expected_counts`` of words of one length, in logarithms, added to ``out``."""
+    alpha = np.full((n + 1, count), -np.inf)
+    beta = np.full((n + 1, count), -np.inf)
+    alpha[0] = beta[n] = 0
+    for (start, end), (w, piece) in spans.items():
+        alpha[end, w] = np.logaddexp(alpha[end, w], alpha[start, w] + np.log(p[piece, own[w]]))
+    for (start, end), (w, piece) in sorted(spans.items(), key=lambda s: -s[0][0]):
+        beta[start, w] = np.logaddexp(beta[start, w], beta[end, w] + np.log(p[piece, own[w]]))
+    for (start, end), (w, piece) in spans.items():
+        share = np.exp(alpha[start, w] + np.log(p[piece, own[w]]) + beta[end, w] - alpha[n, w])
+        np.add.at(out, (piece, own[w]), share * times[w])
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """languages: their codes.  p: piece probabilities, one column per language."""
@@ -238,11 +270,12 @@ def _identify(model: object) -> Callable:
         table, languages = piece_table(m.config), m.languages
         rows: dict[bytes, int] = {}
         logs = np.zeros((0, len(languages)))
+        held = 0
         for batch in batches:
             for first, end, _, _ in tk.text_blocks(batch.column("text"), 4 * tk.BLOCK_BYTES):
                 part = batch.slice(first, end - first)
-                if len(rows) > CACHE_WORDS:
-                    rows, logs = {}, logs[:0]
+                if len(rows) > CACHE_WORDS or held > CACHE_BYTES:
+                    rows, logs, held = {}, logs[:0], 0
                 new: list[bytes] = []
                 numbers, sizes = [], []
                 for text in part.column("text").to_pylist():
@@ -253,6 +286,7 @@ def _identify(model: object) -> Callable:
                         if k is None:
                             k = rows[w] = len(rows)
                             new.append(w)
+                            held += len(w)
                         numbers.append(k)
                 logs = np.concatenate([logs, log_likelihoods(new, m.p, table)])
                 n = np.array(sizes)
