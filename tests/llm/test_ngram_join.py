@@ -71,6 +71,24 @@ def test_families_and_tiles(spark, tile):
     assert run(df, nj.JoinConfig(tile_docs=tile, hubs=2)) == brute(rows)
 
 
+def test_tasks_stay_small_where_a_family_hardly_links(spark, monkeypatch):
+    """Documents with a passage in common and too little else: no task holds the whole family."""
+    rng = random.Random(8)
+    passage = prose(rng, 64)
+    rows = [(i, passage + " " + " ".join(f"own{i}n{k}" for k in range(15))) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 240, 40)]
+    most, links = [], nj._links
+
+    def watched(members, sets, percent):
+        most.append(max(r["count"] for r in members.select("family", "tile", "class_id").distinct().groupBy("family", "tile").count().collect()))
+        return links(members, sets, percent)
+
+    monkeypatch.setattr(nj, "_links", watched)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    assert run(df, nj.JoinConfig(tile_docs=16, hubs=4)) == brute(rows)
+    assert len(most) == 2 and max(most) <= 80
+
+
 def test_keep_first(awkward):
     kept = nj.keep_first(awkward)
     assert kept.columns == awkward.columns

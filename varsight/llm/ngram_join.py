@@ -43,7 +43,8 @@ _MANY = 4096
 class JoinConfig:
     """width: words of a shingle.  percent: least Jaccard similarity in hundredths.
 
-    tile_docs: documents of one R-tree tile.  hubs: members of a large family
+    tile_docs: documents of one R-tree tile, and of a block that asks it, on
+    average, as a hash deals them.  hubs: members of a large family
     that all its tiles hold.  sample_docs, sample_repeats: the order of the
     shingles puts those last that so many of so many sampled documents hold;
     any order gives the same result, this one keeps common passages apart.
@@ -376,9 +377,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
         large = large.join(joined, "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).withColumn("own", own)
         main = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         large = materialize(large.join(main, "family").withColumn("probe", F.col("label") != F.col("main")), "large")
-        wanting = large.where("probe").select("family").distinct()
-        answer = large.join(wanting, "family").select("family", F.col("own").alias("tile"), "class_id", "label", F.lit(False).alias("probe"))
-        ask = large.where("probe").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("family", "tile", "class_id", "label", "probe")
+        # a task holds one block of those that ask and one tile of those that answer
+        wanting = large.where("probe").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / cfg.tile_docs).alias("blocks"))
+        all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        all_tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+        tile = (F.col("block") * F.col("tiles") + F.col("own")).alias("tile")
+        large = large.join(wanting, "family")
+        answer = large.withColumn("block", all_blocks).select("family", tile, "class_id", "label", F.lit(False).alias("probe"))
+        ask = large.where("probe").withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(11)), F.col("blocks"))).withColumn("own", all_tiles)
+        ask = ask.select("family", tile, "class_id", "label", "probe")
         links = links.unionByName(_links(answer.unionByName(ask), sets, cfg.percent))
     return connected_components(links)
 
