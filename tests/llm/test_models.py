@@ -76,6 +76,42 @@ def test_toxicity_awkward(awkward, clashing, nothing, corpus, spark):
     assert toxicity.drop_toxic(*corpus[:2]).columns == corpus[0].columns
 
 
+def test_toxicity_is_the_same_however_rows_are_dealt(corpus):
+    docs, labels, _ = corpus
+    a, b, c = (toxicity.score_documents(docs.repartition(n), labels.repartition(n)).orderBy("doc_id").toPandas().score for n in (1, 3, 7))
+    np.testing.assert_array_equal(a, b)
+    np.testing.assert_array_equal(a, c)
+
+
+def test_toxicity_telling_features(corpus):
+    """The features that take part are those whose ratio, counted plainly, lies beyond its standard errors."""
+    docs, labels, rows = corpus
+    cfg = toxicity.ToxicityConfig(orders=(4,))
+    model = toxicity.fit(docs, labels, cfg)
+    known = [(text, int(i % 6 == 0)) for i, text, *_ in rows if not held(i)]
+    counts = [Counter(), Counter()]
+    for text, toxic in known:
+        t = f" {text.lower()} "
+        grams = {np.frombuffer(t[k : k + 4].encode("utf-32-le"), dtype=np.uint32).tobytes() for k in range(len(t) - 3)}
+        hashed = {int(f) for g in grams for h, _ in toxicity.ngram_features(np.frombuffer(g, dtype=np.uint32), np.array([0, 4]), (4,), cfg.bits) for f in h}
+        counts[toxic].update(hashed)
+    n1 = sum(y for _, y in known)
+    n0 = len(known) - n1
+    want = set()
+    for f in counts[0] | counts[1]:
+        one, zero = counts[1][f] + 1, counts[0][f] + 1
+        ratio = np.log(one / (n1 + 2)) - np.log(zero / (n0 + 2))
+        if abs(ratio) > cfg.caution * np.sqrt(1 / one + 1 / zero):
+            want.add(f)
+    assert want and set(np.flatnonzero(model.table >= 0).tolist()) == want
+
+
+def test_toxicity_keeps_clashing_columns(clashing, corpus):
+    kept = toxicity.drop_toxic(clashing, corpus[1].limit(0))
+    assert kept.columns == clashing.columns and kept.count() == len(awkward_rows())
+    assert [r[0] for r in kept.select("toxicity").distinct().collect()] == ["x"]
+
+
 def test_language_held_out(corpus):
     docs, _, rows = corpus
     out = {r["doc_id"]: r for r in langid.identify_documents(docs).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,15 +72,34 @@ def _lean(run: Callable) -> Callable:
     return wrapped
 
 
+def bytes_of(size: str) -> int:
+    """The number of bytes of a setting such as ``4m``, ``512 kb`` or ``1048576``."""
+    found = re.fullmatch(r"(-?\d+) *([kmgtp]?)(?:i?b)?", size.strip().lower())
+    if not found:
+        raise ValueError(f"{size!r} is no size")
+    return int(found[1]) << (10 * " kmgtp".index(found[2] or " "))
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over batches of a bounded number of bytes, however long the texts are."""
+    """``mapInArrow`` over batches of a bounded number of bytes, however long the texts are.
+
+    The session's bound of a batch is lowered where it is above ``BATCH_BYTES``
+    or unset, and stays so, as plans read it when they run.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = df.sparkSession.conf.get(key, "64m").rstrip("b")
-    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+    if not 0 < bytes_of(df.sparkSession.conf.get(key, "64m")) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(_lean(run), schema)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, or with as many underscores more as no column's name needs; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def crc_mod4(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; the held-out fold is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

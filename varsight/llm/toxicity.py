@@ -6,8 +6,12 @@ how much more often toxic texts hold it than the others.  A logistic regression
 is then trained on the features times their ratios, so that it starts from
 naive Bayes and corrects what its independence assumption gets wrong.
 
-The fit uses at most ``fit_rows`` labelled rows, those with the smallest hash
-of their ids; scoring covers every text whole.
+A ratio counts as far as it lies beyond ``caution`` standard errors, so that
+n-grams that are too rare to tell have none, and every n-gram whose ratio is
+left takes part.  The fit uses at most ``fit_rows`` labelled rows, those with
+the smallest hash of their ids; rows are put in the order of a hash of id and
+text before they are folded and fitted, so the model depends on the rows alone
+and not on how they are dealt to tasks.  Scoring covers every text whole.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textkernels as tk
-from .common import is_held_out, map_arrow
+from .common import free_name, is_held_out, map_arrow
 
 BLOCK_CHARS = 1 << 20
 
@@ -31,23 +36,21 @@ class ToxicityConfig:
     """orders: lengths of the n-grams, in code points of the lower-cased text.
 
     bits: size of the hash space.  fit_rows: bound of the labelled sample.
-    features: how many features of the largest ratios the classifier sees.
-    caution: standard errors by which a ratio is lessened before features are
-    ranked; least_sure: what must be left of it.  smoothing, l2, steps: of the ratios and the regression.  blend:
-    share of the regression's own weights against their mean.
-    threshold: least score that counts as toxic.
+    caution: standard errors by which a ratio is drawn towards 0.
+    smoothing, l2, steps: of the ratios and the regression.  blend: share of
+    the regression's own weights against their mean.  folds: of the rows that
+    calibrate the scores.  threshold: least score that counts as toxic.
     """
 
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     fit_rows: int = 16_000
-    features: int = 2048
     caution: float = 3.0
-    least_sure: float = 0.5
     smoothing: float = 1.0
-    l2: float = 1e-3
+    l2: float = 3e-4
     blend: float = 0.9
-    steps: int = 400
+    steps: int = 200
+    folds: int = 4
     threshold: float = 0.3
 
 
@@ -108,7 +111,7 @@ def _presence_counts(cfg: ToxicityConfig) -> Callable:
 
 
 def _held_features(cfg: ToxicityConfig, rank: object) -> Callable:
-    """Per text, the sorted numbers of the chosen features it holds."""
+    """Per text, the sorted numbers of the telling features it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rank.value
@@ -116,13 +119,13 @@ def _held_features(cfg: ToxicityConfig, rank: object) -> Callable:
             owner, feature = _chosen(texts, cfg, table)
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column("toxic"), lists], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([rows.column("mark"), rows.column("toxic"), lists], ["mark", "toxic", "features"])
 
     return run
 
 
 def _chosen(texts: list[str], cfg: ToxicityConfig, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and number of every chosen feature that a text holds, once each, sorted."""
+    """Owner and number of every telling feature that a text holds, once each, sorted."""
     points, ranges = _points(texts)
     found = []
     for features, owner in ngram_features(points, ranges, cfg.orders, cfg.bits):
@@ -172,30 +175,33 @@ def _descend(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, labels: np.n
     return w, float(bias)
 
 
-def _regress(lists: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
-    """Weights of held features and a bias, calibrated on every fourth row.
+def _regress(lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, ratios: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Weights of held features and a bias.
 
     The regression's weights multiply the ratios and keep their sign; they are
-    drawn towards their mean, as naive Bayes weighs all ratios alike.
+    drawn towards their mean, as naive Bayes weighs all ratios alike.  A scale
+    and a bias make the scores probabilities: they are fitted to what each row
+    gets from the rows of the other folds.
     """
-    spare = np.arange(len(labels)) % 4 == 3
-    if min(labels[spare].sum(), (1 - labels[spare]).sum(), labels[~spare].sum()) < 1:
-        spare[:] = False
-
-    def table(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [x for x, k in zip(lists, keep, strict=True) if k]
-        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-
-    rows, cols = table(~spare)
-    w, _ = _descend(rows, cols, ratios[cols], labels[~spare], len(ratios), cfg.l2, cfg.steps)
-    w = ((1 - cfg.blend) * w.mean() + cfg.blend * w) * ratios
-    held = spare if spare.any() else ~spare
-    rows, cols = table(held)
-    z = np.bincount(rows, weights=w[cols], minlength=int(held.sum()))
-    # a scale and a bias that make the scores probabilities on rows the fit has not seen
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    cols = np.concatenate([*lists, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+
+    def weights(keep: np.ndarray) -> np.ndarray:
+        mine, number = keep[rows], np.cumsum(keep) - 1
+        w, _ = _descend(number[rows[mine]], cols[mine], ratios[cols[mine]], labels[keep], len(ratios), cfg.l2, cfg.steps)
+        return ((1 - cfg.blend) * w.mean() + cfg.blend * w) * ratios
+
+    full = weights(np.ones(len(labels), dtype=bool))
+    z = np.zeros(len(labels))
+    for k in range(cfg.folds):
+        out = fold == k
+        if out.any():
+            # where the other folds lack a class, all rows serve
+            w = weights(~out) if len(np.unique(labels[~out])) == 2 else full
+            z[out] = np.bincount(rows, weights=w[cols], minlength=len(labels))[out]
     unit = np.abs(z).mean() + 1e-9
-    scale, bias = _descend(np.arange(len(z)), np.zeros(len(z), dtype=np.int64), z / unit, labels[held], 1, 1e-4, 4 * cfg.steps)
-    return w * scale[0] / unit, bias
+    scale, bias = _descend(np.arange(len(z)), np.zeros(len(z), dtype=np.int64), z / unit, labels, 1, 1e-4, 1600)
+    return full * scale[0] / unit, bias
 
 
 def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT) -> ToxicityModel:
@@ -211,7 +217,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("mark"))
 
     counts = rows.transform(map_arrow, _presence_counts(cfg), "feature int, toxic long, other long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -224,32 +230,36 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
         return constant
     a = cfg.smoothing
     ratio = F.log((F.col("toxic") + a) / (n_toxic + 2 * a)) - F.log((F.col("other") + a) / (n - n_toxic + 2 * a))
-    # features whose ratio is large beyond its standard error
+    # what is left of a ratio beyond its standard error
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
-    best = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) - cfg.caution * error).alias("sure")).where(F.col("sure") > cfg.least_sure)
-    best = best.orderBy(F.desc("sure"), "feature").limit(cfg.features).toPandas()
+    sure = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) - cfg.caution * error).alias("sure")).where("sure > 0")
+    best = sure.select("feature", "ratio").orderBy("feature").toPandas()
     if best.empty:
         return constant
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
-    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "toxic int, features array<int>").toPandas()
+    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "mark long, toxic int, features array<int>").toPandas()
+    # equal marks are equal rows, so their order is of no account
+    sample = sample.sort_values(["mark", "toxic"], kind="stable")
     lists = [np.asarray(x, dtype=np.int64) for x in sample["features"]]
-    weights, bias = _regress(lists, sample["toxic"].to_numpy(dtype=float), ratios, cfg)
+    fold = sample["mark"].to_numpy() % cfg.folds
+    weights, bias = _regress(lists, sample["toxic"].to_numpy(dtype=float), fold, ratios, cfg)
     return ToxicityModel(cfg, table, weights, bias)
 
 
-def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of ``documents`` and ``toxicity`` (0 to 1), from the text alone.
+def score(documents: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
+    """All columns of ``documents`` and ``into`` (0 to 1), from the text alone.
 
-    A null text counts as empty; an empty text has the score of no features.
+    A null text counts as empty; an empty text has the score of no features.  A
+    column that has the name already is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = documents.drop("toxicity").schema.add("toxicity", "double")
-    documents = documents.drop("toxicity")
+    documents = documents.drop(into)
+    schema = StructType([*documents.schema.fields, StructField(into, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches_of_texts(batches):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.scores(texts))], [*rows.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.scores(texts))], [*rows.schema.names, into])
 
     return documents.transform(map_arrow, run, schema)
 
@@ -262,6 +272,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT) -> DataFrame:
-    """The rows that score below the threshold, with their columns as they were."""
+    """The rows that score below the threshold, with all their columns as they were."""
     model = fit(documents, labels, cfg)
-    return score(documents, model).where(F.col("toxicity") < cfg.threshold).drop("toxicity")
+    into = free_name(documents, "toxicity")
+    return score(documents, model, into).where(F.col(into) < cfg.threshold).drop(into)
