@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from . import textkernels as tk
 from .common import map_arrow
@@ -35,10 +35,13 @@ _BITS = 14
 
 @dataclass(frozen=True)
 class FingerprintConfig:
-    """samples: draws of a fingerprint, four hexadecimal digits each.  width: words of a term."""
+    """samples: draws of a fingerprint, four hexadecimal digits each.  width: words of a term.
+    range_chars: code points of a range of ids, on average, that one task goes through.
+    """
 
     samples: int = 64
     width: int = 5
+    range_chars: int = 32 << 20
 
 
 DEFAULT = FingerprintConfig()
@@ -204,28 +207,30 @@ def compare_edited(documents: DataFrame, cfg: FingerprintConfig = DEFAULT) -> Da
     come first, null texts are empty.  A lone row is its own next.  An empty
     table gives an empty result.
 
-    Ids are cut into ranges; a range is one stretch of a task, and the first
-    document of each range is also sent to the range before it, so texts are
-    shuffled once and no order is made over the whole table.
+    Ids are cut into ranges of about ``range_chars``, four for each shuffle
+    partition at least, and each range is a task.  The first document of each
+    range is also sent to the range before it, so texts are shuffled once and no
+    order is made over the whole table.  The driver holds one bound per range.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    if marks is None:
+    chars = rows.agg(F.sum(F.char_length("text"))).first()[0]
+    if chars is None:
         return spark.createDataFrame([], _RESULT)
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // cfg.range_chars))
+    marks = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     bounds = spark.sparkContext.broadcast(np.unique(np.array(marks, dtype=np.int64)))
 
-    @F.pandas_udf(LongType())
+    @F.pandas_udf(IntegerType())
     def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, key.to_numpy(), side="right"))
+        return pd.Series(np.searchsorted(bounds.value, key.to_numpy(), side="right").astype(np.int32))
 
     rows = rows.withColumn("bucket", range_of("key"))
     firsts = sorted((r["bucket"], r["key"]) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).collect())
     before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    halo = spark.createDataFrame(before, "key long, bucket long")
+    halo = spark.createDataFrame(before, "key long, bucket int")
     halos = rows.drop("bucket").join(F.broadcast(halo), "key").select("bucket", F.lit(True).alias("halo"), "key", "doc_id", "text")
     rows = rows.select("bucket", F.lit(False).alias("halo"), "key", "doc_id", "text").unionByName(halos)
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", "key", F.xxhash64("text"))
+    rows = rows.repartitionById(len(firsts), "bucket").sortWithinPartitions("bucket", "halo", "key", F.xxhash64("text"))
     return rows.transform(map_arrow, _compare(cfg), _RESULT)

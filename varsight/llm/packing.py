@@ -244,6 +244,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
     lanes = materialize(lanes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lanes")
     histogram = {r["length"]: r["n"] for r in lanes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_place(plan_patterns(histogram, capacity)))
-    ranked = pieces.join(lanes.select("length", "lane", "base"), ["length", "lane"]).withColumn("rank", F.col("base") + F.col("lane_rank"))
+    # lanes has a row per task and length, which grows with the input: both sides are shuffled by both keys
+    bases = lanes.select("length", "lane", "base").hint("merge")
+    ranked = pieces.join(bases, ["length", "lane"]).withColumn("rank", F.col("base") + F.col("lane_rank"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.transform(map_arrow, _assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
