@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import string
+import uuid
 import zlib
 from collections import Counter
 
@@ -220,35 +223,97 @@ def test_secret_base_spans(secret_docs):
         assert [s for s in r["spans"].split(",") if s and not s.startswith("model")] == [s for s in want.split(",") if s]
 
 
-def test_secret_network(secret_docs, spark):
-    """It finds what the rules' findings resemble and leaves addresses alone."""
-    net = secrets.fit(secret_docs)
+def held_out_families(rng):
+    """Makers of secrets that the generator of the training examples does not have, and of harmless tokens."""
+    alnum, hexa = string.ascii_letters + string.digits, "0123456789ABCDEF"
+
+    def some(signs, n):
+        return "".join(rng.choice(signs) for _ in range(n))
+
+    def part(n):
+        return base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=")
+
+    secret = {
+        "code host token": lambda: "ghp_" + some(alnum, 36),
+        "key in base64": lambda: some(alnum + "+/", 40),
+        "signed token": lambda: f"eyJhbGciOiJIUzI1NiJ9.{part(40)}.{part(32)}",
+        "cloud key": lambda: "AIza" + some(alnum + "-_", 35),
+        "chat token": lambda: f"xoxb-{some(string.digits, 12)}-{some(string.digits, 12)}-{some(alnum, 24)}",
+        "letters and digits": lambda: some(alnum, 20),
+        "upper hex 40": lambda: some(hexa, 40),
+        "upper hex 16": lambda: some(hexa, 16),
+    }
+    harmless = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "date": lambda: f"{rng.randint(1950, 2050)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+        "phone": lambda: f"{rng.randint(200, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-{rng.randint(10, 99)}",
+        "mail address": lambda: f"{some('abcdeilmnorst', 6)}.{some('abcdeilmnorst', 5)}{rng.randint(1, 99)}@{some('abcdeilmnorst', 5)}.com",
+        "network address": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+    }
+    return secret, harmless
+
+
+@pytest.fixture(scope="module")
+def net(secret_docs):
+    return secrets.fit(secret_docs)
+
+
+def test_secret_network_on_held_out_families(net):
+    """What the rules miss is found in neutral surroundings, and harmless tokens are left alone in any."""
     assert 0 < net.threshold <= 1
     rng = random.Random(1)
-    fresh = [f'key material "{rng.getrandbits(160):040X}" kept' for _ in range(50)]
-    plain = [f"write to name{i}.sur@host{i}.example.com or +1-555-{i:07d} now" for i in range(50)]
-    texts = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(fresh + plain)], SCHEMA)
-    marked = {r["doc_id"] for r in secrets.scan(texts, net).where("spans like '%model%'").collect()}
-    assert len([d for d in marked if d >= 50]) <= 2
-    assert len([d for d in marked if d < 50]) >= 25
+    neutral, suggestive = ("they wrote {} on the board yesterday", "see {}"), ("they wrote {} on the board", "api credential: {}", 'key = "{}"')
+
+    def share(make, frames):
+        texts = [f.format(make()) for f in frames for _ in range(300)]
+        found = secrets._findings(texts, secrets._Screen(net))
+        return np.mean([any(e - s > 3 for _, s, e in a) for _, a in found])
+
+    secret, harmless = held_out_families(rng)
+    found = {name: share(make, neutral) for name, make in secret.items()}
+    assert min(found.values()) >= 0.9, found
+    flagged = {name: share(make, suggestive) for name, make in harmless.items()}
+    assert max(flagged.values()) <= 0.01, flagged
+
+
+def test_secret_in_the_middle_of_a_long_run(net):
+    """A long token run is shown piece by piece, to its end."""
+    rng = random.Random(6)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    text = "go to //www.plain.example/" + "some/path/of/words/" * 20 + key + "/and/more/words" * 20 + " now"
+    (_, found), (_, none) = secrets._findings([text, text.replace(key, "and/then/further/words")], secrets._Screen(net))
+    assert any(s <= text.index(key) < e for _, s, e in found) and not none
+    cut = secrets.pieces(3, 500, net.cfg)
+    assert cut[0][0] == 3 and cut[-1][1] == 500 and all(a[0] < b[0] <= a[1] for a, b in itertools.pairwise(cut))
+
+
+def test_secret_fit_without_texts(nothing):
+    """The made examples alone train the network."""
+    assert 0 < secrets.fit(nothing, secrets.SecretConfig(fit_rows=300, epochs=2)).threshold <= 1
 
 
-def test_secret_candidates(secret_docs):
+def test_secret_candidates(net):
     """Every token run outside the base spans is shown, and the shared responses give the network's scores."""
     text = "key QwErTyUiOpAsDfGh x1 0123456789abcdefTAIL é7"
     base = secrets.base_spans(text)
     assert [text[s:e] for s, e in secrets.other_candidates(text, base)] == ["key", "QwErTyUiOpAsDfGh", "x1", "TAIL", "7"]
-    net = secrets.fit(secret_docs)
     rng = random.Random(4)
     signs = "abcxyzABCXYZ0123456789 \t\n\"'=:-_/+.,;@~(é中"
     texts = [t or "" for t in secret_texts()] + ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(300)] + [text, "a" * 39, "b1" * 60, "", "q"]
     base = [secrets.base_spans(t) for t in texts]
     shown = [(i, s, e) for i, t in enumerate(texts) for s, e in secrets.other_candidates(t, base[i])]
-    p = net.probability(np.stack([secrets.window(texts[i], s, e, net.cfg) for i, s, e in shown]))
-    for threshold in (net.threshold, float(np.median(p)) + 1e-4):
+    parts = [secrets.pieces(s, e, net.cfg) for _, s, e in shown]
+    p = net.probability(np.stack([secrets.window(texts[i], *piece, net.cfg) for (i, _, _), cut in zip(shown, parts, strict=True) for piece in cut]))
+    at = np.concatenate([[0], np.cumsum([len(cut) for cut in parts])])
+    best = np.maximum.reduceat(p, at[:-1])
+    learned = net.threshold
+    for threshold in (learned, float(np.median(best)) * 1.01):
         net.threshold = threshold
         got = secrets._findings(texts, secrets._Screen(net))
-        assert [(i, s, e) for i, (_, a) in enumerate(got) for k, s, e in a if k == "model"] == [x for x, q in zip(shown, p, strict=True) if abs(q - threshold) > 1e-6 and q >= threshold]
+        net.threshold = learned
+        clear = {x: q >= threshold for x, q in zip(shown, best, strict=True) if abs(q - threshold) > 1e-4 * threshold}
+        marked = {(i, s, e) for i, (_, a) in enumerate(got) for k, s, e in a if k == "model"}
+        assert marked & clear.keys() == {x for x, yes in clear.items() if yes} and marked <= set(shown)
 
 
 def test_redaction(secret_docs, awkward, clashing, nothing):

@@ -118,8 +118,9 @@ def _held_features(cfg: ToxicityConfig, rank: object) -> Callable:
         for rows, texts in _batches_of_texts(batches):
             owner, feature = _chosen(texts, cfg, table)
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column("mark"), rows.column("toxic"), lists], ["mark", "toxic", "features"])
+            feature = feature.astype(np.int32)
+            packed = [feature[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("mark"), rows.column("toxic"), pa.array(packed, pa.binary())], ["mark", "toxic", "features"])
 
     return run
 
@@ -151,22 +152,55 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, labels: np.ndarray, size: int, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression with weights of one sign, by accelerated gradients."""
-    n = max(len(labels), 1)
+class _Rows:
+    """Features held by each row, as one array of numbers with the rows' ends, gone through in bounded chunks."""
+
+    CHUNK = 1 << 19
+
+    def __init__(self, packed: list[bytes]):
+        self.cols = np.frombuffer(b"".join(packed), dtype=np.int32)
+        self.ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int64)
+        at = [0]
+        while at[-1] < len(packed):
+            at.append(max(at[-1] + 1, int(np.searchsorted(self.ends, self.ends[at[-1]] + self.CHUNK, side="right")) - 1))
+        self.cuts = list(zip(at[:-1], at[1:], strict=True))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per row, the sum of ``values`` over its features."""
+        out = np.zeros(len(self.ends) - 1)
+        for lo, hi in self.cuts:
+            part = np.concatenate([[0.0], np.cumsum(values[self.cols[self.ends[lo] : self.ends[hi]]])])
+            out[lo:hi] = np.diff(part[self.ends[lo : hi + 1] - self.ends[lo]])
+        return out
+
+    def spread(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Per feature, the sum of ``values`` over the rows that hold it."""
+        out = np.zeros(size)
+        for lo, hi in self.cuts:
+            each = np.repeat(values[lo:hi], np.diff(self.ends[lo : hi + 1]))
+            out += np.bincount(self.cols[self.ends[lo] : self.ends[hi]], weights=each, minlength=size)
+        return out
+
+
+def _descend(sums: Callable, spread: Callable, size: int, labels: np.ndarray, keep: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on the rows of ``keep`` with weights of one sign, by accelerated gradients.
+
+    sums: weights to the rows' sums.  spread: its transpose.
+    """
+    n = max(int(keep.sum()), 1)
     v, norm = np.ones(size + 1), 1.0
     for _ in range(20):
-        z = v[-1] + np.bincount(rows, weights=v[cols] * value, minlength=len(labels))
-        v = np.append(np.bincount(cols, weights=z[rows] * value, minlength=size), z.sum()) / n
+        z = np.where(keep, v[-1] + sums(v[:-1]), 0.0)
+        v = np.append(spread(z), z.sum()) / n
         norm = np.linalg.norm(v) or 1.0
         v /= norm
     rate = 1 / (0.26 * norm + l2)
     w, bias = np.zeros(size), 0.0
     wz, bz, t = w, bias, 1.0
     for _ in range(steps):
-        z = bz + np.bincount(rows, weights=wz[cols] * value, minlength=len(labels))
-        miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
-        new = np.maximum(wz - rate * (np.bincount(cols, weights=miss[rows] * value, minlength=size) + l2 * wz), 0)
+        z = bz + sums(wz)
+        miss = np.where(keep, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels, 0.0) / n
+        new = np.maximum(wz - rate * (spread(miss) + l2 * wz), 0)
         new_bias = bz - rate * miss.sum()
         last, t = t, (1 + (1 + 4 * t * t) ** 0.5) / 2
         k = (last - 1) / t
@@ -175,7 +209,7 @@ def _descend(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, labels: np.n
     return w, float(bias)
 
 
-def _regress(lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, ratios: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
+def _regress(held: _Rows, labels: np.ndarray, fold: np.ndarray, ratios: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
     """Weights of held features and a bias.
 
     The regression's weights multiply the ratios and keep their sign; they are
@@ -183,24 +217,21 @@ def _regress(lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, rati
     and a bias make the scores probabilities: they are fitted to what each row
     gets from the rows of the other folds.
     """
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.concatenate([*lists, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    size, every = len(ratios), np.ones(len(labels), dtype=bool)
 
     def weights(keep: np.ndarray) -> np.ndarray:
-        mine, number = keep[rows], np.cumsum(keep) - 1
-        w, _ = _descend(number[rows[mine]], cols[mine], ratios[cols[mine]], labels[keep], len(ratios), cfg.l2, cfg.steps)
+        w, _ = _descend(lambda v: held.sums(v * ratios), lambda x: held.spread(x, size) * ratios, size, labels, keep, cfg.l2, cfg.steps)
         return ((1 - cfg.blend) * w.mean() + cfg.blend * w) * ratios
 
-    full = weights(np.ones(len(labels), dtype=bool))
+    full = weights(every)
     z = np.zeros(len(labels))
     for k in range(cfg.folds):
         out = fold == k
         if out.any():
             # where the other folds lack a class, all rows serve
-            w = weights(~out) if len(np.unique(labels[~out])) == 2 else full
-            z[out] = np.bincount(rows, weights=w[cols], minlength=len(labels))[out]
+            z[out] = held.sums(weights(~out) if len(np.unique(labels[~out])) == 2 else full)[out]
     unit = np.abs(z).mean() + 1e-9
-    scale, bias = _descend(np.arange(len(z)), np.zeros(len(z), dtype=np.int64), z / unit, labels, 1, 1e-4, 1600)
+    scale, bias = _descend(lambda v: z * (v[0] / unit), lambda x: np.array([x @ z / unit]), 1, labels, every, 1e-4, 1600)
     return full * scale[0] / unit, bias
 
 
@@ -238,12 +269,12 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
         return constant
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
-    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "mark long, toxic int, features array<int>").toPandas()
+    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "mark long, toxic int, features binary").toPandas()
     # equal marks are equal rows, so their order is of no account
     sample = sample.sort_values(["mark", "toxic"], kind="stable")
-    lists = [np.asarray(x, dtype=np.int64) for x in sample["features"]]
+    held = _Rows(sample["features"].tolist())
     fold = sample["mark"].to_numpy() % cfg.folds
-    weights, bias = _regress(lists, sample["toxic"].to_numpy(dtype=float), fold, ratios, cfg)
+    weights, bias = _regress(held, sample["toxic"].to_numpy(dtype=float), fold, ratios, cfg)
     return ToxicityModel(cfg, table, weights, bias)
 
 
