@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -93,7 +95,7 @@ def expected(rows, least=0):
 @pytest.mark.parametrize("least", [0, 5])
 def test_archives(spark, least):
     df = spark.createDataFrame([(*r, "x") for r in pages()], "page_id long, url string, html string, digest string").repartition(3)
-    captures = warc.archive_pages(df, warc.WarcConfig(least_payload=least, records_per_file=40))
+    captures = warc.archive_pages(df, warc.WarcConfig(least_payload=least, archive_bytes=4000))
     got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in captures.collect())
     assert got == expected(pages(), least)
     keys = [(r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in captures.collect()]
@@ -101,6 +103,38 @@ def test_archives(spark, least):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archives_by_offset_and_in_many_ranges(spark):
+    """A seek to a record's offset yields the record; ranges of a few captures give the same order; archives end at their bound."""
+    rng = random.Random(3)
+    rows = [(i, f"http://h{rng.randrange(4)}.example/{rng.randrange(30)}", f"<p>{rng.random()}</p>" * 20) for i in range(600)] + [(900, "http://h1.example/1", None)] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    cfg = warc.WarcConfig(archive_bytes=3000, merge_rows=50)
+    captures = warc.archive_pages(df, cfg)
+    assert captures.rdd.getNumPartitions() == 13
+    found = captures.collect()
+    order = [(r["url_key"], r["captured"], r["page_id"], r["archive"], r["record_offset"]) for r in found]
+    assert order == sorted(order) and len(order) == len(set(order)) == 640
+    assert len({r["archive"] for r in found}) > 8
+    for r in found[::37]:
+        data = open(r["archive"].removeprefix("file:"), "rb").read()
+        assert len(data) < 3000 + 2000
+        unzip = zlib.decompressobj(wbits=31)
+        head = unzip.decompress(data[r["record_offset"] :]).decode().split("\r\n")
+        assert unzip.eof and f"WARC-Record-ID: <urn:capture:{r['page_id']}>" in head and f"WARC-Payload-Digest: sha1:{r['payload_digest']}" in head
+
+
+def test_large_records_and_torn_archives():
+    """A record whose length does not end in a zero byte is followed by an empty member; torn archives are refused."""
+    big = warc.record_bytes(1, "http://a.b/", "x" * (17 << 20), 17 << 20, warc.payload_digest(b"x" * (17 << 20)), None, False, warc.DEFAULT)
+    packed = warc._member(big)
+    assert packed.endswith(b"\0") and gzip.decompress(packed) == big
+    small = warc._member(warc.record_bytes(2, None, None, 0, warc.payload_digest(b""), 1, True, warc.DEFAULT))
+    heads = [(h["warc-type"], at) for h, at, _ in warc.parse_records(packed + small)]
+    assert heads == [("response", 0), ("revisit", len(packed))]
+    with pytest.raises(ValueError):
+        list(warc.parse_records((packed + small)[:-9]))
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/A?B=1") == "com,example)/a?b=1"
     assert warc.url_key("https://x.org:8443/") == "org,x:8443)/" and warc.url_key(None) == ")/"

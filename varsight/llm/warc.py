@@ -1,14 +1,18 @@
 """WARC archives: writing, reading back, and a merged capture index.
 
-Records are rows whose text is a whole record; Spark's text writer puts them
-into files through its commit protocol, on any file system it knows, so an
-archive survives lost executors.  Archives are gzipped whole.  A payload that another record holds already
-becomes a revisit record, which refers to that record and repeats no payload.
-
-Reading parses archives by their length fields, sorts each archive's captures
-by URL key, time and record, and merges those runs: captures are dealt by
-ranges of the key, and every task merges the sorted runs it got with a loser
-tree, so that the whole index is in order.
+An archive is a row of bytes: a warcinfo record and then records up to a bound
+of bytes, each a gzip member of its own, so that a record can be read from its
+offset alone.  Spark's text writer puts one row into each file through its
+commit protocol, on any file system it knows, so archives survive lost
+executors.  A payload that another record holds already becomes a revisit
+record, which refers to that record and repeats no payload.
+
+Reading parses archives member by member and sorts each archive's captures by
+URL key, time and record; these runs are written to the shared folder.  They
+are merged externally: captures are dealt by ranges of the whole order, so many
+that a range has a bounded number of them at any size and however often a key
+occurs, and a task merges its range of every run with a loser tree.  Ranges
+follow each other, so the whole index is in order.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_shared_path
+from .common import map_arrow, materialize, new_shared_path
 
 _END = "\r\n"
 _ID = "urn:capture:"
@@ -37,12 +43,17 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class WarcConfig:
     """least_payload: bytes from which equal payloads are written once.
-    records_per_file: bound of an archive.  crawl_start: time of the first
-    capture; a page is captured as many seconds later as its id says, modulo a year.
+    archive_bytes: compressed bytes after which an archive is closed; a record
+    is never cut.  salts: parts into which the copies of one payload are dealt.
+    merge_rows: captures of a range that one task merges, on average.
+    crawl_start: time of the first capture; a page is captured as many seconds
+    later as its id says, modulo a year.
     """
 
     least_payload: int = 0
-    records_per_file: int = 500
+    archive_bytes: int = 8 << 20
+    salts: int = 32
+    merge_rows: int = 100_000
     crawl_start: datetime = datetime(2024, 1, 1, tzinfo=UTC)
 
 
@@ -77,11 +88,9 @@ def _one_line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f\x85  ]+", " ", value).strip()
 
 
-def record_text(page_id: int | None, url: str | None, html: str | None, digest: str, response: int | None, revisit: bool, cfg: WarcConfig) -> str:
-    """A record but for its last line end, which the writer adds."""
-    payload = html or ""
-    size = len(payload.encode("utf-8"))
-    block = _HTTP.format(size) + ("" if revisit else payload)
+def record_bytes(page_id: int | None, url: str | None, html: str | None, size: int, digest: str, response: int | None, revisit: bool, cfg: WarcConfig) -> bytes:
+    """A whole record.  A revisit states the size of the payload that it does not repeat."""
+    block = _HTTP.format(size).encode() + (b"" if revisit else (html or "").encode("utf-8"))
     when = cfg.crawl_start + timedelta(seconds=(page_id or 0) % 31_536_000)
     head = [
         "WARC/1.1",
@@ -91,56 +100,115 @@ def record_text(page_id: int | None, url: str | None, html: str | None, digest:
         f"WARC-Target-URI: {_one_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block.encode('utf-8'))}",
+        f"Content-Length: {len(block)}",
     ]
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_ID}{'' if response is None else response}>"]
-    return _END.join(head) + _END + _END + block + _END
+    return (_END.join(head) + _END + _END).encode("utf-8") + block + 2 * _END.encode()
+
+
+def _info_record(cfg: WarcConfig) -> bytes:
+    block = f"software: varsight{_END}format: WARC File Format 1.1{_END}".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{_ID}info>", f"WARC-Date: {cfg.crawl_start:%Y-%m-%dT%H:%M:%SZ}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return (_END.join(head) + _END + _END).encode() + block + 2 * _END.encode()
+
+
+def _member(record: bytes) -> bytes:
+    """A gzip member.  It ends with the upper byte of the record's length, and an
+    empty member follows where that byte is not zero, as for 16 MB and more.
+    """
+    packed = gzip.compress(record, 5, mtime=0)
+    return packed if packed.endswith(b"\0") else packed + gzip.compress(b"", mtime=0)
+
+
+def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without the payloads that are copies for certain, as a smaller id in the batch has the same one."""
+    for batch in batches:
+        names = batch.schema.names
+        ids, digests = batch.column(names.index("page_id")).to_pylist(), batch.column(names.index("digest")).to_pylist()
+        least: dict[str, int] = {}
+        for i, d in zip(ids, digests, strict=True):
+            if d is not None and i is not None and i < least.get(d, i + 1):
+                least[d] = i
+        copy = pa.array([d is not None and d in least and i != least[d] for i, d in zip(ids, digests, strict=True)])
+        at = names.index("html")
+        html = pc.if_else(copy, pa.scalar(None, batch.column(at).type), batch.column(at))
+        yield pa.RecordBatch.from_arrays([html if k == at else batch.column(k) for k in range(len(names))], names)
 
 
 def _write_rows(cfg: WarcConfig) -> Callable:
+    """Rows to archives, each without its last byte, which is zero and which the writer adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info = _member(_info_record(cfg))
+        held: list[bytes] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([info, *held])[:-1]], pa.binary())], ["value"])
+
         for batch in batches:
-            names = ("page_id", "url", "html", "digest", "first_id", "copies")
-            rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-            texts = []
-            for page_id, url, html, digest, first, copies in rows:
-                bare = base64.b32encode(bytes.fromhex(digest)).decode()
+            names = ("page_id", "url", "html", "size", "sha1", "first_id", "copies")
+            for page_id, url, html, n, sha1, first, copies in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                bare = base64.b32encode(bytes.fromhex(sha1)).decode()
                 revisit = bool(copies and copies > 1 and first is not None and page_id != first)
-                texts.append(record_text(page_id, url, html, bare, first, revisit, cfg))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+                held.append(_member(record_bytes(page_id, url, html, n, bare, first, revisit, cfg)))
+                size += len(held[-1])
+                if size >= cfg.archive_bytes:
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
 
     return run
 
 
 def write_archives(pages: DataFrame, path: str, cfg: WarcConfig = DEFAULT) -> None:
-    """Write a record per row of ``pages(page_id, url, html)`` as WARC files under ``path``.
+    """Write a record per row of ``pages(page_id, url, html)`` into archives under ``path``.
+
+    The files are gzipped WARC; their names are those of Spark's text writer.
 
     Of rows with equal payloads of ``least_payload`` bytes or more, that with
     the smallest page_id is the response; rows that repeat its id are responses
     as well, rows without an id are revisits.  A null html is an empty payload.
+
+    Copies of a payload are dealt to ``salts`` parts, and lose their html before
+    the shuffle where a task sees that they are copies.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    large = rows.where(F.octet_length("html") >= cfg.least_payload)
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first_id", "copies")
-    records = joined.transform(map_arrow, _write_rows(cfg), "value string")
-    records.write.option("lineSep", _END).option("maxRecordsPerFile", cfg.records_per_file).option("compression", "gzip").text(path)
+    rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("digest", F.when(F.col("size") >= cfg.least_payload, F.col("sha1")))
+    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("digest is not null and copies > 1")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1)))).hint("merge")
+    shed = rows.transform(map_arrow, _without_copies, "page_id long, url string, html string, size long, sha1 string, digest string").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(cfg.salts)).cast("int"))
+    joined = shed.join(firsts, ["digest", "salt"], "left").select("page_id", "url", "html", "size", "sha1", "first_id", "copies")
+    archives = joined.transform(map_arrow, _write_rows(cfg), "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
-    """Header fields in lower case, start and block of every record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in data[at:end].decode("utf-8").split(_END)[1:])
-        head = {k.lower(): v for k, v in fields.items()}
-        size = int(head["content-length"])
-        yield head, at, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """Header fields in lower case, offset of the gzip member and block of every record of an archive."""
+    view, at, start, step = memoryview(data), 0, 0, 1 << 16
+    while start < len(data):
+        unzip = zlib.decompressobj(wbits=31)
+        parts, at = [], start
+        while not unzip.eof:
+            if at >= len(data):
+                raise ValueError(f"the member at byte {start} is cut off")
+            parts.append(unzip.decompress(view[at : at + step]))
+            at = min(at + step, len(data))
+        record = b"".join(parts)
+        if record:
+            end = record.find(b"\r\n\r\n")
+            if end < 0 or not record.startswith(b"WARC/"):
+                raise ValueError(f"no record at byte {start}")
+            fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in record[:end].decode("utf-8").split(_END)[1:])
+            head = {k.lower(): v for k, v in fields.items()}
+            size = int(head["content-length"])
+            if len(record) != end + 4 + size + 4:
+                raise ValueError(f"the record at byte {start} does not have the length it states")
+            yield head, start, record[end + 4 : end + 4 + size]
+        start = at - len(unzip.unused_data)
 
 
 _CAPTURE = "url_key string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, record_offset long"
@@ -157,8 +225,10 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             run = []
-            for head, at, block in parse_records(gzip.decompress(content)):
+            for head, at, block in parse_records(content):
                 kind = head["warc-type"]
+                if kind == "warcinfo":
+                    continue
                 http, _, payload = block.partition(b"\r\n\r\n")
                 size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
                 digest = head["warc-payload-digest"].removeprefix("sha1:")
@@ -240,15 +310,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, cfg: WarcConfig = DEFAULT) -> DataFrame:
     """The index of the archives under ``path``: captures by URL key, time and record id.
 
-    Partitions are consecutive ranges of that order, and each is sorted.
+    Partitions are consecutive ranges of that order, and each is sorted.  The
+    archive and the offset end the order, so that no two captures are equal in it.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    captures = archives.transform(map_arrow, _captures, _CAPTURE)
-    dealt = captures.repartitionByRange(F.col("url_key"), F.col("captured"), F.col("page_id"))
-    return dealt.transform(map_arrow, _merge, _CAPTURE)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("path", "content")
+    runs = materialize(archives.transform(map_arrow, _captures, _CAPTURE), "runs")
+    ranges = max(1, -(-runs.count() // cfg.merge_rows))
+    order = ["url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "record_offset"]
+    return runs.repartitionByRange(ranges, *order).transform(map_arrow, _merge, _CAPTURE)
 
 
 def archive_pages(pages: DataFrame, cfg: WarcConfig = DEFAULT) -> DataFrame:
@@ -256,4 +328,4 @@ def archive_pages(pages: DataFrame, cfg: WarcConfig = DEFAULT) -> DataFrame:
     spark = pages.sparkSession
     path = new_shared_path(spark, "warc")
     write_archives(pages, path, cfg)
-    return read_captures(spark, path)
+    return read_captures(spark, path, cfg)
