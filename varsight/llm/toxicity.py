@@ -45,12 +45,12 @@ class ToxicityConfig:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     fit_rows: int = 16_000
-    caution: float = 3.0
+    caution: float = 4.0
     smoothing: float = 1.0
     l2: float = 3e-4
     blend: float = 0.9
-    steps: int = 200
-    folds: int = 4
+    steps: int = 120
+    folds: int = 3
     threshold: float = 0.3
 
 
@@ -182,19 +182,24 @@ class _Rows:
         return out
 
 
-def _descend(sums: Callable, spread: Callable, size: int, labels: np.ndarray, keep: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def _norm(sums: Callable, spread: Callable, size: int, n: int, rounds: int = 20) -> float:
+    """Largest eigenvalue of the features' and the constant's mean outer product over ``n`` rows."""
+    v, norm = np.ones(size + 1), 1.0
+    for _ in range(rounds):
+        z = v[-1] + sums(v[:-1])
+        v = np.append(spread(z), z.sum()) / max(n, 1)
+        norm = np.linalg.norm(v) or 1.0
+        v /= norm
+    return float(norm)
+
+
+def _descend(sums: Callable, spread: Callable, size: int, norm: float, labels: np.ndarray, keep: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on the rows of ``keep`` with weights of one sign, by accelerated gradients.
 
-    sums: weights to the rows' sums.  spread: its transpose.
+    sums: weights to the rows' sums.  spread: its transpose.  norm: of all rows.
     """
     n = max(int(keep.sum()), 1)
-    v, norm = np.ones(size + 1), 1.0
-    for _ in range(20):
-        z = np.where(keep, v[-1] + sums(v[:-1]), 0.0)
-        v = np.append(spread(z), z.sum()) / n
-        norm = np.linalg.norm(v) or 1.0
-        v /= norm
-    rate = 1 / (0.26 * norm + l2)
+    rate = 1 / (0.26 * norm * len(labels) / n + l2)
     w, bias = np.zeros(size), 0.0
     wz, bz, t = w, bias, 1.0
     for _ in range(steps):
@@ -218,9 +223,11 @@ def _regress(held: _Rows, labels: np.ndarray, fold: np.ndarray, ratios: np.ndarr
     gets from the rows of the other folds.
     """
     size, every = len(ratios), np.ones(len(labels), dtype=bool)
+    moves = (lambda v: held.sums(v * ratios)), (lambda x: held.spread(x, size) * ratios)
+    norm = _norm(*moves, size, len(labels))
 
     def weights(keep: np.ndarray) -> np.ndarray:
-        w, _ = _descend(lambda v: held.sums(v * ratios), lambda x: held.spread(x, size) * ratios, size, labels, keep, cfg.l2, cfg.steps)
+        w, _ = _descend(*moves, size, norm, labels, keep, cfg.l2, cfg.steps)
         return ((1 - cfg.blend) * w.mean() + cfg.blend * w) * ratios
 
     full = weights(every)
@@ -231,7 +238,9 @@ def _regress(held: _Rows, labels: np.ndarray, fold: np.ndarray, ratios: np.ndarr
             # where the other folds lack a class, all rows serve
             z[out] = held.sums(weights(~out) if len(np.unique(labels[~out])) == 2 else full)[out]
     unit = np.abs(z).mean() + 1e-9
-    scale, bias = _descend(lambda v: z * (v[0] / unit), lambda x: np.array([x @ z / unit]), 1, labels, every, 1e-4, 1600)
+    z /= unit
+    moves = (lambda v: z * v[0]), (lambda x: np.array([x @ z]))
+    scale, bias = _descend(*moves, 1, _norm(*moves, 1, len(z)), labels, every, 1e-4, 1600)
     return full * scale[0] / unit, bias
 
 
