@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,28 +49,73 @@ def _contract(large: bool) -> Callable:
     return run
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    return edges.repartition("a").sortWithinPartitions("a", "b").transform(map_arrow, _contract(large), "a long, b long")
+@dataclass(frozen=True)
+class GraphConfig:
+    """hub_rows: neighbours beyond which a node's edges are dealt to several tasks;
+    the bound is at least the edges divided by ``hubs``, so that no more nodes
+    than that are beyond it.  hub_parts: tasks of such a node.  max_rounds: limit.
+    """
+
+    hub_rows: int = 4096
+    hubs: int = 1024
+    hub_parts: int = 64
+    max_rounds: int = 60
+
+
+DEFAULT = GraphConfig()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _hubs(edges: DataFrame, cfg: GraphConfig) -> tuple[tuple, list[tuple[int, int]]]:
+    """A mark of the edges, and the nodes ``a`` of too many edges with their smallest neighbour.
+
+    A node's edges are counted before they are shuffled.
+    """
+    nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark"))
+    total, most, mark = nodes.agg(F.sum("n"), F.max("n"), F.sum("mark")).first()
+    bound = max(cfg.hub_rows, (total or 0) // cfg.hubs)
+    if (most or 0) <= bound:
+        return (total, mark), []
+    return (total, mark), [(r["a"], r["least"]) for r in nodes.where(F.col("n") > bound).select("a", "least").collect()]
+
+
+def _stars(edges: DataFrame, large: bool, hubs: list[tuple[int, int]], cfg: GraphConfig) -> DataFrame:
+    """Contracted edges.  The edges of hubs go to several tasks, each of which also gets the hub's smallest neighbour."""
+    edges = edges.select("a", "b")
+    if not hubs:
+        return edges.repartition("a").sortWithinPartitions("a", "b").transform(map_arrow, _contract(large), "a long, b long")
+    spark = edges.sparkSession
+    known = F.broadcast(spark.createDataFrame(hubs, "hub long, least long"))
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(cfg.hub_parts)).cast("int")).otherwise(F.lit(0))
+    dealt = edges.join(known, F.col("a") == F.col("hub"), "left").select("a", "b", part.alias("part"))
+    heads = spark.createDataFrame([(a, b, k) for a, b in hubs for k in range(cfg.hub_parts)], "a long, b long, part int")
+    rows = dealt.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    # parts of a node that meet in one task follow each other; each starts with the smallest neighbour
+    return rows.select("a", "b").transform(map_arrow, _contract(large), "a long, b long")
+
+
+def connected_components(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
     """``edges(a long, b long)`` to ``(node, component)``; component is its smallest node.
 
     Nodes that no edge between two different nodes names are absent.  A round
     is two shuffles of the edges and at least halves path lengths; its edges go
     to the shared folder.  Null ends are ignored; an empty edge table gives an
     empty result.
+
+    A node with very many neighbours is no hot spot: its edges are dealt to
+    ``hub_parts`` tasks.  After large stars a node has one edge for each smaller
+    neighbour it had, so small stars need that only in the first step.
     """
     down = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = materialize(_stars(down, large=False), "edges")
-    mark = None
-    for _ in range(max_rounds):
-        row = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if row == mark or not row[0]:
-            break
-        mark = row
+    down = materialize(down, "edges")
+    current = materialize(_stars(down, False, _hubs(down, cfg)[1], cfg), "edges")
+    last = None
+    for _ in range(cfg.max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        current = materialize(_stars(_stars(both, large=True), large=False), "edges")
+        mark, hubs = _hubs(both, cfg)
+        if mark == last or not mark[0]:
+            break
+        last = mark
+        current = materialize(_stars(_stars(both, True, hubs, cfg), False, [], cfg), "edges")
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .common import map_arrow, materialize
+from .common import free_name, map_arrow, materialize
 from .graph import connected_components
 
 GROUPS = 64
@@ -43,22 +43,23 @@ _MANY = 4096
 class JoinConfig:
     """width: words of a shingle.  percent: least Jaccard similarity in hundredths.
 
-    tile_docs: documents of one R-tree tile, and of a block that asks it, on
-    average, as a hash deals them.  hubs: members of a large family
-    that all its tiles hold.  sample_docs, sample_repeats: the order of the
-    shingles puts those last that so many of so many sampled documents hold;
-    any order gives the same result, this one keeps common passages apart.
-    filter_bits: size of the bitmap that keeps unneeded sets out of a shuffle.
+    tile_docs, tile_shingles: documents and shingles of one R-tree tile, and of
+    a block that asks it, on average, as a hash deals them.  hubs: members of a
+    large family that all its tiles hold.  order_bits: size of the table of
+    counts that orders the shingles; any order gives the same result, this one
+    puts those last that many documents hold.  filter_bits: size of the bitmap
+    that keeps unneeded sets out of a shuffle.  salts: parts of a large family
+    where its members meet its figures.
     """
 
     width: int = 5
     percent: int = 75
     tile_docs: int = 1024
+    tile_shingles: int = 2_000_000
     hubs: int = 64
-    sample_docs: int = 8000
-    sample_repeats: int = 3
-    common_limit: int = 200_000
-    filter_bits: int = 1 << 23
+    order_bits: int = 21
+    filter_bits: int = 1 << 25
+    salts: int = 64
 
     def least_common(self, n: np.ndarray) -> np.ndarray:
         return np.maximum(1, n // 5)
@@ -107,40 +108,81 @@ def _new_classes(seen: set[int], classes: np.ndarray, sizes: np.ndarray) -> list
     return rows
 
 
-def _all_shingles(width: int) -> Callable:
+_PART = 1 << 13  # counts of one row of the table
+
+
+def _tally(cfg: JoinConfig) -> Callable:
+    """How many of a task's classes hold a shingle of each hash, as rows ``(part, counts)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << cfg.order_bits, dtype=np.uint32)
+        mask = np.uint64(len(counts) - 1)
         seen: set[int] = set()
         for batch in batches:
-            for _, _, flat, ranges, classes, sizes in _sets(batch, width):
-                rows = _new_classes(seen, classes, sizes)
-                keys = [flat[ranges[i] : ranges[i + 1]] for i in rows]
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(classes[rows], sizes[rows]))], ["key", "class_id"])
+            for _, _, flat, ranges, classes, sizes in _sets(batch, cfg.width):
+                new = np.zeros(len(sizes), dtype=bool)
+                new[_new_classes(seen, classes, sizes)] = True
+                np.add.at(counts, (flat[np.repeat(new, sizes)] & mask).astype(np.int64), np.uint32(1))
+        for part, row in enumerate(counts.reshape(-1, min(_PART, len(counts)))):
+            if row.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["part", "counts"])
 
     return run
 
 
-def _prefixes(cfg: JoinConfig, common: object) -> Callable:
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of parts to ``(part, levels)``: eight times the binary logarithm of the summed counts."""
+    part, total = None, None
+
+    def told() -> pa.RecordBatch:
+        levels = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["part", "levels"])
+
+    for batch in batches:
+        for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row = np.frombuffer(raw, dtype=np.uint32).astype(float)
+            if p == part:
+                total += row
+                continue
+            if part is not None:
+                yield told()
+            part, total = p, row
+    if part is not None:
+        yield told()
+
+
+def common_levels(texts: DataFrame, cfg: JoinConfig = DEFAULT) -> np.ndarray:
+    """For each hash of a shingle, a level that grows with the number of documents that hold such a shingle.
+
+    Counted over all documents, in a table of fixed size for each task and in sum.
+    """
+    rows = texts.select("text").transform(map_arrow, _tally(cfg), "part int, counts binary")
+    rows = rows.repartition("part").sortWithinPartitions("part").transform(map_arrow, _levels, "part int, levels binary").collect()
+    out = np.zeros(1 << cfg.order_bits, dtype=np.uint8)
+    for r in rows:
+        row = np.frombuffer(r["levels"], dtype=np.uint8)
+        out[r["part"] * len(row) : (r["part"] + 1) * len(row)] = row
+    return out
+
+
+def _prefixes(cfg: JoinConfig, levels: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
+        level = levels.value
+        mask = np.uint64(len(level) - 1)
         seen: set[int] = set()
         for batch in batches:
             for _, _, flat, ranges, classes, sizes in _sets(batch, cfg.width):
                 rows = _new_classes(seen, classes, sizes)
-                takes = cfg.prefix(sizes)
-                if len(last) and len(flat):
-                    at = np.minimum(np.searchsorted(last, flat), len(last) - 1)
-                    late = last[at] == flat
-                else:
-                    late = np.zeros(len(flat), bool)
-                keys = []
-                for i in rows:
-                    s, m = flat[ranges[i] : ranges[i + 1]], late[ranges[i] : ranges[i + 1]]
-                    p = takes[i]
-                    early = s[~m] if m.any() else s
-                    keys.append(early[:p] if len(early) >= p else np.concatenate([early, s[m][: p - len(early)]]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(classes[rows], takes[rows]))], ["key", "class_id"])
+                if not rows:
+                    continue
+                # each set in order of levels, then of the shingles themselves, as the sets come
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(owner << 8 | level[(flat & mask).astype(np.int64)], kind="stable")
+                takes = cfg.prefix(sizes)[rows]
+                first = ranges[rows]
+                ends = np.cumsum(takes)
+                at = np.arange(ends[-1]) + np.repeat(first - ends + takes, takes)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order[at]].view(np.int64)), pa.array(np.repeat(classes[rows], takes))], ["key", "class_id"])
 
     return run
 
@@ -153,7 +195,7 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """
     k = np.zeros(0, dtype=np.int64)
     c = np.zeros(0, dtype=np.int64)
-    many = None  # a key of which _MANY rows have been told
+    many = None  # a key of which _MANY rows have been told, and the last class of them
 
     def told(classes: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(keys), pa.array(held.astype(np.int64))], ["class_id", "key", "held"])
@@ -162,9 +204,12 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         k = np.concatenate([k, batch.column(0).to_numpy()])
         c = np.concatenate([c, batch.column(1).to_numpy()])
         if many is not None and len(k):
-            more = int(np.searchsorted(k, many, side="right"))
+            more = int(np.searchsorted(k, many[0], side="right"))
             if more:
-                yield told(c[:more], k[:more], np.full(more, _MANY))
+                fresh = np.diff(c[:more], prepend=many[1]) != 0
+                if fresh.any():
+                    yield told(c[:more][fresh], k[:more][fresh], np.full(int(fresh.sum()), _MANY))
+                many = many[0], c[more - 1]
                 k, c = k[more:], c[more:]
             if len(k):
                 many = None
@@ -182,7 +227,7 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         k, c = k[last:], c[last:]
         if len(k) >= _MANY:
             yield told(c, k, np.full(len(k), _MANY))
-            many = k[0]
+            many = k[0], c[-1]
             k, c = k[:0], c[:0]
     if len(k) > 1:
         yield told(c, k, np.full(len(k), min(len(k), _MANY)))
@@ -333,19 +378,20 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.transform(map_arrow, _link_tiles(percent), "a long, b long")
 
 
+def _figures(members: DataFrame, figures: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Members with their family's figures; a large family's members meet them in several tasks."""
+    salted = figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(cfg.salts)).cast("int")).join(salted, ["family", "salt"], "left").drop("salt")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
     """``(node, component)`` over the class ids that link with another class."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    sample = classes.groupBy("class_id").agg(F.min("doc_id").alias("doc_id")).orderBy("class_id").limit(cfg.sample_docs)
-    sampled = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("text")
-    counted = sampled.transform(map_arrow, _all_shingles(cfg.width), "key long, class_id long").distinct().groupBy("key").count()
-    last = counted.where(F.col("count") >= cfg.sample_repeats).orderBy(F.desc("count"), "key").limit(cfg.common_limit).select("key").toPandas()
-    common = sc.broadcast(np.sort(last["key"].to_numpy().astype(np.int64).view(np.uint64)))
-
-    keys = texts.select("text").transform(map_arrow, _prefixes(cfg, common), "key long, class_id long")
+    levels = sc.broadcast(common_levels(texts, cfg))
+    keys = texts.select("text").transform(map_arrow, _prefixes(cfg, levels), "key long, class_id long")
     keys = keys.repartition("key").sortWithinPartitions("key", "class_id")
     repeated = keys.transform(map_arrow, _repeated_keys, "class_id long, key long, held long")
     sizes = classes.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"))
@@ -357,9 +403,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     rare = ranked.where("place <= found - need + 1").select("key", "class_id")
     edges = rare.repartition("key").sortWithinPartitions("key", "class_id").transform(map_arrow, _hubs, "class_id long, hub long")
     families = connected_components(edges.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
-    members = families.select(F.col("node").alias("class_id"), F.col("component").alias("family"))
-    members = members.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("family"))).withColumn("tiles", F.ceil(F.col("count") / cfg.tile_docs))
-    members = materialize(members.select("class_id", "family", "count", "tiles"), "members")
+    members = families.select(F.col("node").alias("class_id"), F.col("component").alias("family")).join(sizes, "class_id")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / cfg.tile_docs, F.sum("n_shingles") / cfg.tile_shingles))
+    figures = members.groupBy("family").agg(F.count(F.lit(1)).alias("count"), parts.alias("tiles")).where("tiles > 1")
+    members = _figures(members, figures, cfg).select("class_id", "family", F.coalesce("count", F.lit(1)).alias("count"), F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    members = materialize(members, "members")
 
     low = F.col("class_id").bitwiseAND(cfg.filter_bits - 1)
     bits = members.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((class_id & {63}) as int))")).alias("bits")).toPandas()
@@ -374,15 +422,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     large = members.where("tiles > 1")
     if large.limit(1).count():
         joined = connected_components(links).select(F.col("node").alias("class_id"), "component")
-        large = large.join(joined, "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).withColumn("own", own)
+        large = large.join(joined, "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).withColumn("own", own).drop("component")
         main = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        large = materialize(large.join(main, "family").withColumn("probe", F.col("label") != F.col("main")), "large")
+        large = materialize(_figures(large, main, cfg).withColumn("probe", F.col("label") != F.col("main")), "large")
         # a task holds one block of those that ask and one tile of those that answer
-        wanting = large.where("probe").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / cfg.tile_docs).alias("blocks"))
+        wanting = large.where("probe").groupBy("family").agg(F.ceil(F.count(F.lit(1)) * F.max("tiles") / F.max("count")).alias("blocks"))
         all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         all_tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
         tile = (F.col("block") * F.col("tiles") + F.col("own")).alias("tile")
-        large = large.join(wanting, "family")
+        large = _figures(large, wanting, cfg).where("blocks is not null")
         answer = large.withColumn("block", all_blocks).select("family", tile, "class_id", "label", F.lit(False).alias("probe"))
         ask = large.where("probe").withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(11)), F.col("blocks"))).withColumn("own", all_tiles)
         ask = ask.select("family", tile, "class_id", "label", "probe")
@@ -412,19 +460,19 @@ def ngram_components(docs: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
-    """One row of each component stays, that with the smallest doc_id.
+    """One row of each component stays, that with the smallest doc_id, with all its columns as they were.
 
     Rows with no words all stay.  Of rows that repeat an id within a component,
     one stays; a component without any id keeps one row.
     """
     columns = docs.columns
-    stored = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    keyed = stored.select(F.col("_row").alias("doc_id"), "text")
-    found = ngram_components(keyed, cfg).select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
-    ids = stored.select("_row", F.col("doc_id").alias("_id"))
-    ranked = found.join(ids, "_row").groupBy(F.when(F.col("n_shingles") > 0, F.col("_group")).otherwise(F.col("_row")).alias("_key"))
-    best = ranked.agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_row")).select("_row")
-    return stored.join(best, "_row", "left_semi").select(*columns)
+    row = free_name(docs, "row_number")
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+    found = ngram_components(stored.select(F.col(row).alias("doc_id"), "text"), cfg)
+    found = found.select(F.col("doc_id").alias("place"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("group"))
+    ids = stored.select(F.col(row).alias("place"), F.col("doc_id").alias("id"))
+    best = found.join(ids, "place").groupBy("group").agg(F.min_by("place", F.struct(F.col("id").isNull(), "id", "place")).alias(row)).select(row)
+    return stored.join(best, row, "left_semi").select(*columns)
 
 
 __all__ = ["JoinConfig", "classify", "keep_first", "link_classes", "ngram_components"]
