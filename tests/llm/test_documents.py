@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, awkward_rows, prose
 from varsight.llm import fingerprints, licenses, queries, warc
+from varsight.llm.license_texts import templates as known_templates
 
 
 def bag(text, width=5):
@@ -147,26 +148,68 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, key=lambda r: r)) == sorted(x for r in runs for x in r)
 
 
+def notices():
+    """Wordings and the names that each belongs to; one wording may stand for several."""
+    out = {}
+    for name, texts in known_templates().items():
+        for text in texts:
+            out.setdefault(" ".join(re.findall(r"[a-z0-9]+", text.lower())), (text, set()))[1].add(name)
+    return list(out.values())
+
+
 def test_licenses(spark, awkward, clashing, nothing):
+    """Every wording is found in running text, in other case and wrapping, and where it lies."""
     rng = random.Random(6)
     texts, want = [], []
-    for name, notices in licenses.TEMPLATES.items():
-        for notice in notices:
-            body = prose(rng, 40) + "\n" + notice + "\n" + prose(rng, 40)
-            texts += [body, body.upper().replace(" ", "\n  ")]
-            want += [name, name]
-    texts += [prose(rng, 100), "the License of the software, the terms of use and of the public"]
-    want += ["", ""]
+    for notice, names in notices():
+        body = prose(rng, 40) + "\n" + notice + "\n" + prose(rng, 40)
+        texts += [body, body.upper().replace(" ", "\n  ")]
+        want += [names, names]
+    texts += [prose(rng, 100), "the License of the software, the terms of use and of the public", notices()[0][0] + " " + prose(rng, 30) + " " + notices()[0][0]]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(df).collect()}
-    for i, name in enumerate(want):
-        assert (name in got[i].split(",")) if name else got[i] == "", texts[i][:80]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for i, names in enumerate(want):
+        assert set(got[i]["licenses"].split(",")) & names, texts[i][200:300]
+        first = int(got[i]["spans"].split(":")[1])
+        assert 38 <= first <= 44 or got[i]["n_matches"] > 1, got[i]
+    n = len(want)
+    assert got[n]["licenses"] == got[n + 1]["licenses"] == "" and got[n + 2]["n_matches"] == 2
     assert licenses.scan_licenses(awkward).count() == licenses.scan_licenses(clashing).count() == len(awkward_rows())
     assert licenses.scan_licenses(nothing).count() == 0
+    assert licenses.scan_licenses(awkward, templates={}).where("n_matches > 0").count() == 0
+    assert licenses.scan_licenses(awkward, templates={"none": ["", " . "]}).where("n_matches > 0").count() == 0
     cfg = licenses.DEFAULT
     assert 1 - (1 - cfg.similarity**cfg.rows) ** licenses.bands_for(cfg) >= cfg.recall
 
 
+def test_licenses_against_brute_force():
+    """On edited notices the bands retrieve what an exhaustive check of all windows and templates accepts."""
+    rng = random.Random(12)
+    cfg = licenses.DEFAULT
+    index = licenses.TemplateIndex(known_templates(), cfg)
+    accepted = lost = 0
+    long = [text for text, _ in notices() if len(text.split()) > 12]
+    for _ in range(150):
+        words = rng.choice(long).split()[:120]
+        for _ in range(rng.randrange(0, 1 + len(words) // 7)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [f"edit{rng.randrange(99)}"]
+        raw = np.frombuffer((prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30)).encode(), dtype=np.uint8)
+        hashes, ranges = licenses.tk.word_hashes(licenses._normal(raw), np.array([0, len(raw)]))
+        shingles, _ = licenses.tk.shingle_hashes(hashes, ranges, cfg.width)
+        for span, members, least, tables in index.classes:
+            size, step = span + max(span // 2, 2), max(span // 4, 1)
+            for s in range(0, len(shingles), step):
+                window = shingles[s : s + size]
+                known = set(window.tolist())
+                hold = {i for i in members if len(known & set(index.sets[i].tolist())) >= cfg.containment * len(index.sets[i])}
+                if hold:
+                    assert np.isin(window, index.known).sum() >= least
+                    accepted += len(hold)
+                    lost += len(hold - index.retrieved(window, tables))
+    assert accepted > 300 and lost <= 0.005 * accepted
+
+
 def test_registry():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert names == list(range(1, 11))

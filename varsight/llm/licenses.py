@@ -1,15 +1,18 @@
 """License scans: MinHash bands over text windows, verified by shingle containment.
 
-A template is the wording of a license notice.  Texts are cut into overlapping
-windows of words of each template's length class; a window and a template whose
-shingle sets are similar share a band of MinHash values with high probability,
-and every template retrieved is then checked by the exact share of its shingles
+A template is the wording of a license or of a notice that names it.  Texts are
+cut into overlapping windows, half as long again as a template and a quarter of
+it apart, for each length of templates; a window and a template whose shingle
+sets are similar share a band of MinHash values with high probability, and
+every template retrieved is then checked by the exact share of its shingles
 that the window holds.  Templates are few and fixed, so their bands travel to
 the tasks and texts are never shuffled.
 
-With rows of ``rows`` values in ``bands`` bands, a pair of Jaccard similarity s
-shares a band with probability 1 - (1 - s ** rows) ** bands; ``BandPlan`` picks
-the fewest bands for which that is at least ``recall`` at ``similarity``.
+With ``rows`` values in a band, a pair of Jaccard similarity s shares one of b
+bands with probability 1 - (1 - s ** rows) ** b.  A stretch of up to one and a
+quarter template's length that holds the demanded share c of a template lies in
+some window whole, and their similarity is then c / (2.5 - c) at least:
+``bands_for`` takes the fewest bands that retrieve such a pair with the recall.
 """
 
 from __future__ import annotations
@@ -25,47 +28,25 @@ from pyspark.sql import functions as F
 
 from . import textkernels as tk
 from .common import map_arrow
-
-# Notices as their publishers word them. Fixed values.
-TEMPLATES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
-
+from .license_texts import templates as known_templates
 
 @dataclass(frozen=True)
 class LicenseConfig:
     """width: words of a shingle.  containment: least share of a template's
-    shingles in a window.  similarity, recall: what the bands must retrieve.
-    rows: MinHash values of a band.
+    shingles in a window.  recall: share of the pairs of a window and a template
+    it holds that the bands must retrieve.  rows: MinHash values of a band.
     """
 
     width: int = 3
     containment: float = 0.75
-    similarity: float = 0.6
     recall: float = 0.999
     rows: int = 2
 
+    @property
+    def similarity(self) -> float:
+        """The least Jaccard similarity of a window and a template that it holds."""
+        return self.containment / (2.5 - self.containment)
+
 
 DEFAULT = LicenseConfig()
 
@@ -94,24 +75,27 @@ class TemplateIndex:
         rng = np.random.default_rng(8)
         self.seeds = rng.integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.mixers = rng.integers(1, 1 << 63, size=cfg.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.names, self.sets, self.sizes = [], [], []
+        self.names, self.sets, spans = [], [], []
         for name, texts in templates.items():
             for text in texts:
                 raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
                 words, ranges = tk.word_hashes(_normal(raw), np.array([0, len(raw)]))
                 shingles, _ = tk.shingle_hashes(words, ranges, cfg.width)
-                self.names.append(name)
-                self.sets.append(np.unique(shingles))
-                self.sizes.append(len(words))
-        self.classes = {size: [i for i, s in enumerate(self.sizes) if s == size] for size in sorted(set(self.sizes))}
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+                if len(shingles):
+                    self.names.append(name)
+                    self.sets.append(np.unique(shingles))
+                    spans.append(len(shingles))
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
-        for size, members in self.classes.items():
+        # by length in shingles: its templates, the fewest shingles that must be met, and bands to templates
+        self.classes: list[tuple[int, list[int], int, list[dict[int, list[int]]]]] = []
+        for span in sorted(set(spans)):
+            members = [i for i, s in enumerate(spans) if s == span]
             tables: list[dict[int, list[int]]] = [{} for _ in range(self.bands)]
             for i in members:
                 for b, key in enumerate(self.band_keys(self.minhash(self.sets[i])[None, :])[0].tolist()):
                     tables[b].setdefault(key, []).append(i)
-            self.tables[size] = tables
+            least = min(math.ceil(cfg.containment * len(self.sets[i]) - 1e-9) for i in members)
+            self.classes.append((span, members, least, tables))
 
     def minhash(self, shingles: np.ndarray) -> np.ndarray:
         return tk.mix64(shingles[:, None] * self.seeds).min(axis=0)
@@ -120,63 +104,74 @@ class TemplateIndex:
         v = values.reshape(len(values), self.bands, self.cfg.rows)
         return tk.mix64((v * self.mixers).sum(axis=2, dtype=np.uint64))
 
-    def matches(self, shingles: np.ndarray, n_words: int) -> list[tuple[str, int, int, float]]:
-        """(license, first word, end word, containment), the best window of each template."""
-        if not len(shingles):
+    def retrieved(self, window: np.ndarray, tables: list[dict[int, list[int]]]) -> set[int]:
+        """Templates that share a band with the window's shingles."""
+        keys = self.band_keys(self.minhash(np.unique(window))[None, :])[0].tolist()
+        return {i for b, key in enumerate(keys) for i in tables[b].get(key, ())}
+
+    def matches(self, shingles: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(license, first word, end word, containment) of stretches that do not overlap, by place.
+
+        Of templates that match overlapping stretches the one with most shingles
+        met counts, then the fullest, then the first.
+        """
+        if not len(shingles) or not len(self.known):
             return []
-        # only stretches that hold some template's shingle can contain one
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        hits = np.flatnonzero(self.known[at] == shingles)
-        if not len(hits):
+        hits = np.concatenate([[0], np.cumsum(self.known[at] == shingles)])
+        if hits[-1] < min(least for _, _, least, _ in self.classes):
             return []
-        found: dict[int, tuple[float, int, int]] = {}
-        for size, tables in self.tables.items():
-            span = max(size - self.cfg.width + 1, 1)
-            step = max(span // 4, 1)
-            starts = np.unique(np.concatenate([np.arange(max(h - span + 1, 0) // step * step, h + 1, step) for h in hits.tolist()]))
-            starts = starts[starts < len(shingles)]
-            for s in starts.tolist():
-                part = np.unique(shingles[s : s + span])
-                keys = self.band_keys(self.minhash(part)[None, :])[0].tolist()
-                for i in {i for b, key in enumerate(keys) for i in tables[b].get(key, ())}:
-                    near = np.unique(shingles[max(0, s - step) : s + span + step])
-                    share = np.isin(self.sets[i], near, assume_unique=True).mean()
-                    if share >= self.cfg.containment and share > found.get(i, (0.0,))[0]:
-                        found[i] = (float(share), s, min(s + size, n_words))
-        return [(self.names[i], s, e, share) for i, (share, s, e) in sorted(found.items())]
+        found: set[tuple[int, float, int, int, int]] = set()
+        for span, _, least, tables in self.classes:
+            size, step = span + max(span // 2, 2), max(span // 4, 1)
+            starts = np.arange(0, max(len(shingles) - size, 0) + step, step)
+            ends = np.minimum(starts + size, len(shingles))
+            # a window that meets too few known shingles holds no template
+            for s, e in zip(*(x[hits[ends] - hits[np.minimum(starts, len(shingles))] >= least].tolist() for x in (starts, ends)), strict=True):
+                window = shingles[s:e]
+                for i in self.retrieved(window, tables):
+                    place = np.flatnonzero(np.isin(window, self.sets[i]))
+                    met = len(np.unique(window[place]))
+                    share = met / len(self.sets[i])
+                    if share >= self.cfg.containment:
+                        found.add((-met, -share, i, s + int(place[0]), s + int(place[-1]) + self.cfg.width))
+        kept: list[tuple[str, int, int, float]] = []
+        for _, share, i, first, end in sorted(found):
+            if all(end <= a or first >= b for _, a, b, _ in kept):
+                kept.append((self.names[i], first, end, -share))
+        return sorted(kept, key=lambda m: m[1])
 
 
 def _scan(index: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            ids, n_found, licenses, shares = [], [], [], []
+            found = []
             for first, end, data, offsets in tk.text_blocks(batch.column("text")):
                 words, ranges = tk.word_hashes(_normal(data), offsets)
                 shingles, spans = tk.shingle_hashes(words, ranges, ix.cfg.width)
-                for d in range(end - first):
-                    found = ix.matches(shingles[spans[d] : spans[d + 1]], int(ranges[d + 1] - ranges[d]))
-                    names = sorted({f[0] for f in found})
-                    ids.append(first + d)
-                    n_found.append(len(found))
-                    licenses.append(",".join(names))
-                    shares.append(max((f[3] for f in found), default=0.0))
+                found += [ix.matches(shingles[spans[d] : spans[d + 1]]) for d in range(end - first)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(n_found, pa.int64()), pa.array(licenses, pa.string()), pa.array(shares, pa.float64())],
-                ["doc_id", "n_templates", "licenses", "best_containment"],
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([",".join(sorted({m[0] for m in f})) for f in found], pa.string()),
+                    pa.array([max((m[3] for m in f), default=0.0) for f in found], pa.float64()),
+                    pa.array([",".join(f"{name}:{a}:{b}:{share:.3f}" for name, a, b, share in f) for f in found], pa.string()),
+                ],
+                ["doc_id", "n_matches", "licenses", "best_containment", "spans"],
             )
 
     return run
 
 
 def scan_licenses(documents: DataFrame, cfg: LicenseConfig = DEFAULT, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per row: doc_id, how many templates its text holds, their licenses by name, the best containment.
+    """Per row: doc_id, the number of stretches that hold a template, their licenses by name, the best containment, and the stretches.
 
-    Null, empty and blank texts hold none; repeated rows give repeated results;
-    of several windows that hold a template the fullest counts.
+    A stretch is ``license:first word:end word:containment``; ASCII signs part
+    words and letters' case does not matter.  Null, empty and blank texts hold
+    none; repeated rows give repeated results; without templates nothing is found.
     """
-    index = documents.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, cfg))
+    index = documents.sparkSession.sparkContext.broadcast(TemplateIndex(known_templates() if templates is None else templates, cfg))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.transform(map_arrow, _scan(index), "doc_id long, n_templates long, licenses string, best_containment double")
-
-
+    return rows.transform(map_arrow, _scan(index), "doc_id long, n_matches long, licenses string, best_containment double, spans string")
