@@ -122,6 +122,45 @@ def test_language_held_out(corpus):
     assert np.mean(right) >= 0.99 and all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_language_predictions_by_plain_recursion(corpus):
+    """Predictions and scores are those of the learned probabilities, summed over segmentations one by one."""
+    docs, _, rows = corpus
+    model = langid.fit(docs)
+    table = langid.piece_table(model.config)
+    p = model.columns(0, len(model.languages), len(table.pieces))
+    np.testing.assert_allclose(p.sum(axis=0), 1)
+    number = {piece: i for i, piece in enumerate(table.pieces)}
+
+    def log_chance(word, k):
+        sums = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            sums[end] = sum(sums[s] * p[number[word[s:end]], k] for s in range(max(0, end - table.longest), end) if word[s:end] in number)
+        return np.log(sums[-1])
+
+    got = {r["doc_id"]: r for r in langid.identify_documents(docs).where("doc_id < 40").collect()}
+    for d, text, *_ in rows[:40]:
+        words = langid.words_of(text)
+        z = np.array([sum(log_chance(w, k) for w in words) for k in range(len(model.languages))]) / len(words) ** 0.5
+        share = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[d]["lang_pred"] == model.languages[z.argmax()] and got[d]["score"] == pytest.approx(share.max(), abs=1e-4)
+
+
+def test_many_languages(spark):
+    """No language is left out, however rare, and blocks of them give the same as all at once."""
+    rng = random.Random(2)
+    signs = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåłżčšž"
+    rows = []
+    for k in range(40):
+        own = rng.sample(signs, 6)
+        rows += [(100 * k + i, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(30)), f"l{k:02d}", "s", 1) for i in range(3 if k else 400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    a = langid.identify_documents(docs).orderBy("doc_id", "score").toPandas()
+    b = langid.identify_documents(docs, langid.LanguageConfig(block=7)).orderBy("doc_id", "score").toPandas()
+    assert (a.lang_pred == b.lang_pred).all() and np.allclose(a.score, b.score)
+    learned = {lang for d, _, lang, *_ in rows if not held(d)}
+    assert len(learned) == 40 and set(a.lang_pred) >= learned - {"und"}
+
+
 def test_language_awkward(awkward, clashing, nothing, spark):
     out = {r["doc_id"]: r for r in langid.identify_documents(awkward).collect() if r["doc_id"] is not None}
     assert {out[d]["lang_pred"] for d in (4, 5, 6)} == {"und"} and out[1]["lang_pred"] == "en"
@@ -150,8 +189,8 @@ def test_forward_sums_all_segmentations():
     got = langid.log_likelihoods(words, p, table)
     want = np.log([[total(w, k) for k in (0, 1)] for w in words])
     np.testing.assert_allclose(got, want, rtol=1e-9)
-    counts = langid.expected_counts(words, np.ones(4), np.zeros(4, int), p, table)
-    used = sum(counts[i, 0] * len(table.pieces[i]) for i in np.flatnonzero(counts[:, 0]))
+    counts = langid.expected_counts(words, np.ones(4), p[:, 0], table)
+    used = sum(counts[i] * len(table.pieces[i]) for i in np.flatnonzero(counts))
     assert used == pytest.approx(sum(map(len, words)))
     long = "é" * 100
     assert b"".join(w[1:] for w in langid.words_of(long)) == long.encode()
@@ -178,8 +217,8 @@ def test_language_whole_vocabulary_and_words():
         return sums[-1]
 
     np.testing.assert_allclose(langid.log_likelihoods(words, p, table), [[total(w, k) for k in (0, 1)] for w in words], rtol=1e-9)
-    counts = langid.expected_counts(words, np.ones(len(words)), np.zeros(len(words), int), p, table)
-    assert counts[:, 0] @ np.array([len(x) for x in table.pieces]) == pytest.approx(sum(map(len, words)))
+    counts = langid.expected_counts(words, np.ones(len(words)), p[:, 0], table)
+    assert counts @ np.array([len(x) for x in table.pieces]) == pytest.approx(sum(map(len, words)))
 
 
 def base_spans(text):

@@ -9,6 +9,11 @@ over its bytes; a text's is the product over its words.
 Words are maximal runs of letters of the lower-cased text, each with a blank
 before it, and are never cut.  Those longer than ``WORD_BYTES`` are summed in
 logarithms, as their probabilities may be too small for a double.
+
+All values of ``lang`` are learned.  A language's probabilities are kept as
+those of the pieces that its texts use and one for all others; languages are
+gone through in blocks, so what a task holds at once does not depend on how
+many there are.
 """
 
 from __future__ import annotations
@@ -17,12 +22,11 @@ import base64
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -31,6 +35,7 @@ from .common import is_held_out, map_arrow, materialize, tokenizer_path
 
 WORD_BYTES = 32
 CACHE_WORDS = 1_000_000
+CACHE_CELLS = 8_000_000  # words times languages
 CACHE_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
 _LETTERS = regex.compile(r"\p{L}+")
@@ -39,17 +44,16 @@ _LETTERS = regex.compile(r"\p{L}+")
 @dataclass(frozen=True)
 class LanguageConfig:
     """texts: bound of the labelled texts per language, those with the smallest
-    hash of their ids.  languages: bound of the languages, most frequent first.
-    rounds: of expectation maximisation.  floor: pseudo-count of every piece.
-    evidence: number of words beyond which more words add no certainty.
+    hash of their ids.  rounds: of expectation maximisation.  floor:
+    pseudo-count of every piece.  block: languages whose probabilities a task
+    lays out at once.
     """
 
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
     texts: int = 400
-    languages: int = 256
     rounds: int = 3
     floor: float = 0.05
-    evidence: int = 64
+    block: int = 16
 
 
 DEFAULT = LanguageConfig()
@@ -167,48 +171,59 @@ def log_likelihoods(words: list[bytes], p: np.ndarray, table: PieceTable) -> np.
     return out
 
 
-def expected_counts(words: list[bytes], times: np.ndarray, language: np.ndarray, p: np.ndarray, table: PieceTable) -> np.ndarray:
-    """Expected uses of every piece by language, over all segmentations of the words."""
+def expected_counts(words: list[bytes], times: np.ndarray, p: np.ndarray, table: PieceTable) -> np.ndarray:
+    """Expected uses of every piece in a language's words, over all their segmentations."""
     out = np.zeros_like(p)
     for at, rows in _by_length(words, 1):
-        spans, n, own = table.spans(rows), rows.shape[1], language[at]
+        spans, n = table.spans(rows), rows.shape[1]
         if n > WORD_BYTES:
-            _expect_logs(spans, len(at), n, own, times[at], p, out)
+            _expect_logs(spans, len(at), n, times[at], p, out)
             continue
         alpha = np.zeros((n + 1, len(at)))
         beta = np.zeros((n + 1, len(at)))
         alpha[0] = beta[n] = 1
         for (start, end), (w, piece) in spans.items():
-            alpha[end, w] += alpha[start, w] * p[piece, own[w]]
+            alpha[end, w] += alpha[start, w] * p[piece]
         for (start, end), (w, piece) in sorted(spans.items(), key=lambda s: -s[0][0]):
-            beta[start, w] += beta[end, w] * p[piece, own[w]]
+            beta[start, w] += beta[end, w] * p[piece]
         scale = times[at] / np.maximum(alpha[n], 1e-300)
         for (start, end), (w, piece) in spans.items():
-            np.add.at(out, (piece, own[w]), alpha[start, w] * p[piece, own[w]] * beta[end, w] * scale[w])
+            np.add.at(out, piece, alpha[start, w] * p[piece] * beta[end, w] * scale[w])
     return out
 
 
-def _expect_logs(spans: dict, count: int, n: int, own: np.ndarray, times: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
+def _expect_logs(spans: dict, count: int, n: int, times: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
     """``expected_counts`` of words of one length, in logarithms, added to ``out``."""
     alpha = np.full((n + 1, count), -np.inf)
     beta = np.full((n + 1, count), -np.inf)
     alpha[0] = beta[n] = 0
     for (start, end), (w, piece) in spans.items():
-        alpha[end, w] = np.logaddexp(alpha[end, w], alpha[start, w] + np.log(p[piece, own[w]]))
+        alpha[end, w] = np.logaddexp(alpha[end, w], alpha[start, w] + np.log(p[piece]))
     for (start, end), (w, piece) in sorted(spans.items(), key=lambda s: -s[0][0]):
-        beta[start, w] = np.logaddexp(beta[start, w], beta[end, w] + np.log(p[piece, own[w]]))
+        beta[start, w] = np.logaddexp(beta[start, w], beta[end, w] + np.log(p[piece]))
     for (start, end), (w, piece) in spans.items():
-        share = np.exp(alpha[start, w] + np.log(p[piece, own[w]]) + beta[end, w] - alpha[n, w])
-        np.add.at(out, (piece, own[w]), share * times[w])
+        share = np.exp(alpha[start, w] + np.log(p[piece]) + beta[end, w] - alpha[n, w])
+        np.add.at(out, piece, share * times[w])
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages: their codes.  p: piece probabilities, one column per language."""
+    """languages: their codes, in order.  pieces, chances: of each, the pieces
+    its texts use and their probabilities.  rest: probability of any other piece.
+    """
 
     config: LanguageConfig
     languages: list[str]
-    p: np.ndarray
+    pieces: list[np.ndarray]
+    chances: list[np.ndarray]
+    rest: np.ndarray
+
+    def columns(self, first: int, end: int, size: int) -> np.ndarray:
+        """Probabilities of all pieces, one column per language from ``first`` to ``end``."""
+        p = np.tile(self.rest[first:end], (size, 1))
+        for k in range(first, min(end, len(self.languages))):
+            p[self.pieces[k], k - first] = self.chances[k]
+        return p
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,59 +237,83 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _expect(cfg: LanguageConfig, languages: list[str], p: object) -> Callable:
+def _expect(model: object) -> Callable:
+    """Rows ``(lang, word, n)`` in order of lang to expected uses of pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number = piece_table(cfg), {x: i for i, x in enumerate(languages)}
-        total = np.zeros_like(p.value)
+        m = model.value
+        table, number = piece_table(m.config), {x: i for i, x in enumerate(m.languages)}
+        lang, p, total = None, None, None
+
+        def told() -> pa.RecordBatch:
+            piece = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(np.full(len(piece), number[lang], dtype=np.int32)), pa.array(total[piece])], ["piece", "lang", "n"])
+
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            if words:
-                own = np.array([number[x] for x in batch.column("lang").to_pylist()])
-                total += expected_counts(words, batch.column("n").to_numpy().astype(float), own, p.value, table)
-        piece, lang = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            cut = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)] if len(langs) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if langs[lo] != lang:
+                    if lang is not None:
+                        yield told()
+                    lang = langs[lo]
+                    p = m.columns(number[lang], number[lang] + 1, len(table.pieces))[:, 0]
+                    total = np.zeros_like(p)
+                part = batch.slice(lo, hi - lo)
+                total += expected_counts(part.column("word").to_pylist(), part.column("n").to_numpy().astype(float), p, table)
+        if lang is not None:
+            yield told()
 
     return run
 
 
 def fit(documents: DataFrame, cfg: LanguageConfig = DEFAULT) -> LanguageModel:
-    """Learn from rows outside the held-out fold whose language and text are known."""
+    """Learn from rows outside the held-out fold whose language and text are known.
+
+    One pass over the ids chooses the texts of all languages; of rows that
+    repeat an id and language any one stands for all.
+    """
     sc = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(cfg.languages).collect()
-    languages = sorted(r["lang"] for r in counted)
-    table = piece_table(cfg)
-    p = np.full((len(table.pieces), len(languages)), 1 / len(table.pieces))
-    if not languages:
-        return LanguageModel(cfg, [], p)
-    picks = [rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.texts) for x in languages]
-    chosen = reduce(DataFrame.unionByName, picks).distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
+    # Spark keeps the first rows of each language per task before it shuffles
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.texts).select("doc_id", "lang").distinct()
+    sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
     words = sample.transform(map_arrow, _count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
-    sizes = np.array([len(x) for x in table.pieces])
-    p *= (0.2 ** sizes)[:, None]  # a start that favours no long piece
-    for _ in range(cfg.rounds):
-        found = words.transform(map_arrow, _expect(cfg, languages, sc.broadcast(p)), "piece int, lang int, n double")
-        found = found.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.full_like(p, cfg.floor)
-        counts[found["piece"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy()
-        p = counts / counts.sum(axis=0)
-    return LanguageModel(cfg, languages, p)
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    table = piece_table(cfg)
+    size, k = len(table.pieces), len(languages)
+    # a start that favours no long piece
+    start = 0.2 ** np.array([len(x) for x in table.pieces]) / size
+    model = LanguageModel(cfg, languages, [np.arange(size)] * k, [start] * k, np.zeros(k))
+    for _ in range(cfg.rounds if k else 0):
+        dealt = words.repartition("lang", F.pmod(F.xxhash64("word"), F.lit(8))).sortWithinPartitions("lang", "word")
+        found = dealt.transform(map_arrow, _expect(sc.broadcast(model)), "piece int, lang int, n double")
+        found = found.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "piece"])
+        lang, piece, n = (found[c].to_numpy() for c in ("lang", "piece", "n"))
+        cut = np.searchsorted(lang, np.arange(k + 1))
+        totals = np.array([n[cut[i] : cut[i + 1]].sum() for i in range(k)]) + cfg.floor * size
+        pieces = [piece[cut[i] : cut[i + 1]] for i in range(k)]
+        chances = [(n[cut[i] : cut[i + 1]] + cfg.floor) / totals[i] for i in range(k)]
+        model = LanguageModel(cfg, languages, pieces, chances, cfg.floor / totals)
+    return model
 
 
 def _identify(model: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         table, languages = piece_table(m.config), m.languages
+        k = len(languages)
+        blocks = [(lo, min(lo + m.config.block, k)) for lo in range(0, k, m.config.block)]
         rows: dict[bytes, int] = {}
-        logs = np.zeros((0, len(languages)))
+        logs = np.zeros((0, k), dtype=np.float32)
         held = 0
         for batch in batches:
             for first, end, _, _ in tk.text_blocks(batch.column("text"), 4 * tk.BLOCK_BYTES):
                 part = batch.slice(first, end - first)
-                if len(rows) > CACHE_WORDS or held > CACHE_BYTES:
+                if len(rows) > min(CACHE_WORDS, CACHE_CELLS // max(k, 1)) or held > CACHE_BYTES:
                     rows, logs, held = {}, logs[:0], 0
                 new: list[bytes] = []
                 numbers, sizes = [], []
@@ -282,28 +321,30 @@ def _identify(model: object) -> Callable:
                     words = words_of(text or "")
                     sizes.append(len(words))
                     for w in words:
-                        k = rows.get(w)
-                        if k is None:
-                            k = rows[w] = len(rows)
+                        at = rows.get(w)
+                        if at is None:
+                            at = rows[w] = len(rows)
                             new.append(w)
                             held += len(w)
-                        numbers.append(k)
-                logs = np.concatenate([logs, log_likelihoods(new, m.p, table)])
+                        numbers.append(at)
+                fresh = np.zeros((len(new), k), dtype=np.float32)
+                for lo, hi in blocks if new else []:
+                    fresh[:, lo:hi] = log_likelihoods(new, m.columns(lo, hi, len(table.pieces)), table)
+                logs = np.concatenate([logs, fresh])
                 n = np.array(sizes)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                sums = np.zeros((len(n), len(languages)))
+                known = n > 0
+                sums = np.zeros((len(n), k))
                 owner = np.repeat(np.arange(len(n)), n)
                 index = np.array(numbers, dtype=np.int64)
-                for k in range(len(languages)):
-                    sums[:, k] = np.bincount(owner, weights=logs[index, k], minlength=len(n))
-                assert ends[-1] == len(index)
-                evidence = sums / np.maximum(n, 1)[:, None] * np.minimum(n, m.config.evidence)[:, None]
-                known = n > 0
-                if languages:
+                for c in range(k):
+                    sums[:, c] = np.bincount(owner, weights=logs[index, c], minlength=len(n))
+                if k:
+                    # words that follow each other are no independent evidence: certainty grows with the root of their number
+                    evidence = sums / np.sqrt(np.maximum(n, 1))[:, None]
                     share = np.exp(evidence - evidence.max(axis=1, keepdims=True))
                     share /= share.sum(axis=1, keepdims=True)
                     best = evidence.argmax(axis=1)
-                    pred = [languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+                    pred = [languages[b] if some else "und" for b, some in zip(best, known, strict=True)]
                     score = np.where(known, share[np.arange(len(n)), best], 0.0)
                 else:
                     pred, score = ["und"] * len(n), np.zeros(len(n))
