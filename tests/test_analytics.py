@@ -345,3 +345,35 @@ def test_events_per_year(spark):
 
     assert rate([0, 5]) == 4 and rate([0, 1, 2, 3]) == 12 and rate([0, 800, 1600]) == 1
     assert rate([0, 91, 182]) == pytest.approx(365.25 / 91)
+
+
+def test_missing_close_in_a_path(spark, sample, events):
+    """A path that lacks a close is not traded and does not shift."""
+    day = backtest.run_backtest(sample[0], events).trades.agg(F.min("entry_date")).first()[0]
+    holed = sample[0].withColumn("close", F.when(F.col("date") == day, F.lit(None)).otherwise(F.col("close")))
+    rows = backtest.entry_inputs(holed, events, BacktestConfig())
+    assert rows.where("exists(path, c -> c is null) and priceable").count() == 0
+    assert rows.where("not priceable").count() > 0 and rows.where("priceable").count() > 0
+
+
+def test_compounding_ends_at_ruin(spark):
+    import datetime as dt
+
+    rows = [("A", dt.date(2024, k, 1), r) for k, r in ((1, 0.1), (2, -1.5), (3, 0.2))]
+    curve = backtest.equity_curve(spark.createDataFrame(rows, "ticker string, session_date date, return double"), compound=True).orderBy("session_date").collect()
+    assert curve[0]["equity"] == pytest.approx(1.1) and [r["equity"] for r in curve[1:]] == [None, None] == [r["drawdown"] for r in curve[1:]]
+
+
+def test_texts_for_people(spark, sample, events, result):
+    import varsight
+
+    figures = {r["figure"]: r["value"] for r in result.summary_table().collect()}
+    assert figures["trades"] == "5" and figures["win rate"] == "60.0%" and figures["Sharpe ratio"] == "0.26"
+    told = varsight.volatility_risk_premium(events).to_dict("SYN")
+    assert told["implied_source"] == "historical_proxy" and told["n_events"] == 7 and varsight.volatility_risk_premium(events).to_dict("NONE") == {}
+    assert {"run_backtest", "decompose_events", "vol_cone", "validate_ohlcv", "REGISTRY"} <= set(varsight.__all__)
+
+
+def test_statistics_are_one_pass(result):
+    plan = result.stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8, plan.count("Exchange hashpartitioning")

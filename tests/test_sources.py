@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import sample_history
 from varsight import cli
-from varsight.errors import InsufficientDataError, MissingEventsError, SchemaError, SourceError
+from varsight.errors import BacktestError, InsufficientDataError, MissingEventsError, SchemaError, SourceError
 from varsight.sources import store, tables
 from varsight.streaming import bars as streaming
 
@@ -70,6 +70,35 @@ def test_store(spark, tmp_path, sample):
     assert store.clear_store(spark, str(tmp_path / "nowhere")) == 0
 
 
+def test_through_store(spark, tmp_path, sample):
+    """A store is read where it is fresh and filled from the source where it is not."""
+    root, asked = str(tmp_path / "store"), []
+
+    def read():
+        asked.append(1)
+        return sample[0]
+
+    span = (dt.date(2023, 2, 1), dt.date(2024, 6, 28))
+    first = store.through_store(spark, root, "prices", ["SYN"], *span, read)
+    again = store.through_store(spark, root, "prices", ["SYN"], *span, read)
+    assert len(asked) == 1 and first.count() == again.count() > 300
+    assert first.agg(F.min("date")).first()[0] >= span[0]
+    store.through_store(spark, root, "prices", ["SYN"], *span, read, force_refresh=True)
+    store.through_store(spark, root, "prices", ["SYN"], *span, read, auto_adjust=False)
+    store.through_store(spark, root, "prices", ["SYN"], dt.date(2020, 1, 1), span[1], read)
+    assert len(asked) == 4
+    recent = (span[0], dt.date.today())
+    for hours, reads in ((24, 5), (24, 5), (0, 6)):
+        store.through_store(spark, root, "prices", ["SYN"], *recent, read, ttl_hours=hours)
+        assert len(asked) == reads
+
+
+def test_stamps_count_by_their_utc_day(spark):
+    rows = spark.createDataFrame([("A", "2024-01-01 22:30:00-05:00"), ("A", "2024-01-03"), ("A", "no date")], "ticker string, announcement_date string")
+    found = {r["announcement_date"] for r in tables.load_events(rows, include_future=True).collect()}
+    assert found == {dt.date(2024, 1, 2), dt.date(2024, 1, 3)}
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     rows = [("A", dt.datetime(2024, 1, 1, h, m), float(h * 60 + m)) for h in range(3) for m in (1, 30, 59)]
     ticks = spark.createDataFrame(rows, "ticker string, ts timestamp, price double")
@@ -88,7 +117,7 @@ def test_command_line(spark, files, capsys):
     args = ["-t", "SYN", "--prices-csv", str(files / "prices.csv"), "--earnings-csv", str(files / "events.csv"), "--outdir", str(out), "--save-csv", "--plot"]
     assert cli.main(args) == 0
     said = capsys.readouterr().out
-    assert "SYN: 7 events" in said and "53.35%" in said and "8.13%" in said
+    assert "SYN: 7 events" in said and "53.35%" in said and "8.13%" in said and "events: 7 aligned" in said and "implied moves: historical_proxy" in said
     assert list(out.glob("events/ticker=SYN/*.csv")) and list(out.glob("trades/ticker=SYN/*.csv"))
     stages = [json.loads(x) for p in Path(out).glob("stages/*.json") for x in p.read_text().splitlines()]
     assert stages == [{"ticker": "SYN", "stages": {"decomposition": "ok", "vrp": "ok", "backtest": "ok"}}]
@@ -101,9 +130,36 @@ def test_command_line_failures(spark, files, capsys):
     assert cli.main([]) == 2
     assert cli.main(["-t", "SYN", "GONE", "--prices-csv", prices, "--earnings-csv", events, "-q"]) == 1
     assert cli.main(["-t", "SYN", "--prices-csv", prices, "--earnings-csv", events, "--event-window", "0", "-q"]) == 2
+    for wrong in (["--estimator", "x"], ["--backend", "plotly"]):
+        with pytest.raises(SystemExit) as stop:
+            cli.main(wrong)
+        assert stop.value.code == 2
     with pytest.raises(SystemExit) as stop:
-        cli.main(["--estimator", "x"])
-    assert stop.value.code == 2
+        cli.main(["--version"])
+    assert stop.value.code == 0 and "varsight" in capsys.readouterr().out
+
+
+def test_stages_are_written_when_a_backtest_cannot_run(spark, files):
+    out = files / "out"
+    args = ["-t", "SYN", "--prices-csv", str(files / "prices.csv"), "--earnings-csv", str(files / "events.csv"), "--outdir", str(out), "--save-csv", "-q"]
+    assert cli.main([*args, "--exit-offset", "3"]) == 1  # the front leg would expire before the exit
+    assert not out.exists()
+    broken = lambda *a, **k: (_ for _ in ()).throw(BacktestError("no"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cli.backtest, "run_backtest", broken)
+        assert cli.main(args) == 1
+    stages = [json.loads(x) for p in Path(out).glob("stages/*.json") for x in p.read_text().splitlines()]
+    assert stages == [{"ticker": "SYN", "stages": {"decomposition": "ok", "vrp": "ok", "backtest": "failed"}}]
+
+
+def test_command_line_store(spark, files, capsys):
+    """Files fill the store, which then serves without them."""
+    prices, events, root = str(files / "prices.csv"), str(files / "events.csv"), str(files / "store")
+    span = ["--start", "2023-01-01", "--end", "2024-12-31", "--cache-dir", root]
+    assert cli.main(["-t", "SYN", "--prices-csv", prices, "--earnings-csv", events, *span]) == 0
+    first = capsys.readouterr().out
+    assert cli.main(["-t", "SYN", *span]) == 0
+    assert capsys.readouterr().out == first
 
 
 @pytest.mark.parametrize(("value", "text"), [(None, "n/a"), (float("nan"), "n/a"), (float("inf"), "inf"), (float("-inf"), "-inf"), (0.5, "50.00%")])

@@ -37,10 +37,11 @@ def clean(x: Column) -> Column:
     return F.when(finite(x), x)
 
 
-def annualize(sigma: Column, periods_per_year: float = PERIODS_PER_YEAR) -> Column:
+def annualize(sigma: Column, periods_per_year: float = PERIODS_PER_YEAR, annualized: bool = True) -> Column:
+    """A per-session volatility by the root of the sessions of a year, or as it is."""
     if periods_per_year <= 0:
         raise ValueError("periods_per_year must be strictly positive")
-    return sigma * math.sqrt(periods_per_year)
+    return sigma * (math.sqrt(periods_per_year) if annualized else 1.0)
 
 
 def norm_pdf(x: Column) -> Column:
@@ -165,14 +166,22 @@ def with_straddle(df: DataFrame, into: str, spot: Column, strike: Column, vol: C
 
 
 def implied_jump_move(iv: Column, baseline: Column, days_to_expiry: int = 21, periods_per_year: float = PERIODS_PER_YEAR) -> Column:
-    """The event move that the variance of ``iv`` beyond ``baseline`` pays for."""
+    """The event move that the variance of ``iv`` beyond ``baseline`` pays for; null where either is."""
     if days_to_expiry <= 0 or periods_per_year <= 0:
         raise ValueError("days_to_expiry and periods_per_year must be strictly positive")
-    return F.sqrt(F.greatest(F.lit(0.0), (iv * iv - baseline * baseline) * (days_to_expiry / periods_per_year)))
+    paid = (iv * iv - baseline * baseline) * (days_to_expiry / periods_per_year)
+    return F.when(paid > 0, F.sqrt(paid)).when(paid <= 0, F.lit(0.0))
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """``norm_cdf`` and ``implied_jump_move`` for SQL text, as SQL functions."""
+    """``norm_cdf``, ``implied_jump_move``, ``straddle_price`` and ``straddle_delta`` for SQL text, as SQL functions.
+
+    The straddle takes spot, strike, volatility, years to expiry and rate, and
+    is null for inputs that ``bs_straddle`` does not price.
+    """
+
+    def define(head: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS DOUBLE RETURN {body}")
 
     def horner(coefficients: tuple[float, ...]) -> str:
         text = f"{coefficients[0]!r}D"
@@ -183,5 +192,14 @@ def register_sql_functions(spark: SparkSession) -> None:
     e = "exp(-x * x / 2)"
     far = f"{e} / (abs(x) + 1 / (abs(x) + 2 / (abs(x) + 3 / (abs(x) + 4 / (abs(x) + 0.65D))))) / {CDF_ROOT_2_PI}D"
     tail = f"(CASE WHEN abs(x) > 37 THEN 0D WHEN abs(x) < {CDF_SPLIT}D THEN {e} * {horner(CDF_NUMERATOR)} / {horner(CDF_DENOMINATOR)} ELSE {far} END)"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_cdf(x DOUBLE) RETURNS DOUBLE RETURN CASE WHEN x > 0 THEN 1 - {tail} ELSE {tail} END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION implied_jump_move(iv DOUBLE, base DOUBLE, days DOUBLE) RETURNS DOUBLE RETURN sqrt(greatest(0D, (iv * iv - base * base) * days / 252D))")
+    define("norm_cdf(x DOUBLE)", f"CASE WHEN x > 0 THEN 1 - {tail} ELSE {tail} END")
+    define("implied_jump_move(iv DOUBLE, base DOUBLE, days DOUBLE, per_year DOUBLE DEFAULT 252D)", "CASE WHEN abs(iv) > abs(base) THEN sqrt((iv * iv - base * base) * days / per_year) WHEN abs(iv) <= abs(base) THEN 0D END")
+    inputs = "spot DOUBLE, strike DOUBLE, vol DOUBLE, tau DOUBLE, rate DOUBLE DEFAULT 0D"
+    t = f"greatest(tau, {SHORTEST_TAU!r}D)"
+    d1 = f"((ln(spot / strike) + (rate + vol * vol / 2) * {t}) / (vol * sqrt({t})))"
+    valid = "spot > 0 AND strike > 0 AND vol > 0 AND tau >= 0"
+    define(
+        f"straddle_price({inputs})",
+        f"CASE WHEN {valid} AND tau > 0 THEN spot * (2 * norm_cdf({d1}) - 1) - strike * exp(-rate * {t}) * (2 * norm_cdf({d1} - vol * sqrt({t})) - 1) WHEN {valid} THEN abs(spot - strike) END",
+    )
+    define(f"straddle_delta({inputs})", f"CASE WHEN {valid} AND tau > 0 THEN 2 * norm_cdf({d1}) - 1 WHEN {valid} THEN signum(spot - strike) END")

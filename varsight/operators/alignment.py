@@ -86,3 +86,12 @@ def alignment_counts(status: DataFrame) -> DataFrame:
     """Per ticker, how many announcements ended in each status."""
     kinds = (ALIGNED, FUTURE, SHORT, DUPLICATE)
     return status.groupBy("ticker").agg(*[F.count(F.when(F.col("status") == k, 1)).alias(f"n_{k}") for k in kinds])
+
+
+def describe(status: DataFrame) -> DataFrame:
+    """``(ticker, description)``: how many announcements were aligned and why others were not, as text."""
+    counts = alignment_counts(status)
+    parts = {DUPLICATE: "on a session that another has", SHORT: "without enough sessions around", FUTURE: "after the last session"}
+    left = [F.when(F.col(f"n_{k}") > 0, F.format_string(f"%d {words}", f"n_{k}")) for k, words in parts.items()]
+    lost = F.concat_ws(", ", *left)
+    return counts.select("ticker", F.concat(F.format_string("%d aligned", f"n_{ALIGNED}"), F.when(lost != "", F.concat(F.lit("; dropped: "), lost)).otherwise("")).alias("description"))

@@ -46,6 +46,10 @@ class BacktestResult:
     config: BacktestConfig
     iv_source: str
 
+    def summary_table(self) -> DataFrame:
+        """The figures for people; see ``summary_table``."""
+        return summary_table(self.stats)
+
 
 def validate_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) -> None:
     """Raise on repeated dates, bad closes or bad event positions, in two aggregations."""
@@ -79,7 +83,7 @@ def validate_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) ->
 def entry_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig, events_config: DecompositionConfig | None = None) -> DataFrame:
     """Every event with what was known at its entry and its price path.
 
-    ``calibration`` is null until ``min_history_events`` earlier events were
+    An event whose path lacks a close is not priceable.  ``calibration`` is null until ``min_history_events`` earlier events were
     complete by the entry.  ``usable`` says that path, baseline and, unless
     volatilities are supplied, calibration exist.
     """
@@ -88,11 +92,12 @@ def entry_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig, events
     w = ev.primary_baseline
     if ev.estimator == "close_to_close":
         frame = by_session().rowsBetween(-(w - 1), 0)
-        df = df.withColumn("_v", full(variance(F.col("r"), ev.effective_zero_mean, ev.effective_ddof, frame), F.col("r"), frame, w))
+        df = df.withColumn("_v", full(variance(F.col("r"), ev.zero_mean, ev.ddof, frame), F.col("r"), frame, w))
     else:
         df = rolling_variance(df, ev.estimator, w, "_v")
     entry, leave = cfg.entry_offset, cfg.exit_offset
-    path = F.collect_list("close").over(by_session().rowsBetween(-entry, leave))
+    # by single offsets, so that a missing close stays in its place
+    path = F.array(*[F.lag("close", -k).over(by_session()) for k in range(-entry, leave + 1)])
     at = {
         "baseline": F.sqrt(F.lag("_v", entry).over(by_session()) * cfg.periods_per_year),
         "entry_date": F.lag("date", entry).over(by_session()),
@@ -110,7 +115,8 @@ def entry_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig, events
     rows = rows.withColumn("history_events", F.count(move).over(prior)).withColumn("_mean", F.avg(move).over(prior))
     rows = rows.withColumn("calibration", F.when(F.col("history_events") >= cfg.min_history_events, F.col("_mean") * cfg.implied_move_multiplier))
     inside = (F.col("pp") >= cfg.back_need) & (F.col("pp") + cfg.forward_need < F.col("n_sessions"))
-    priced = F.coalesce(finite(F.col("baseline")) & (F.col("baseline") > 0), F.lit(False))
+    whole = F.forall("path", lambda c: F.coalesce(finite(c) & (c > 0), F.lit(False)))
+    priced = F.coalesce(finite(F.col("baseline")) & (F.col("baseline") > 0), F.lit(False)) & whole
     return rows.withColumn("priceable", inside & priced).withColumn("usable", F.col("priceable") & F.col("calibration").isNotNull()).drop("_mean")
 
 
@@ -257,32 +263,49 @@ def run_backtest(
     return BacktestResult(trades, equity, trade_stats(trades, cfg), skipped, cfg, source)
 
 
-def equity_curve(trades: DataFrame, compound: bool = False) -> DataFrame:
-    """``(ticker, session_date, return, equity, peak, drawdown)``; the peak starts at 1."""
+def _with_curve(trades: DataFrame, compound: bool) -> DataFrame:
+    """Trades with equity, its peak, the drawdown and the days since the trade before, in one pass by ticker.
+
+    Compounded equity ends, as null, with a return of -100 % or less.
+    """
     so_far = _by_event().rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.product(1 + F.col("return")).over(so_far) if compound else 1 + F.sum("return").over(so_far)
-    df = trades.select(*_KEY, "return", grown.alias("equity"))
-    df = df.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(so_far)))
+    r = F.col("return")
+    grown = F.when(F.min(r).over(so_far) > -1, F.product(1 + r).over(so_far)) if compound else 1 + F.sum(r).over(so_far)
+    df = trades.withColumns({"equity": grown, "gap": F.datediff("session_date", F.lag("session_date").over(_by_event()))})
+    df = df.withColumn("peak", F.when(F.col("equity").isNotNull(), F.greatest(F.lit(1.0), F.max("equity").over(so_far))))
     return df.withColumn("drawdown", F.col("equity") / F.col("peak") - 1 if compound else F.col("equity") - F.col("peak"))
 
 
+def equity_curve(trades: DataFrame, compound: bool = False) -> DataFrame:
+    """``(ticker, session_date, return, equity, peak, drawdown)``; the peak starts at 1."""
+    return _with_curve(trades, compound).select(*_KEY, "return", "equity", "peak", "drawdown")
+
+
+def _rate(n: Column, gap: Column, default: float) -> Column:
+    middle = F.median(F.when(gap > 0, gap))
+    return F.when((n >= 3) & middle.isNotNull(), F.least(F.lit(12.0), F.greatest(F.lit(1.0), 365.25 / middle))).otherwise(F.lit(float(default)))
+
+
 def events_per_year(dates: DataFrame, default: float = 4.0) -> DataFrame:
     """Per ticker, 365.25 by the median gap of ``session_date``, between 1 and 12; ``default`` below three dates."""
     gap = F.datediff("session_date", F.lag("session_date").over(_by_event()))
     gaps = dates.select(*_KEY).distinct().withColumn("gap", gap)
-    middle = F.median(F.when(F.col("gap") > 0, F.col("gap")))
-    rate = F.when((F.count(F.lit(1)) >= 3) & middle.isNotNull(), F.least(F.lit(12.0), F.greatest(F.lit(1.0), 365.25 / middle))).otherwise(F.lit(float(default)))
-    return gaps.groupBy("ticker").agg(rate.alias("events_per_year"))
+    return gaps.groupBy("ticker").agg(_rate(F.count(F.lit(1)), F.col("gap"), default).alias("events_per_year"))
 
 
 def trade_stats(trades: DataFrame, cfg: BacktestConfig | None = None) -> DataFrame:
-    """Performance figures by ticker."""
+    """Performance figures by ticker, from one pass over the trades and one aggregation.
+
+    A curve that ends has neither drawdown nor total return.
+    """
     cfg = cfg or BacktestConfig()
+    unbroken = F.count("equity") == F.count(F.lit(1))
     r = F.col("return")
     n, mean = F.count(r), F.avg(r)
     sd = F.when(n > 1, F.stddev_samp(r)).otherwise(F.lit(0.0))
     won, lost = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.sum(F.when(r < 0, -r)), F.lit(0.0))
-    base = trades.groupBy("ticker").agg(
+    rate = F.lit(float(cfg.events_per_year)) if cfg.events_per_year else _rate(F.count(F.lit(1)), F.col("gap"), 4.0)
+    out = _with_curve(trades, cfg.compound).groupBy("ticker").agg(
         n.cast("double").alias("n_trades"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
         mean.alias("mean_return"),
@@ -294,9 +317,25 @@ def trade_stats(trades: DataFrame, cfg: BacktestConfig | None = None) -> DataFra
         *[F.avg(c).alias(f"mean_{c}") for c in ("net_credit", "front_pnl", "back_pnl", "cost")],
         F.avg("implied_event_move").alias("mean_implied_move"),
         F.avg("realized_move").alias("mean_realized_move"),
+        F.when(unbroken, F.least(F.lit(0.0), F.min("drawdown"))).alias("max_drawdown"),
+        F.when(unbroken, F.max_by("equity", "session_date") - 1).alias("total_return"),
+        rate.alias("events_per_year"),
     )
-    curve = equity_curve(trades, cfg.compound).groupBy("ticker").agg(F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"), (F.max_by("equity", "session_date") - 1).alias("total_return"))
-    rate = trades.select("ticker").distinct().withColumn("events_per_year", F.lit(float(cfg.events_per_year))) if cfg.events_per_year else events_per_year(trades)
-    out = base.join(curve, "ticker").join(rate, "ticker")
     sharpe = F.when(F.col("std_return") > 0, F.col("mean_return") / F.col("std_return") * F.sqrt("events_per_year"))
     return out.withColumn("sharpe_ratio", sharpe)
+
+
+_SHOWN = {
+    "n_trades": ("trades", "%.0f"), "win_rate": ("win rate", "%.1f%%"), "mean_return": ("mean return", "%.2f%%"), "median_return": ("median return", "%.2f%%"),
+    "sharpe_ratio": ("Sharpe ratio", "%.2f"), "profit_factor": ("profit factor", "%.2f"), "max_drawdown": ("largest drawdown", "%.2f%%"), "total_return": ("total return", "%.2f%%"),
+}
+
+
+def summary_table(stats: DataFrame) -> DataFrame:
+    """``(ticker, place, figure, value)``: the figures for people, as text; what is not defined is ``n/a``."""
+    lines = []
+    for place, (name, (label, style)) in enumerate(_SHOWN.items()):
+        value = F.col(name) * 100 if "%%" in style else F.col(name)
+        text = F.when(F.col(name).isNull() | F.isnan(name), "n/a").when(F.abs(name) == float("inf"), F.when(F.col(name) > 0, "inf").otherwise("-inf")).otherwise(F.format_string(style, value))
+        lines.append(F.struct(F.lit(place).alias("place"), F.lit(label).alias("figure"), text.alias("value")))
+    return stats.select("ticker", F.inline(F.array(*lines)))

@@ -35,7 +35,7 @@ def _check(bars: DataFrame, cfg: DecompositionConfig, strict: bool) -> None:
 
 def session_variances(bars: DataFrame, cfg: DecompositionConfig) -> DataFrame:
     """All frames of the decomposition at every session, in one pass by ticker."""
-    zero, ddof, gap = cfg.effective_zero_mean, cfg.effective_ddof, cfg.baseline_gap
+    zero, ddof, gap = cfg.zero_mean, cfg.ddof, cfg.baseline_gap
     df = positioned(bars)
     event = by_session().rowsBetween(0, cfg.event_window - 1)
     r = F.col("r")

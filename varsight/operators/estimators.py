@@ -15,17 +15,12 @@ from pyspark.sql import functions as F
 
 from ..config import PERIODS_PER_YEAR
 from ..errors import InsufficientDataError
+from ..functions.expressions import annualize
 from ..functions.windows import by_session, full, positioned, variance
 
 LN2_4 = 4 * math.log(2)
 
 
-def _scale(annualized: bool, periods_per_year: float) -> float:
-    if periods_per_year <= 0:
-        raise ValueError("periods_per_year must be strictly positive")
-    return math.sqrt(periods_per_year) if annualized else 1.0
-
-
 def _strict(df: DataFrame, column: str, least: int, strict: bool) -> DataFrame:
     if strict:
         short = df.where(F.col(column).isNull()).select("ticker", "n_obs").first()
@@ -47,7 +42,7 @@ def realized_variance(bars: DataFrame, zero_mean: bool = True, ddof: int = 0, st
 
 
 def close_to_close(bars: DataFrame, annualized: bool = True, zero_mean: bool = False, ddof: int = 1, periods_per_year: float = PERIODS_PER_YEAR, strict: bool = False) -> DataFrame:
-    out = realized_variance(bars, zero_mean, ddof).select("ticker", (F.sqrt("realized_variance") * _scale(annualized, periods_per_year)).alias("sigma"), "n_obs")
+    out = realized_variance(bars, zero_mean, ddof).select("ticker", annualize(F.sqrt("realized_variance"), periods_per_year, annualized).alias("sigma"), "n_obs")
     return _strict(out, "sigma", ddof + 1, strict)
 
 
@@ -57,7 +52,7 @@ def _log_range() -> Column:
 
 
 def parkinson(bars: DataFrame, annualized: bool = True, periods_per_year: float = PERIODS_PER_YEAR) -> DataFrame:
-    sigma = F.sqrt(F.avg(_log_range()) / LN2_4) * _scale(annualized, periods_per_year)
+    sigma = annualize(F.sqrt(F.avg(_log_range()) / LN2_4), periods_per_year, annualized)
     return bars.groupBy("ticker").agg(sigma.alias("sigma"), F.count(F.lit(1)).alias("n_obs"))
 
 
@@ -81,7 +76,7 @@ def yang_zhang(bars: DataFrame, annualized: bool = True, periods_per_year: float
     n = F.count("_o")
     k = _weight(n.cast("double"))
     v = F.var_samp("_o") + k * F.var_samp("_c") + (1 - k) * F.avg("_s")
-    sigma = F.when(n >= 2, F.sqrt(F.greatest(v, F.lit(0.0))) * _scale(annualized, periods_per_year))
+    sigma = F.when(n >= 2, annualize(F.sqrt(F.greatest(v, F.lit(0.0))), periods_per_year, annualized))
     out = with_overnight(positioned(bars)).groupBy("ticker").agg(sigma.alias("sigma"), F.count(F.lit(1)).alias("n_obs"))
     return _strict(out, "sigma", 3, strict)
 
@@ -107,7 +102,7 @@ def _rolling(bars: DataFrame, estimator: str, window: int, least: int, annualize
     if window < least:
         raise ValueError(f"window must be >= {least}")
     df = rolling_variance(positioned(bars), estimator, window, "_v", **kind)
-    return df.select("ticker", "date", (F.sqrt("_v") * _scale(annualized, periods_per_year)).alias("sigma"))
+    return df.select("ticker", "date", annualize(F.sqrt("_v"), periods_per_year, annualized).alias("sigma"))
 
 
 def rolling_close_to_close(bars: DataFrame, window: int, annualized: bool = True, zero_mean: bool = False, ddof: int = 1, periods_per_year: float = PERIODS_PER_YEAR) -> DataFrame:

@@ -21,6 +21,11 @@ class PremiumResult:
     stats: DataFrame
     source: str
 
+    def to_dict(self, ticker: str) -> dict[str, float | int | str | None]:
+        """One ticker's figures and the source of its implied moves; empty if it has none."""
+        row = self.stats.where(F.col("ticker") == ticker).first()
+        return {} if row is None else row.asDict() | {"implied_source": self.source}
+
 
 def volatility_risk_premium(
     events: DataFrame,

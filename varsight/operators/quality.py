@@ -107,3 +107,11 @@ def detect_gaps(bars: DataFrame, max_holiday_run: int = MAX_HOLIDAY_RUN) -> Data
     runs = missing.withColumn("run", F.col("k") - F.row_number().over(by_day))
     out = runs.groupBy("ticker", "run").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count(F.lit(1)).alias("n_days"))
     return out.where(F.col("n_days") > max_holiday_run).drop("run")
+
+
+def describe_gaps(gaps: DataFrame) -> DataFrame:
+    """``(ticker, description)`` of the tickers that have gaps: their number and the longest, as text."""
+    longest = F.max_by(F.struct("gap_start", "gap_end", "n_days"), F.struct("n_days", "gap_start"))
+    out = gaps.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), longest.alias("g"))
+    text = F.format_string("%d gap(s), the longest of %d weekdays from %s to %s", "n", "g.n_days", F.col("g.gap_start").cast("string"), F.col("g.gap_end").cast("string"))
+    return out.select("ticker", text.alias("description"))

@@ -63,3 +63,33 @@ def premium_scatter(per_event: DataFrame) -> DataFrame:
     """Implied against realized moves, with the axis limit of a square chart."""
     top = F.max(F.greatest("implied_move", "realized_move")).over(Window.partitionBy("ticker"))
     return per_event.select("ticker", "session_date", "implied_move", "realized_move", (top * 1.1).alias("axis_limit"))
+
+
+def event_table(events: DataFrame, rows: int = 12, places: int = 4) -> DataFrame:
+    """The first events of every ticker with rounded figures, as a report lists them."""
+    order = Window.partitionBy("ticker").orderBy("session_date")
+    shown = ["sigma_baseline", "sigma_jump", "sigma_total", "variance_ratio", "event_return"]
+    top = events.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    return top.select("ticker", "place", "session_date", *[F.round(c, places).alias(c) for c in shown], "jump_clamped")
+
+
+def stage_status(tickers: DataFrame, summary: DataFrame, premium_stats: DataFrame | None, trade_stats: DataFrame | None) -> DataFrame:
+    """``(ticker, stages)``: for every ticker whether each stage is ok, failed or skipped.
+
+    The premium is optional and skipped where it has no figures; a backtest
+    that was not asked for is skipped.
+    """
+    out = tickers.select("ticker").distinct()
+
+    def state(rows: DataFrame | None, name: str, lost: str) -> None:
+        nonlocal out
+        if rows is None:
+            out = out.withColumn(name, F.lit("skipped"))
+        else:
+            out = out.join(rows.select("ticker", F.lit("ok").alias(name)), "ticker", "left").fillna(lost, [name])
+
+    state(summary, "decomposition", "failed")
+    state(premium_stats, "vrp", "skipped")
+    state(trade_stats, "backtest", "failed")
+    names = ("decomposition", "vrp", "backtest")
+    return out.select("ticker", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("stages"))

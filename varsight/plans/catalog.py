@@ -7,6 +7,7 @@ are rounded to eight places at this boundary only.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import partial
 
@@ -70,7 +71,7 @@ def _add(name: str, build: Callable[[Inputs], DataFrame], sql: str | None) -> No
 
 
 # bars and their quality
-_EXACT = {"daily_bars", "validated_bars"}  # plain arithmetic, equal to the last bit
+_EXACT = {"daily_bars", "validated_bars", "prices_in_range"}  # plain arithmetic, equal to the last bit
 _add("daily_bars", lambda i: i.bars, oracle.daily_bars())
 _add(
     "ohlcv_violations",
@@ -104,6 +105,65 @@ _add(
   round(last(value ORDER BY ts, value), 8) AS close, count(*) AS n_ticks FROM events GROUP BY event_type, date_trunc('hour', ts)""",
 )
 
+
+
+def _broken(bars: DataFrame) -> DataFrame:
+    """Bars that break every rule of validation somewhere, by the day of the month."""
+    day = F.dayofmonth("date")
+    bars = bars.withColumns(
+        {
+            "open": F.when(day == 3, F.lit(0.0)).otherwise(F.col("open")),
+            "high": F.when(day == 13, F.col("low") - 1).otherwise(F.col("high")),
+            "low": F.when(day == 5, -F.col("low")).otherwise(F.col("low")),
+            "close": F.when(day == 7, -F.col("close")).when(day == 17, F.lit(None)).otherwise(F.col("close")),
+            "volume": F.when(day == 9, -F.col("volume")).when(day == 19, F.lit(0.0)).otherwise(F.col("volume")),
+        }
+    )
+    return bars.unionByName(bars.where(F.dayofmonth("date") == 11))
+
+
+_PRICES = ("open", "high", "low", "close")
+_WHOLE = "open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL"
+_RULES = {
+    "duplicated": "copies > 1",
+    **{f"nonpositive_{c}": f"{_WHOLE} AND {c} <= 0" for c in _PRICES},
+    "high_below_low": f"{_WHOLE} AND high < low",
+    **{f"{c}_outside": f"{_WHOLE} AND ({c} < low OR {c} > high)" for c in ("open", "close")},
+    "negative_volume": f"{_WHOLE} AND volume < 0",
+    "zero_volume": f"{_WHOLE} AND volume = 0",
+}
+_BROKEN = """x AS (SELECT ticker, date, CASE WHEN day(date) = 3 THEN 0 ELSE open END AS open, CASE WHEN day(date) = 13 THEN low - 1 ELSE high END AS high,
+  CASE WHEN day(date) = 5 THEN -low ELSE low END AS low, CASE WHEN day(date) = 7 THEN -close WHEN day(date) = 17 THEN NULL ELSE close END AS close,
+  CASE WHEN day(date) = 9 THEN -volume WHEN day(date) = 19 THEN 0 ELSE volume END AS volume FROM bars),
+y AS (SELECT *, count(*) OVER (PARTITION BY ticker, date) AS copies FROM (SELECT * FROM x UNION ALL SELECT * FROM x WHERE day(date) = 11))"""
+_add(
+    "ohlcv_all_rules",
+    lambda i: quality.violations(_broken(i.bars), allow_zero_volume=False),
+    oracle.base(_BROKEN)
+    + f"SELECT ticker, count(*) AS n_rows, count(*) FILTER (WHERE {_WHOLE}) AS n_complete, count(*) FILTER (WHERE NOT ({_WHOLE})) AS n_incomplete, "
+    + ", ".join(f"count(*) FILTER (WHERE {rule}) AS n_{name}, min(date) FILTER (WHERE {rule}) AS first_{name}" for name, rule in _RULES.items())
+    + " FROM y GROUP BY ticker",
+)
+_SPAN = (dt.date(1993, 3, 1), dt.date(1997, 6, 30))
+_add(
+    "prices_in_range",
+    lambda i: tables.load_prices(i.bars.withColumns({"high": F.greatest(*_PRICES), "low": F.least(*_PRICES)}), ["an", " NO"], *_SPAN, min_rows=10, strict=False),
+    oracle.base() + f"SELECT ticker, date, open, greatest(open, high, low, close) AS high, least(open, high, low, close) AS low, close, volume FROM bars WHERE ticker IN ('AN', 'NO') AND date BETWEEN '{_SPAN[0]}' AND '{_SPAN[1]}'",
+)
+_add(
+    "gap_descriptions",
+    lambda i: quality.describe_gaps(quality.detect_gaps(i.holed())),
+    _QUERIES["gap_runs"][1].replace("SELECT ticker, min(date) AS gap_start", ", g AS (SELECT ticker, min(date) AS gap_start")
+    + """) SELECT ticker, printf('%d gap(s), the longest of %d weekdays from %s to %s', count(*), max(n_days), arg_max(gap_start, (n_days, gap_start))::VARCHAR, arg_max(gap_end, (n_days, gap_start))::VARCHAR) AS description FROM g GROUP BY ticker""",
+)
+_STAMPS = "concat(announcement_date, ' 22:30:00-05:00')"
+_add(
+    "events_from_stamps",
+    lambda i: tables.load_events(i.announcements.withColumn("announcement_date", F.expr(_STAMPS)), asof=dt.date(1997, 1, 1), limit=9),
+    "WITH " + oracle._BARS + """, a AS (SELECT DISTINCT ticker, date_trunc('quarter', date)::DATE + 1 AS announcement_date FROM li)
+SELECT ticker, announcement_date::DATE AS announcement_date FROM a WHERE announcement_date < '1997-01-01' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY announcement_date DESC) <= 9""",
+)
+
 # returns and estimators
 _add("log_returns", lambda i: estimators.log_returns(i.bars), oracle.base() + "SELECT ticker, date, pp - 1 AS ret_pos, round(r, 8) AS log_return FROM s WHERE pp >= 1")
 _add("realized_variance_zero_mean", lambda i: estimators.realized_variance(i.bars), oracle.base() + "SELECT ticker, round(avg(r * r), 8) AS realized_variance, count(r) AS n_obs FROM s GROUP BY ticker")
@@ -132,6 +192,14 @@ _add(
     oracle.base(oracle.status_ctes(C2C)) + "SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS n_{k}" for k in ("aligned", "future", "insufficient", "duplicate")) + " FROM status GROUP BY ticker",
 )
 
+_add(
+    "alignment_descriptions",
+    lambda i: alignment.describe(alignment.align_events(i.bars, i.announcements)),
+    oracle.base(oracle.status_ctes(C2C), "k AS (SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS n_{k}" for k in ("aligned", "future", "insufficient", "duplicate")) + " FROM status GROUP BY ticker)")
+    + """SELECT ticker, printf('%d aligned', n_aligned) || CASE WHEN n_future + n_insufficient + n_duplicate > 0 THEN '; dropped: ' || array_to_string(list_filter([CASE WHEN n_duplicate > 0 THEN printf('%d on a session that another has', n_duplicate) END,
+  CASE WHEN n_insufficient > 0 THEN printf('%d without enough sessions around', n_insufficient) END, CASE WHEN n_future > 0 THEN printf('%d after the last session', n_future) END], lambda x: x IS NOT NULL), ', ') ELSE '' END AS description FROM k""",
+)
+
 # decomposition
 for _name, _cfg in {
     "decompose_c2c": C2C,
@@ -148,6 +216,15 @@ _add(
     oracle.base(*oracle.event_ctes(C2C)) + f"SELECT {oracle.rounded(['ticker', 'session_date', 'sigma_baseline', 'sigma_jump', 'sigma_total', 'variance_ratio', 'jump_clamped'], oracle.PLAIN)} FROM events_out",
 )
 
+_add(
+    "event_table",
+    lambda i: report.event_table(i.events()),
+    oracle.base(*oracle.event_ctes(C2C))
+    + "SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY session_date) AS place, session_date, "
+    + ", ".join(f"round({c}, 4) AS {c}" for c in ("sigma_baseline", "sigma_jump", "sigma_total", "variance_ratio", "event_return"))
+    + ", jump_clamped FROM events_out QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY session_date) <= 12",
+)
+
 # premium
 _add(
     "implied_jump_move",
@@ -166,6 +243,24 @@ _add(
     + "SELECT ticker, session_date, round(implied_move, 8) AS implied_move, round(realized_move, 8) AS realized_move, round(max(greatest(implied_move, realized_move)) OVER (PARTITION BY ticker) * 1.1::DOUBLE, 8) AS axis_limit FROM pe",
 )
 
+_MOVES = "CASE WHEN month(session_date) <> 7 THEN 0.01D + day(session_date) / 1000D END"
+_IVS = "CASE WHEN month(session_date) <> 1 THEN 0.1D + day(session_date) / 100D END"
+_SQL_MOVES = "CASE WHEN month(session_date) <> 7 THEN 0.01::DOUBLE + day(session_date) / 1000::DOUBLE END"
+_SQL_IVS = "CASE WHEN month(session_date) <> 1 THEN 0.1::DOUBLE + day(session_date) / 100::DOUBLE END"
+_GIVEN = "SELECT {} FROM pe WHERE implied_move IS NOT NULL"
+_PER_EVENT = oracle.rounded(["ticker", "session_date", "implied_move", "realized_move", "vrp", "vrp_ratio", "implied_source"], ("ticker", "session_date", "implied_source"))
+_add(
+    "vrp_supplied_moves",
+    lambda i: premium.volatility_risk_premium(i.events(), implied_moves=i.events().select("ticker", "session_date", F.expr(_MOVES).alias("implied_move"))).per_event,
+    oracle.base(*oracle.event_ctes(C2C), oracle.premium_cte(_SQL_MOVES, "supplied_moves")) + _GIVEN.format(_PER_EVENT),
+)
+_add(
+    "vrp_supplied_iv",
+    lambda i: premium.volatility_risk_premium(i.events(), implied_vols=i.events().select("ticker", "session_date", F.expr(_IVS).alias("implied_vol"))).per_event,
+    oracle.base(*oracle.event_ctes(C2C), oracle.premium_cte(f"sqrt(greatest(0, (pow({_SQL_IVS}, 2) - sigma_baseline * sigma_baseline) * 21 / 252))", "supplied_iv") + ", pf AS (SELECT * FROM pe WHERE month(session_date) <> 1)")
+    + f"SELECT {_PER_EVENT} FROM pf",
+)
+
 # cones
 for _name, _est in {"cone_c2c": "close_to_close", "cone_parkinson": "parkinson", "cone_yang_zhang": "yang_zhang"}.items():
     _add(_name, lambda i, e=_est: cone.vol_cone(i.bars, CONE_WINDOWS, estimator=e).withColumnRenamed("window", "window_sessions"), oracle.cone(_est, CONE_WINDOWS, cone.QUANTILES))
@@ -177,11 +272,59 @@ _add(
     oracle.base() + "SELECT ticker, date, round(price, 8) AS price, round(delta, 8) AS delta, round(gamma, 8) AS gamma FROM ("
     + oracle.straddle("SELECT ticker, date, close AS spot, open AS strike, high / low - 1 + 0.05::DOUBLE AS vol, day(date) / 252::DOUBLE AS tau FROM bars", "ticker, date", 0.01) + ")",
 )
+_EXPIRING = "greatest(0, day(date) - 15) / 2520D"
+_add(
+    "straddle_at_expiry",
+    lambda i: X.with_straddle(i.bars, "b", F.col("close"), F.col("open") * 1.0123456789, F.lit(0.3), F.expr(_EXPIRING)).select("ticker", "date", "b.*"),
+    oracle.base() + "SELECT ticker, date, round(price, 8) AS price, round(delta, 8) AS delta, round(gamma, 8) AS gamma FROM ("
+    + oracle.straddle("SELECT ticker, date, close AS spot, open * 1.0123456789::DOUBLE AS strike, 0.3::DOUBLE AS vol, greatest(0, day(date) - 15) / 2520::DOUBLE AS tau FROM bars", "ticker, date") + ")",
+)
+
+
+def _by_sql(i: Inputs) -> DataFrame:
+    """The SQL functions, called from SQL text."""
+    X.register_sql_functions(i.spark)
+    return i.spark.sql(
+        "SELECT ticker, date, norm_cdf(close - open) AS cdf, implied_jump_move(0.3D, 0.1D, day(date)) AS move, implied_jump_move(0.3D, 0.1D, day(date), 365D) AS move_365, "
+        "straddle_price(close, open, 0.25D, (day(date) - 1) / 252D, 0.02D) AS price, straddle_delta(close, open, 0.25D, (day(date) - 1) / 252D, 0.02D) AS delta FROM {bars}",
+        bars=i.bars,
+    )
+
+
+_add(
+    "sql_functions",
+    _by_sql,
+    oracle.base("p AS (" + oracle.straddle("SELECT ticker, date, close AS spot, open AS strike, 0.25::DOUBLE AS vol, (day(date) - 1) / 252::DOUBLE AS tau FROM bars", "ticker, date, spot - strike AS move", 0.02) + ")")
+    + f"SELECT ticker, date, round({oracle.cdf('move')}, 8) AS cdf, round(sqrt(0.08::DOUBLE * day(date) / 252), 8) AS move, round(sqrt(0.08::DOUBLE * day(date) / 365), 8) AS move_365, round(price, 8) AS price, round(delta, 8) AS delta FROM p",
+)
 _add(
     "entry_inputs",
     lambda i: backtest.entry_inputs(i.bars, i.events(), BT, C2C).select("ticker", "session_date", "entry_date", "exit_date", "baseline", "history_events", "calibration", "usable"),
     oracle.entry_inputs(BT, C2C),
 )
+for _est in ("parkinson", "yang_zhang"):
+    _ev = DecompositionConfig(estimator=_est)
+    _add(
+        f"entry_inputs_{_est}",
+        lambda i, ev=_ev: backtest.entry_inputs(i.bars, i.events(ev), BT, ev).select("ticker", "session_date", "entry_date", "exit_date", "baseline", "history_events", "calibration", "usable"),
+        oracle.entry_inputs(BT, _ev),
+    )
+
+
+def _observed(i: Inputs) -> DataFrame:
+    """A volatility by event, observed at 20:00 UTC of the entry day, or where the event's day is even a day later."""
+    rows = backtest.entry_inputs(i.bars, i.events(), BT, C2C)
+    hours = F.when(F.dayofmonth("session_date") % 2 == 0, 44).otherwise(20)
+    seen = F.col("entry_date").cast("timestamp") + F.make_dt_interval(hours=hours)
+    return rows.where(F.month("session_date") != 4).select("ticker", "session_date", (0.2 + F.dayofmonth("session_date") / 100.0).alias("implied_vol"), seen.alias("observed_at"))
+
+
+_TIMED = "month(session_date) <> 4 AND (entry_date + INTERVAL (CASE WHEN day(session_date) % 2 = 0 THEN 44 ELSE 20 END) HOUR) <= timezone('UTC', (entry_date + INTERVAL 16 HOUR) AT TIME ZONE 'America/New_York')"
+_add(
+    "trades_timestamped_iv",
+    lambda i: i.trades(implied_vols=_observed(i), implied_vol_days=15).trades,
+    oracle.trades(BT, C2C, backtest.TRADE_COLUMNS, iv="(0.2::DOUBLE + day(session_date) / 100::DOUBLE)", iv_days=15, known=_TIMED),
+)
 for _name, _bt, _iv in [
     ("trades_calendar", BT, {}),
     ("trades_short_straddle", BacktestConfig(structure="short_straddle", exit_offset=2, rate=0.02), {}),
@@ -196,6 +339,26 @@ _add(
     lambda i: i.trades().equity.select("ticker", "session_date", "return", "equity", "peak", "drawdown"),
     oracle.base(*oracle.trade_ctes(BT, C2C), oracle.EQUITY) + 'SELECT ticker, session_date, round("return", 8) AS "return", round(equity, 8) AS equity, round(peak, 8) AS peak, round(equity - peak, 8) AS drawdown FROM eq2',
 )
+COMPOUND = BacktestConfig(compound=True, capital_basis="notional")
+_add(
+    "equity_compounded",
+    lambda i: i.trades(COMPOUND).equity,
+    oracle.base(*oracle.trade_ctes(COMPOUND, C2C), oracle.compounded()) + 'SELECT ticker, session_date, round("return", 8) AS "return", round(equity, 8) AS equity, round(peak, 8) AS peak, round(equity / peak - 1, 8) AS drawdown FROM eq2',
+)
+_add(
+    "trade_stats_compounded",
+    lambda i: i.trades(COMPOUND).stats.select(*oracle.STATS),
+    oracle.base(*oracle.trade_ctes(COMPOUND, C2C), *oracle.stats_ctes(compound=True)) + f"SELECT {oracle.rounded(oracle.STATS, ('ticker',))} FROM stats",
+)
+_add(
+    "summary_table",
+    lambda i: i.trades().summary_table(),
+    oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes())
+    + " UNION ALL ".join(
+        f"SELECT ticker, {k}::BIGINT AS place, '{label}' AS figure, CASE WHEN {name} IS NULL THEN 'n/a' WHEN isinf({name}) THEN CASE WHEN {name} > 0 THEN 'inf' ELSE '-inf' END ELSE printf('{style}', {name}{' * 100' if '%%' in style else ''}) END AS value FROM stats"
+        for k, (name, (label, style)) in enumerate(backtest._SHOWN.items())
+    ),
+)
 _add("trade_stats", lambda i: i.trades().stats.select(*oracle.STATS), oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes()) + f"SELECT {oracle.rounded(oracle.STATS, ('ticker',))} FROM stats")
 _add(
     "skipped_events",
@@ -212,6 +375,15 @@ _add(
     oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes(), f"sm_ AS ({oracle.summary_select(C2C)})")
     + "SELECT ticker, n_events AS events, " + ", ".join(f"round({a}, 8) AS {b}" for a, b in _CROSS.items()) + " FROM sm_ LEFT JOIN stats USING (ticker)",
 )
+_add(
+    "stage_status",
+    lambda i: report.stage_status(
+        i.bars, decomposition.summarize(i.events()), premium.volatility_risk_premium(i.events(), min_events=27).stats, i.trades(BacktestConfig(min_history_events=26)).stats
+    ).select("ticker", F.to_json("stages").alias("stages")),
+    oracle.base(*oracle.trade_ctes(BacktestConfig(min_history_events=26), C2C), "ec_ AS (SELECT ticker, count(*) AS n FROM events_out GROUP BY ticker)", "tc_ AS (SELECT DISTINCT ticker FROM trades)")
+    + """SELECT b.ticker, printf('{"decomposition":"%s","vrp":"%s","backtest":"%s"}', CASE WHEN e.n > 0 THEN 'ok' ELSE 'failed' END, CASE WHEN e.n >= 27 THEN 'ok' ELSE 'skipped' END, CASE WHEN t.ticker IS NULL THEN 'failed' ELSE 'ok' END) AS stages
+FROM (SELECT DISTINCT ticker FROM bars) b LEFT JOIN ec_ e ON e.ticker = b.ticker LEFT JOIN tc_ t ON t.ticker = b.ticker""",
+)
 _add(
     "jump_histogram",
     lambda i: report.jump_histogram(i.events()),

@@ -76,9 +76,9 @@ al AS (SELECT ticker, announcement_date, return_position AS p, session_date FROM
 
 
 def _var(cfg: DecompositionConfig) -> str:
-    if cfg.effective_zero_mean:
+    if cfg.zero_mean:
         return "avg(x.r * x.r)"
-    return {0: "var_pop(x.r)", 1: "var_samp(x.r)"}[cfg.effective_ddof]
+    return {0: "var_pop(x.r)", 1: "var_samp(x.r)"}[cfg.ddof]
 
 
 def _gather(name: str, value: str, lo: str, hi: str) -> str:
@@ -203,11 +203,14 @@ def straddle(source: str, keep: str, rate: float = 0.0) -> str:
 
 def entry_ctes(cfg: BacktestConfig, ev: DecompositionConfig) -> list[str]:
     e, x, w = cfg.entry_offset, cfg.exit_offset, ev.primary_baseline
+    baseline = f"""eb AS (SELECT e0.ticker, e0.pp, CASE WHEN count(y.r) = {w} THEN sqrt({_var(ev).replace("x.", "y.")} * {cfg.periods_per_year}) END AS baseline
+  FROM e0 LEFT JOIN s y ON y.ticker = e0.ticker AND y.pp BETWEEN e0.pp - {e + w - 1} AND e0.pp - {e} GROUP BY e0.ticker, e0.pp)"""
+    if ev.estimator != "close_to_close":
+        baseline = f"eb AS (SELECT e0.ticker, e0.pp, sqrt(q.v * {cfg.periods_per_year}) AS baseline FROM e0 LEFT JOIN roll_{w} q ON q.ticker = e0.ticker AND q.pp = e0.pp - {e})"
     return [
         *event_ctes(ev),
         "e0 AS (SELECT ticker, session_date, announcement_date, return_position + 1 AS pp, abs_event_return AS move FROM events_out)",
-        f"""eb AS (SELECT e0.ticker, e0.pp, CASE WHEN count(y.r) = {w} THEN sqrt({_var(ev).replace("x.", "y.")} * {cfg.periods_per_year}) END AS baseline
-  FROM e0 LEFT JOIN s y ON y.ticker = e0.ticker AND y.pp BETWEEN e0.pp - {e + w - 1} AND e0.pp - {e} GROUP BY e0.ticker, e0.pp)""",
+        baseline,
         f"""ec AS (SELECT a.ticker, a.pp, count(b.move) AS history_events, avg(b.move) AS mean_move FROM e0 a LEFT JOIN e0 b
   ON b.ticker = a.ticker AND b.pp < a.pp AND b.pp + {ev.event_window} - 1 <= a.pp - {e} GROUP BY a.ticker, a.pp)""",
         f"""ei AS (SELECT e0.ticker, e0.session_date, e0.announcement_date, e0.pp, e0.move, baseline, history_events,
@@ -239,8 +242,8 @@ def _leg(name: str, expiry: int, factor: float, jump: str, loaded: int, cfg: Bac
     ]
 
 
-def trade_ctes(cfg: BacktestConfig, ev: DecompositionConfig, iv: float | None = None, iv_days: int | None = None) -> list[str]:
-    """CTEs up to ``trades``, with unrounded columns."""
+def trade_ctes(cfg: BacktestConfig, ev: DecompositionConfig, iv: float | str | None = None, iv_days: int | None = None, known: str = "true") -> list[str]:
+    """CTEs up to ``trades``, with unrounded columns.  iv: a number or an expression; known: where it counts."""
     e, front, back = cfg.entry_offset, cfg.entry_offset + cfg.front_expiry_offset, cfg.entry_offset - cfg.back_expiry_offset
     calendar, slip = cfg.structure == "calendar", f"{cfg.slippage_vol_points}::DOUBLE"
     front_tau, back_tau = f"({front}::DOUBLE / {cfg.periods_per_year})", f"({back}::DOUBLE / {cfg.periods_per_year})"
@@ -248,7 +251,7 @@ def trade_ctes(cfg: BacktestConfig, ev: DecompositionConfig, iv: float | None =
         use, jump = "priceable AND calibration IS NOT NULL", f"pow(calibration / {MOVE}::DOUBLE, 2)"
     else:
         tau = front_tau if iv_days is None else f"({iv_days}::DOUBLE / {cfg.periods_per_year})"
-        use, jump = "priceable", f"greatest(0, ({iv}::DOUBLE * {iv} - baseline * baseline) * {tau})"
+        use, jump = f"priceable AND {known}", f"greatest(0, ({iv}::DOUBLE * {iv} - baseline * baseline) * {tau})"
     ctes = [
         *entry_ctes(cfg, ev),
         f"used AS (SELECT *, {jump} AS jump_var FROM ei WHERE {use})",
@@ -283,8 +286,8 @@ def trade_ctes(cfg: BacktestConfig, ev: DecompositionConfig, iv: float | None =
 TRADE_PLAIN = ("ticker", "session_date", "announcement_date", "entry_date", "event_date", "exit_date", "entry_baseline_date", "history_events")
 
 
-def trades(cfg: BacktestConfig, ev: DecompositionConfig, columns: list[str], iv: float | None = None, iv_days: int | None = None) -> str:
-    return base(*trade_ctes(cfg, ev, iv, iv_days)) + f"SELECT {rounded(['ticker', 'session_date', *columns], TRADE_PLAIN)} FROM trades"
+def trades(cfg: BacktestConfig, ev: DecompositionConfig, columns: list[str], iv: float | str | None = None, iv_days: int | None = None, known: str = "true") -> str:
+    return base(*trade_ctes(cfg, ev, iv, iv_days, known)) + f"SELECT {rounded(['ticker', 'session_date', *columns], TRADE_PLAIN)} FROM trades"
 
 
 EQUITY = """eq AS (SELECT a.ticker, a.session_date, any_value(a."return") AS "return", 1 + sum(b."return" ORDER BY b.session_date) AS equity FROM trades a JOIN trades b
@@ -292,6 +295,13 @@ EQUITY = """eq AS (SELECT a.ticker, a.session_date, any_value(a."return") AS "re
 eq2 AS (SELECT a.ticker, a.session_date, any_value(a."return") AS "return", any_value(a.equity) AS equity, greatest(1, max(b.equity)) AS peak, max(b.equity) AS running_peak FROM eq a JOIN eq b
   ON b.ticker = a.ticker AND b.session_date <= a.session_date GROUP BY a.ticker, a.session_date)"""
 
+
+def compounded() -> str:
+    """``EQUITY`` that compounds and ends, as null, with a return of -100 % or less."""
+    grown = EQUITY.replace('1 + sum(b."return" ORDER BY b.session_date)', 'CASE WHEN min(b."return") > -1 THEN product(1 + b."return") END')
+    return grown.replace("greatest(1, max(b.equity)) AS peak", "CASE WHEN any_value(a.equity) IS NOT NULL THEN greatest(1, max(b.equity)) END AS peak")
+
+
 RATES = """gaps AS (SELECT ticker, date_diff('day', lag(session_date) OVER (PARTITION BY ticker ORDER BY session_date), session_date) AS gap FROM (SELECT DISTINCT ticker, session_date FROM {table})),
 rates AS (SELECT ticker, CASE WHEN count(*) >= 3 THEN least(12, greatest(1, 365.25::DOUBLE / median(gap) FILTER (WHERE gap > 0))) ELSE 4 END::DOUBLE AS events_per_year FROM gaps GROUP BY ticker)"""
 
@@ -301,15 +311,16 @@ STATS = [
 ]
 
 
-def stats_ctes() -> list[str]:
+def stats_ctes(compound: bool = False) -> list[str]:
+    fall = "equity / peak - 1" if compound else "equity - peak"
     return [
-        EQUITY,
+        compounded() if compound else EQUITY,
         RATES.format(table="trades"),
         """st AS (SELECT ticker, count(*)::DOUBLE AS n_trades, avg(("return" > 0)::INT::DOUBLE) AS win_rate, avg("return") AS mean_return, median("return") AS median_return,
   coalesce(stddev_samp("return"), 0) AS std_return, CASE WHEN sum(greatest(-"return", 0)) > 0 THEN sum(greatest("return", 0)) / sum(greatest(-"return", 0))
   WHEN sum(greatest("return", 0)) > 0 THEN 'infinity'::DOUBLE END AS profit_factor, max("return") AS best_trade, min("return") AS worst_trade, avg(net_credit) AS mean_net_credit,
   avg(front_pnl) AS mean_front_pnl, avg(back_pnl) AS mean_back_pnl, avg(cost) AS mean_cost, avg(implied_event_move) AS mean_implied_move, avg(realized_move) AS mean_realized_move
   FROM trades GROUP BY ticker)""",
-        "dd AS (SELECT ticker, least(0, min(equity - peak)) AS max_drawdown, arg_max(equity, session_date) - 1 AS total_return FROM eq2 GROUP BY ticker)",
+        f"dd AS (SELECT ticker, CASE WHEN count(equity) = count(*) THEN least(0, min({fall})) END AS max_drawdown, CASE WHEN count(equity) = count(*) THEN arg_max(equity, session_date) - 1 END AS total_return FROM eq2 GROUP BY ticker)",
         "stats AS (SELECT *, CASE WHEN std_return > 0 THEN mean_return / std_return * sqrt(events_per_year) END AS sharpe_ratio FROM st JOIN dd USING (ticker) JOIN rates USING (ticker))",
     ]

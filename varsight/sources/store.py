@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
+from collections.abc import Callable
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
@@ -11,19 +13,24 @@ from pyspark.sql import functions as F
 
 from ..errors import CacheError
 
+log = logging.getLogger("varsight")
 _MANIFEST = "ticker string, kind string, start date, end date, auto_adjust boolean, rows long, fetched_at timestamp"
 
 
-def write_store(df: DataFrame, root: str, kind: str, auto_adjust: bool = True, fetched_at: datetime | None = None) -> None:
-    """Replace the tickers' stored rows; other tickers stay.  The manifest gains a line for each."""
-    spark = df.sparkSession
+def write_store(df: DataFrame, root: str, kind: str, auto_adjust: bool = True, fetched_at: datetime | None = None, covers: tuple[date, date] | None = None) -> None:
+    """Replace the tickers' stored rows; other tickers stay.  The manifest gains a line for each.
+
+    ``covers`` are the dates that were asked of the source; without it a line
+    covers those from the first to the last row.
+    """
     day = "date" if "date" in df.columns else "announcement_date"
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{root}/{kind}")
     when = (fetched_at or datetime.now(UTC)).replace(tzinfo=None).isoformat(sep=" ")
     lines = df.groupBy("ticker").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count(F.lit(1)).alias("rows"))
+    if covers is not None:
+        lines = lines.withColumns({"start": F.least("start", F.lit(covers[0])), "end": F.greatest("end", F.lit(covers[1]))})
     lines = lines.select("ticker", F.lit(kind).alias("kind"), "start", "end", F.lit(auto_adjust).alias("auto_adjust"), "rows", F.lit(when).cast("timestamp").alias("fetched_at"))
     lines.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-    assert spark is not None
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -60,6 +67,41 @@ def is_fresh(line: dict, start: date, end: date, auto_adjust: bool = True, ttl_h
     return settled or now - line["fetched_at"] < timedelta(hours=ttl_hours)
 
 
+def through_store(
+    spark: SparkSession,
+    root: str,
+    kind: str,
+    tickers: list[str],
+    start: date,
+    end: date,
+    read: Callable[[], DataFrame],
+    auto_adjust: bool = True,
+    ttl_hours: float = 24,
+    force_refresh: bool = False,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Rows of the tickers within the dates, from the store where its lines are fresh.
+
+    Tickers that are stale, unknown or forced are read by ``read`` and stored
+    first; a store that cannot be written is passed by.  An entry covers the
+    dates that were asked for, as a source may have no session on the first.
+    """
+    try:
+        lines = {r["ticker"]: r.asDict() for r in read_manifest(spark, root).where((F.col("kind") == kind) & F.col("ticker").isin(tickers)).collect()}
+    except CacheError:
+        lines = {}
+    stale = [t for t in tickers if force_refresh or t not in lines or not is_fresh(lines[t], start, end, auto_adjust, ttl_hours, now)]
+    if stale:
+        fresh = read().where(F.col("ticker").isin(stale))
+        try:
+            write_store(fresh, root, kind, auto_adjust, covers=(start, end))
+        except Exception as e:
+            log.warning("the store %s could not be written: %s", root, e)
+            kept = [t for t in tickers if t not in stale]
+            return fresh.unionByName(read_store(spark, root, kind, kept, start, end)) if kept else fresh
+    return read_store(spark, root, kind, tickers, start, end)
+
+
 def clear_store(spark: SparkSession, root: str, ticker: str | None = None) -> int:
     """Delete a ticker's folders, or all; returns how many. A missing store counts 0."""
     jvm = spark._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,13 +109,20 @@ def read_event_csv(spark: SparkSession, path: str, ticker: str | None = None, co
 
 
 def load_events(events: DataFrame, asof: date | None = None, include_future: bool = False, limit: int | None = None) -> DataFrame:
-    """Distinct event dates, by default those before ``asof``; at most ``limit`` latest by ticker."""
-    df = events.select("ticker", F.to_date("announcement_date").alias("announcement_date")).dropna().distinct()
+    """Distinct event dates, by default those before ``asof``; at most ``limit`` latest by ticker.
+
+    Stamps, as text with a zone or as timestamps, count by their day in UTC.
+    """
+    when = F.col("announcement_date")
+    kind = events.schema["announcement_date"].dataType
+    if isinstance(kind, T.StringType):
+        when = F.coalesce(F.try_to_timestamp(when), F.try_to_timestamp(when, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    if isinstance(kind, T.StringType | T.TimestampType):
+        when = F.to_utc_timestamp(when, F.current_timezone())
+    df = events.select("ticker", F.to_date(when).alias("announcement_date")).dropna().distinct()
     if not include_future:
         df = df.where(F.col("announcement_date") < (F.lit(asof) if asof else F.current_date()))
     if limit is not None:
-        from pyspark.sql import Window
-
         latest = Window.partitionBy("ticker").orderBy(F.desc("announcement_date"))
         df = df.withColumn("_k", F.row_number().over(latest)).where(F.col("_k") <= limit).drop("_k")
     return df
