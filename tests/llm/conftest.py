@@ -60,5 +60,5 @@ def clashing(awkward):
     """Extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["class_id", "component", "key", "bucket", "rank", "length", "token_ids", "toxicity", "_h", "n_words", "quality", "lang_pred", "fingerprint", "spans", "lane"]
+    names = ["class_id", "component", "key", "bucket", "rank", "length", "token_ids", "toxicity", "_h", "n_words", "quality", "lang_pred", "fingerprint", "spans", "lane", "_row", "_id", "mark", "salt", "place"]
     return awkward.withColumns({n: F.lit("x") for n in names})

@@ -9,7 +9,9 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from varsight.llm import fingerprints, licenses, queries, warc
 from varsight.llm.license_texts import templates as known_templates
 
 
+SF = Path("/root/testdata/sf0.001")
+
+
 def bag(text, width=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return Counter([tuple(w)] if 0 < len(w) < width else [tuple(w[i : i + width]) for i in range(len(w) - width + 1)])
@@ -210,6 +215,19 @@ def test_licenses_against_brute_force():
     assert accepted > 300 and lost <= 0.005 * accepted
 
 
+@pytest.mark.skipif(not SF.exists(), reason="the driver's tables are absent")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, str(SF))
+    want = con.execute(queries.oracle_sql()[name]).fetchall()
+    columns = [c[0] for c in con.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want)
+
+
 def test_registry():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert names == list(range(1, 11))

@@ -89,6 +89,45 @@ def test_tasks_stay_small_where_a_family_hardly_links(spark, monkeypatch):
     assert len(most) == 2 and max(most) <= 80
 
 
+def test_chain_of_unlinked_documents(spark, monkeypatch):
+    """Texts cut from one long text, each half of the next: one family without a link, whose tasks stay bounded."""
+    n, tile = 4000, 256
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(50 * (n + 1))]
+    df = spark.createDataFrame([(i, " ".join(words[50 * i : 50 * i + 100]), "en", "s", 1) for i in range(n)], SCHEMA).repartition(8)
+    most, links = [], nj._links
+
+    def watched(members, sets, percent):
+        most.append(members.groupBy("family", "tile").count().agg({"count": "max"}).first()[0])
+        return links(members, sets, percent)
+
+    monkeypatch.setattr(nj, "_links", watched)
+    assert all(c == d and s == 96 for d, s, c in run(df, nj.JoinConfig(tile_docs=tile)))
+    assert len(most) == 2 and max(most) <= 2 * (1.3 * tile) + nj.DEFAULT.hubs
+
+
+def test_hubs_are_dealt(spark):
+    """A star of many leaves, whose edges go to several tasks, has the components of the plain way."""
+    rng = random.Random(5)
+    edges = [(5000, i) for i in range(3000)] + [(5001 + i, rng.randrange(3000)) for i in range(500)] + [(9000, 9001), (9000, 9001)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    cfg = graph.GraphConfig(hub_rows=50, hub_parts=7)
+    got = {r["node"]: r["component"] for r in graph.connected_components(df, cfg).collect()}
+    assert got == {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert set(got) == {x for e in edges for x in e} and got[9001] == 9000 and {c for x, c in got.items() if x < 6000} == {0}
+    assert graph._hubs(df, cfg)[1] == [(5000, 0)]
+
+
+def test_repeated_keys_of_many_rows():
+    """Rows that repeat are left out however many classes hold a key, also across batches."""
+    classes = np.repeat(np.arange(3 * nj._MANY), 2)
+    keys = np.full(len(classes), 7, dtype=np.int64)
+    cut = [0, 3000, 9001, 9002, len(keys)]
+    batches = [nj.pa.RecordBatch.from_arrays([nj.pa.array(keys[a:b]), nj.pa.array(classes[a:b])], ["key", "class_id"]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    told = np.concatenate([b.column(0).to_numpy() for b in nj._repeated_keys(iter(batches))])
+    assert np.array_equal(told, np.arange(3 * nj._MANY))
+
+
 def test_keep_first(awkward):
     kept = nj.keep_first(awkward)
     assert kept.columns == awkward.columns
@@ -100,6 +139,12 @@ def test_keep_first(awkward):
     assert ids[2] == 0 and ids[3] == 0
 
 
+def test_keep_first_keeps_columns(clashing):
+    named = clashing.withColumn("row_number", clashing["lane"])
+    kept = nj.keep_first(named)
+    assert kept.columns == named.columns and [r[0] for r in kept.select("row_number").distinct().collect()] == ["x"]
+
+
 def test_tree_never_prunes_a_link():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, size=n, dtype=np.uint64)) for n in rng.integers(5, 60, size=300)]

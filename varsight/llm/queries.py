@@ -59,5 +59,28 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+# Words of a text and the shingles of a document, as the join takes them.
+_SHINGLES = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id)"""
+
+_OP1 = f"""WITH RECURSIVE {_SHINGLES},
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.shared >= 75 * (x.n_shingles + y.n_shingles - p.shared)),
+reach AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.doc_id WHERE reach.least < links.b)
+SELECT w.doc_id, coalesce(n.n_shingles, 0)::BIGINT AS n_shingles, min(reach.least) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY w.doc_id, n.n_shingles"""
+
+# Base 32 of the digest: four letters for every five hexadecimal digits.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_LETTERS}', ((('0x' || substr(digest, {1 + 5 * (k // 4)}, 5))::INT >> {15 - 5 * (k % 4)}) & 31) + 1, 1)" for k in range(32))
+
+_OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries whose rows SQL can express."""
+    return {"op1_ngram_jaccard_join": _OP1, "op7_warc_index": _OP7}
