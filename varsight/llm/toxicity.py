@@ -244,6 +244,21 @@ def _regress(held: _Rows, labels: np.ndarray, fold: np.ndarray, ratios: np.ndarr
     return full * scale[0] / unit, bias
 
 
+def _fitted(cfg: ToxicityConfig, ratios: np.ndarray) -> Callable:
+    """All rows ``(mark, toxic, features)``, in order, to weights and bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, labels, packed = [], [], []
+        for batch in batches:
+            marks += batch.column("mark").to_pylist()
+            labels += batch.column("toxic").to_pylist()
+            packed += batch.column("features").to_pylist()
+        weights, bias = _regress(_Rows(packed), np.array(labels, dtype=float), np.array(marks) % cfg.folds, ratios, cfg)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    return run
+
+
 def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT) -> ToxicityModel:
     """Learn from labelled rows outside the held-out fold.
 
@@ -278,13 +293,11 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
         return constant
     ratios = best["ratio"].to_numpy(dtype=float)
     table[best["feature"].to_numpy()] = np.arange(len(best), dtype=np.int32)
-    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "mark long, toxic int, features binary").toPandas()
-    # equal marks are equal rows, so their order is of no account
-    sample = sample.sort_values(["mark", "toxic"], kind="stable")
-    held = _Rows(sample["features"].tolist())
-    fold = sample["mark"].to_numpy() % cfg.folds
-    weights, bias = _regress(held, sample["toxic"].to_numpy(dtype=float), fold, ratios, cfg)
-    return ToxicityModel(cfg, table, weights, bias)
+    sample = rows.transform(map_arrow, _held_features(cfg, sc.broadcast(table)), "mark long, toxic int, features binary")
+    # one task fits the bounded sample; equal marks are equal rows, so their order is of no account
+    sample = sample.repartition(1).sortWithinPartitions("mark", "toxic")
+    fitted = sample.transform(map_arrow, _fitted(cfg, ratios), "weights binary, bias double").first()
+    return ToxicityModel(cfg, table, np.frombuffer(fitted["weights"]), fitted["bias"])
 
 
 def score(documents: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
