@@ -279,7 +279,8 @@ def fit(documents: DataFrame, cfg: LanguageConfig = DEFAULT) -> LanguageModel:
     # Spark keeps the first rows of each language per task before it shuffles
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.texts).select("doc_id", "lang").distinct()
-    sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    # as many rows as texts of each language are learned from: two numbers each, so the texts stay where they are
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
     words = sample.transform(map_arrow, _count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
