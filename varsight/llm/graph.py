@@ -56,7 +56,7 @@ class GraphConfig:
     than that are beyond it.  hub_parts: tasks of such a node.  max_rounds: limit.
     """
 
-    hub_rows: int = 4096
+    hub_rows: int = 256
     hubs: int = 1024
     hub_parts: int = 64
     max_rounds: int = 60
