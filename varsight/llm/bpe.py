@@ -334,7 +334,7 @@ def encoded_chunks(batches: Iterator[pa.RecordBatch], bpe: PairIndexBPE, column:
 
 
 def encode(docs: DataFrame, path: str | None = None, column: str = "text", into: str = "token_ids") -> DataFrame:
-    """``docs`` with a column of token ids, ``array<int>``; null counts as empty."""
+    """``docs`` with a column of token ids, ``array<int>``, in place of any of its name; null counts as empty."""
     path = path or tokenizer_path()
     schema = StructType([*docs.drop(into).schema.fields, StructField(into, ArrayType(IntegerType()))])
 
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", into:
 
 
 def decode(docs: DataFrame, path: str | None = None, column: str = "token_ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the text that its token ids stand for; null counts as no ids."""
+    """``docs`` with the text that its token ids stand for, in place of any column of its name; null counts as no ids."""
     path = path or tokenizer_path()
     schema = StructType([*docs.drop(into).schema.fields, StructField(into, StringType())])
 

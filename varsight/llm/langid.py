@@ -359,6 +359,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learned; of equally likely languages the first by code.
+    Columns of these two names are replaced.
     """
     documents = documents.drop("lang_pred", "lang_score")
     schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])

@@ -75,7 +75,8 @@ def _covered(hashes: Column, width: int) -> Column:
 
 def measure(documents: DataFrame, cfg: QualityConfig = DEFAULT) -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
-    and the further measures of the rules.  A null text has no word.
+    and the further measures of the rules.  A null text has no word.  Columns of
+    these names are replaced; ``judge_documents`` and ``keep_good`` keep the caller's apart.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = documents.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", r"[ \t-\r]+"), ""))
