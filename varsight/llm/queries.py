@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, toxicity, warc
+from . import bpe, divergence, fingerprints, langid, licenses, ngram_join, packing, prefix_trie, quality, secrets, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_bpe_round_trip, op6_document_fingerprints, op7_warc_index, op8_license_scan, op9_language_id, op10_best_fit_packing)
+    found = (
+        op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_bpe_round_trip, op6_document_fingerprints, op7_warc_index, op8_license_scan, op9_language_id, op10_best_fit_packing,
+        op11_prefix_trie, op12_exact_topk, op13_source_divergence,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -81,6 +96,45 @@ SELECT page_id, size::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
 
+# crc32 bit by bit; nodes as lists of turns; subtrees as pairs of a list and its prefixes.
+_OP11 = """WITH t AS (SELECT conv_id::BIGINT AS c, {'role': coalesce(role, ''), 'body': coalesce("text", '')} AS turn, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce("text", ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY k) AS turns FROM t GROUP BY c),
+crc AS (SELECT c, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295) % 6 AS h FROM own),
+rebuilt AS (SELECT x.c, list_concat(coalesce(b.turns[1:x.h], []), x.turns[x.h + 1:]) AS turns FROM crc x LEFT JOIN own b ON b.c = x.c - x.c % 100),
+m AS (SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+n AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(prefix[d].body) END AS saved FROM m GROUP BY prefix, d),
+ch AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children FROM n LEFT JOIN ch USING (prefix)),
+up AS (SELECT prefix[1:a] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, up.n_leaves::BIGINT AS n_leaves,
+  up.saved_tokens::BIGINT AS saved_tokens, sha256(f.ended) AS ends_sha256
+FROM f JOIN up USING (prefix) LEFT JOIN n p ON f.d > 0 AND p.d = f.d - 1 AND p.prefix = f.prefix[1:f.d - 1]"""
+
+_OP12 = """WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row)
+SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT d.lang, coalesce(any_value(k.v), 0) AS v, coalesce(any_value(k.n), 0) AS n FROM d LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang) k USING (lang) GROUP BY d.lang),
+g AS (SELECT x.lang, x.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c USING (lang, source) GROUP BY x.lang, x.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n + 5 * l.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (l.n + 5 * l.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries whose rows SQL can express."""
-    return {"op1_ngram_jaccard_join": _OP1, "op7_warc_index": _OP7}
+    return {"op1_ngram_jaccard_join": _OP1, "op7_warc_index": _OP7, "op11_prefix_trie": _OP11, "op12_exact_topk": _OP12, "op13_source_divergence": _OP13}
