@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DecompositionConfig
@@ -17,24 +17,20 @@ def announcement_set(announcements: DataFrame) -> DataFrame:
     return announcements.select("ticker", F.to_date("announcement_date").alias("announcement_date")).dropna().distinct()
 
 
-def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: DecompositionConfig, payload: list[str]) -> DataFrame:
-    """Every announcement with ``return_position``, status, reason and the payload of its session.
-
-    ``sessions`` come from ``positioned``.  Sessions and announcements are one
-    sorted stream per ticker, read from the latest date back, so that each
-    announcement takes the last session met, and with it the columns named in
-    ``payload``: an as-of join by one running frame, after which no other join
-    is needed.  Announcements of tickers without sessions drop out.
-    """
+def session_slots(sessions: DataFrame, cfg: DecompositionConfig, payload: list[str], keep: list[str] | None = None) -> DataFrame:
+    """What an announcement takes from the session it falls on: ``(ticker, date, kind, slot)``, for sessions with a return."""
     at = F.struct(*payload)
     if cfg.announcement_offset:
         at = F.lead(at, cfg.announcement_offset).over(by_session())
     slot = F.struct((F.col("pp") - 1).alias("position"), at.alias("at"))
-    stream = sessions.withColumn("slot", slot).where("pp >= 1").select("ticker", "date", F.lit(1).alias("kind"), "slot")
-    dates = announcement_set(announcements).select("ticker", F.col("announcement_date").alias("date"), F.lit(0).alias("kind"))
-    stream = stream.unionByName(dates, allowMissingColumns=True)
+    return sessions.withColumn("slot", slot).where("pp >= 1").select("ticker", "date", F.lit(1).alias("kind"), "slot", *(keep or []))
+
+
+def place(slots: DataFrame, dates: DataFrame, cfg: DecompositionConfig, n_returns: Column) -> DataFrame:
+    """Announcements ``(ticker, date, kind)`` with the next slot of their ticker, and status and reason."""
+    stream = slots.unionByName(dates, allowMissingColumns=True)
     back = Window.partitionBy("ticker").orderBy(F.desc("date"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    found = stream.withColumn("slot", F.last("slot", ignorenulls=True).over(back)).withColumn("n_returns", F.sum("kind").over(by_ticker()))
+    found = stream.withColumn("slot", F.last("slot", ignorenulls=True).over(back)).withColumn("n_returns", n_returns)
     found = found.where("kind = 0 and n_returns > 0").withColumn("return_position", F.coalesce("slot.position", "n_returns") + cfg.announcement_offset)
     p, n = F.col("return_position"), F.col("n_returns")
     reason = (
@@ -51,6 +47,19 @@ def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: Dec
     return found.select("ticker", F.col("date").alias("announcement_date"), "return_position", status.alias("status"), reason.alias("drop_reason"), F.col("slot.at").alias("at"))
 
 
+def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: DecompositionConfig, payload: list[str]) -> DataFrame:
+    """Every announcement with ``return_position``, status, reason and the payload of its session.
+
+    ``sessions`` come from ``positioned``.  Sessions and announcements are one
+    sorted stream per ticker, read from the latest date back, so that each
+    announcement takes the last session met, and with it the columns named in
+    ``payload``: an as-of join by one running frame, after which no other join
+    is needed.  Announcements of tickers without sessions drop out.
+    """
+    dates = announcement_set(announcements).select("ticker", F.col("announcement_date").alias("date"), F.lit(0).alias("kind"))
+    return place(session_slots(sessions, cfg, payload), dates, cfg, F.sum("kind").over(by_ticker()))
+
+
 def align_events(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, strict: bool = False) -> DataFrame:
     """Every announcement with its return position, session date, status and reason.
 

@@ -9,7 +9,7 @@ from ..config import DecompositionConfig
 from ..errors import InsufficientDataError, SchemaError
 from ..functions.windows import by_session, full, positioned, variance
 from .alignment import ALIGNED, placed_announcements
-from .estimators import rolling_variance
+from .estimators import LINEAR_FROM, rolling_variance
 
 
 def _largest_move(window: int) -> Column:
@@ -33,19 +33,21 @@ def _check(bars: DataFrame, cfg: DecompositionConfig, strict: bool) -> None:
             raise InsufficientDataError(f"history of {short['ticker']} is shorter than its windows", required=need, available=short["count"])
 
 
-def session_variances(bars: DataFrame, cfg: DecompositionConfig) -> DataFrame:
-    """All frames of the decomposition at every session, in one pass by ticker."""
+def session_frames(df: DataFrame, cfg: DecompositionConfig) -> DataFrame:
+    """All frames of the decomposition at every session of ``df`` from ``positioned``, in one pass by ticker.
+
+    Long baselines are gathered at a cost that does not grow with their length.
+    """
     zero, ddof, gap = cfg.zero_mean, cfg.ddof, cfg.baseline_gap
-    df = positioned(bars)
     event = by_session().rowsBetween(0, cfg.event_window - 1)
     r = F.col("r")
     columns = {"v_total": variance(r, zero, ddof, event), "event_sum": F.sum("r").over(event), "event_return": _largest_move(cfg.event_window)}
     for w in cfg.baseline_windows:
-        if cfg.estimator == "close_to_close":
+        if cfg.estimator == "close_to_close" and w < LINEAR_FROM:
             frame = by_session().rowsBetween(-(gap + w), -(gap + 1))
             columns[f"v_base_{w}"] = full(variance(r, zero, ddof, frame), r, frame, w)
         else:
-            df = rolling_variance(df, cfg.estimator, w, f"_roll_{w}")
+            df = rolling_variance(df, cfg.estimator, w, f"_roll_{w}", zero, ddof)
             columns[f"v_base_{w}"] = F.lag(f"_roll_{w}", gap + 1).over(by_session())
     for k in cfg.post_windows:
         frame = by_session().rowsBetween(1, k)
@@ -62,8 +64,16 @@ def decompose_events(bars: DataFrame, announcements: DataFrame, config: Decompos
     """
     cfg = config or DecompositionConfig()
     _check(bars, cfg, strict)
-    payload = ["date", "close", "v_total", "event_sum", "event_return", *[f"v_base_{w}" for w in cfg.baseline_windows], *[f"v_post_{k}" for k in cfg.post_windows]]
-    placed = placed_announcements(session_variances(bars, cfg), announcements, cfg, payload)
+    return event_columns(placed_announcements(session_frames(positioned(bars), cfg), announcements, cfg, event_payload(cfg)), cfg)
+
+
+def event_payload(cfg: DecompositionConfig) -> list[str]:
+    """What an event takes from its session."""
+    return ["date", "close", "v_total", "event_sum", "event_return", *[f"v_base_{w}" for w in cfg.baseline_windows], *[f"v_post_{k}" for k in cfg.post_windows]]
+
+
+def event_columns(placed: DataFrame, cfg: DecompositionConfig) -> DataFrame:
+    """The event frame of placed announcements: of those that are aligned, with the jump and in the units asked for."""
     rows = placed.where(F.col("status") == ALIGNED).select("ticker", "announcement_date", "return_position", "at.*").withColumnRenamed("date", "session_date")
     base = F.col(f"v_base_{cfg.primary_baseline}")
     raw = F.col("v_total") - base

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..config import PERIODS_PER_YEAR
 from ..errors import InsufficientDataError
 from ..functions.expressions import annualize
-from ..functions.windows import by_session, full, positioned, variance
+from ..functions.windows import by_session, full, positioned, sliding_moments, variance
 
 LN2_4 = 4 * math.log(2)
+#: Windows of so many sessions and more are merged from block prefixes and suffixes; shorter ones are plain frames.
+LINEAR_FROM = 128
 
 
 def _strict(df: DataFrame, column: str, least: int, strict: bool) -> DataFrame:
@@ -83,14 +85,16 @@ def yang_zhang(bars: DataFrame, annualized: bool = True, periods_per_year: float
 
 def rolling_variance(df: DataFrame, estimator: str, window: int, into: str, zero_mean: bool = False, ddof: int = 1) -> DataFrame:
     """``df`` from ``positioned`` with the per-session variance of the last ``window`` sessions."""
+    if estimator not in ("close_to_close", "parkinson", "yang_zhang"):
+        raise ValueError(f"unknown estimator {estimator!r}")
+    if window >= LINEAR_FROM:
+        return _linear_variance(df, estimator, window, into, zero_mean, ddof)
     frame = by_session().rowsBetween(-(window - 1), 0)
     if estimator == "close_to_close":
         return df.withColumn(into, full(variance(F.col("r"), zero_mean, ddof, frame), F.col("r"), frame, window))
     if estimator == "parkinson":
         x = _log_range()
         return df.withColumn(into, full(F.avg(x).over(frame) / LN2_4, x, frame, window))
-    if estimator != "yang_zhang":
-        raise ValueError(f"unknown estimator {estimator!r}")
     if "_o" not in df.columns:
         df = with_overnight(df)
     k = 0.34 / (1.34 + (window + 1) / (window - 1))
@@ -98,6 +102,28 @@ def rolling_variance(df: DataFrame, estimator: str, window: int, into: str, zero
     return df.withColumn(into, full(F.greatest(v, F.lit(0.0)), F.col("_o"), frame, window))
 
 
+def _linear_variance(df: DataFrame, estimator: str, window: int, into: str, zero_mean: bool, ddof: int) -> DataFrame:
+    """The same from moments that are merged, so that a row costs as much whatever the window."""
+    if estimator == "yang_zhang" and "_o" not in df.columns:
+        df = with_overnight(df)
+    r = F.col("r")
+    of = {"close_to_close": {"r": r * r if zero_mean else r}, "parkinson": {"h": _log_range()}, "yang_zhang": {"o": F.col("_o"), "c": F.col("_c"), "s": F.col("_s")}}[estimator]
+    columns = df.columns
+    df = sliding_moments(df, of, window)
+    if estimator == "close_to_close":
+        m = F.col("_m_r")
+        value = m["mean"] if zero_mean else F.when(F.lit(window > ddof), m["m2"] / (window - ddof if window > ddof else 1))
+        whole = m["n"] == window
+    elif estimator == "parkinson":
+        value, whole = F.col("_m_h")["mean"] / LN2_4, F.col("_m_h")["n"] == window
+    else:
+        k = 0.34 / (1.34 + (window + 1) / (window - 1))
+        o, c, s = (F.col(f"_m_{x}") for x in "ocs")
+        value = F.greatest(o["m2"] / (window - 1) + k * c["m2"] / (window - 1) + (1 - k) * s["mean"], F.lit(0.0))
+        whole = o["n"] == window
+    return df.select(*[c for c in columns if c != into], F.when(whole, value).alias(into))
+
+
 def _rolling(bars: DataFrame, estimator: str, window: int, least: int, annualized: bool, periods_per_year: float, **kind) -> DataFrame:
     if window < least:
         raise ValueError(f"window must be >= {least}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, DecompositionConfig
 from ..functions import expressions as X
-from ..operators import alignment, backtest, cone, decomposition, estimators, premium, quality, report
+from ..operators import alignment, backtest, cone, decomposition, estimators, long_history, premium, quality, quantiles, report
 from ..sources import tables
 from ..streaming import bars as stream_bars
 from . import oracle
@@ -28,6 +28,8 @@ C2C = DecompositionConfig()
 GAP10 = DecompositionConfig(baseline_gap=10, ddof=1, zero_mean=False)
 BT = BacktestConfig()
 CONE_WINDOWS = (5, 20, 60)
+BLOCKS = long_history.BlockConfig(rows=300, grain=4)
+SELECT = quantiles.SelectConfig(grid=50, accuracy=200, few=100, salts=4)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -367,6 +369,32 @@ _add(
 )
 _add("events_per_year", lambda i: backtest.events_per_year(i.events()), oracle.base(*oracle.event_ctes(C2C), oracle.RATES.format(table="events_out")) + "SELECT ticker, round(events_per_year, 8) AS events_per_year FROM rates")
 
+# long windows, and histories in blocks: each equals its plain form
+for _est in ("close_to_close", "parkinson", "yang_zhang"):
+    _add(f"rolling_{_est}_long_window", lambda i, e=_est: estimators.REGISTRY[e][1](i.bars, 480), oracle.rolling_sigma(_est, 480))
+    _add(
+        f"blocks_rolling_{_est}",
+        lambda i, e=_est: long_history.rolling_volatility(i.bars, e, 200, cfg=BLOCKS).select("ticker", "date", "sigma"),
+        oracle.rolling_sigma(_est, 200),
+    )
+_LONG = DecompositionConfig(baseline_windows=(150, 20), post_windows=(5,), baseline_gap=5, announcement_offset=1)
+_add("blocks_log_returns", lambda i: long_history.log_returns(i.bars, BLOCKS), _QUERIES["log_returns"][1])
+_add("blocks_alignment_status", lambda i: long_history.align_events(i.bars, i.announcements, C2C, BLOCKS), _QUERIES["alignment_status"][1])
+_add("blocks_alignment_offset1", lambda i: long_history.align_events(i.bars, i.announcements, _OFFSET1, BLOCKS), _QUERIES["alignment_offset1"][1])
+_add("blocks_decompose_c2c", lambda i: long_history.decompose_events(i.bars, i.announcements, C2C, BLOCKS), oracle.decompose(C2C))
+_add("blocks_decompose_yang_zhang", lambda i: long_history.decompose_events(i.bars, i.announcements, DecompositionConfig(estimator="yang_zhang", baseline_gap=3), BLOCKS), _QUERIES["decompose_yang_zhang"][1])
+_add("decompose_long_windows", lambda i: i.events(_LONG), oracle.decompose(_LONG))
+_add("blocks_decompose_long_windows", lambda i: long_history.decompose_events(i.bars, i.announcements, _LONG, BLOCKS), oracle.decompose(_LONG))
+_add("blocks_cone_c2c", lambda i: long_history.vol_cone(i.bars, CONE_WINDOWS, blocks=BLOCKS, select=SELECT).withColumnRenamed("window", "window_sessions"), _QUERIES["cone_c2c"][1])
+_FEW = long_history.BlockConfig(rows=4, grain=2)
+_add("blocks_equity_drawdown", lambda i: long_history.equity_curve(i.trades().trades, cfg=_FEW), _QUERIES["equity_drawdown"][1])
+_add("blocks_equity_compounded", lambda i: long_history.equity_curve(i.trades(COMPOUND).trades, True, _FEW), _QUERIES["equity_compounded"][1])
+_add(
+    "price_quantiles",
+    lambda i: quantiles.exact_quantiles(i.lineitem, ["l_returnflag"], "l_extendedprice", (0.01, 0.25, 0.5, 0.9), SELECT).select("l_returnflag", "n", *[F.col("quantiles")[k].alias(f"q{k}") for k in range(4)]),
+    "SELECT l_returnflag, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {q}), 8) AS q{k}" for k, q in enumerate((0.01, 0.25, 0.5, 0.9))) + " FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag",
+)
+
 # reports
 _CROSS = {"mean_sigma_baseline": "baseline", "mean_sigma_jump": "jump", "mean_sigma_total": "total", "mean_variance_ratio": "var_ratio", "mean_abs_event_return": "mean_move", "downside_share": "downside_share", "clamp_rate": "clamp_rate", "win_rate": "win_rate", "sharpe_ratio": "sharpe"}
 _add(
