@@ -187,6 +187,53 @@ def test_licenses(spark, awkward, clashing, nothing):
     assert 1 - (1 - cfg.similarity**cfg.rows) ** licenses.bands_for(cfg) >= cfg.recall
 
 
+def scanned(spark, lines):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(lines)], SCHEMA)
+    return [r["licenses"] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()]
+
+
+def test_license_names_and_versions_are_whole(spark):
+    lines = {
+        "This work is licensed under the Creative Commons Attribution 2.0 International License": "unknown",
+        "This work is licensed under the GNU Free Documentation License, version 1.3": "unknown",
+        "This work is licensed under the Open Database License": "unknown",
+        "this work is licensed under the company handbook": "",
+        "This work is licensed under the GNU General Public License": "unknown",
+        "Licensed under the GNU General Public License, version 4": "unknown",
+        "This work is licensed under the Mozilla Public License": "unknown",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0.1": "unknown",
+        "Licensed under the Apache License, Version 1.1": "unknown",
+        "Released under GPLv2": "GPL-2.0",
+        "Released under GPLv3.": "GPL-3.0",
+        "Released under LGPLv3": "LGPL-3.0",
+        "Released under GPLv9": "unknown",
+        "licensed under the GNU General Public License v3.0 and nothing else": "GPL-3.0",
+        "licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 7 of the License.": "",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "GPL-2.0",
+        "licensed under CC BY 4.0": "CC-BY-4.0",
+        "licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "licensed under CC BY 2.5": "unknown",
+    }
+    found = dict(zip(lines, scanned(spark, lines), strict=True))
+    assert found == lines
+
+
+HARMLESS = [
+    "company handbook", "old rules of the harbour", "name of the family", "law of the land", "terms we agreed on yesterday", "Liquor License Act", "Medical License Board", "supervision of a doctor", "bridge at noon", "same roof as before",
+    "new mayor", "general public's eye", "public health code", "version of events he gave", "mit of a boxer", "apache helicopters of the army", "creative direction of the founder", "common land rules", "eclipse of 1999", "boost it gave",
+    "gnu and the zebra", "free market rules", "software engineer's watch", "mozilla team's eyes", "attribution of the poem", "zero tolerance policy", "two clause treaty of 1907", "three clause contract with him", "driving license she held", "fishing license of the county",
+]
+
+
+def test_harmless_lines_hold_no_license(spark):
+    lines = [f"The house was {verb} under the {rest}" for rest in HARMLESS for verb in ("licensed", "released")]
+    assert len(lines) == 60 and set(scanned(spark, lines)) == {""}
+
+
 def test_licenses_against_brute_force():
     """On edited notices the bands retrieve what an exhaustive check of all windows and templates accepts."""
     rng = random.Random(12)
@@ -219,7 +266,7 @@ def test_licenses_against_brute_force():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, str(SF))
     want = con.execute(queries.oracle_sql()[name]).fetchall()
@@ -230,7 +277,7 @@ def test_query_matches_sql(spark, name):
 
 def test_registry():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard_join", "secret_scans", "best_fit_packing"]
 
 

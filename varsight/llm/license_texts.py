@@ -2,7 +2,9 @@
 
 ``NAMES`` with ``PHRASES`` give the one-line notices; ``NOTICES`` are longer
 passages as their publishers word them.  Further texts, as the full GPL, can be
-given to the scan as a parameter of the same form.
+given to the scan as a parameter of the same form.  ``demands`` says which words
+a stretch must hold whole to be a notice of this license and no other: names
+with their versions, wherever a template states them.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ NAMES = {
     "ISC": ["ISC License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"],
     "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "BSD-3-Clause"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPL-2.0"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL-3.0"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL version 2.1", "LGPL-2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL version 3", "LGPL-3.0"],
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL version 3", "AGPL-3.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License version 2.0", "GNU General Public License v2", "GNU General Public License v2.0", "GNU GPL version 2", "GNU GPL v2", "GPLv2", "GPL v2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License version 3.0", "GNU General Public License v3", "GNU General Public License v3.0", "GNU GPL version 3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPL version 2.1", "LGPLv2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "LGPL version 3", "LGPLv3", "LGPL-3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "AGPL version 3", "AGPLv3", "AGPL-3.0"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
     "EPL-1.0": ["Eclipse Public License, version 1.0", "Eclipse Public License v1.0"],
     "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0"],
@@ -47,7 +49,8 @@ PHRASES = [
     "available under the {}",
     "published under {}",
     "subject to the {}",
-    "this work is licensed under the {}",
+    "under the terms of the {}",
+    "SPDX-License-Identifier: {}",
 ]
 
 _WARRANTY_MIT = (
@@ -161,3 +164,26 @@ def templates() -> dict[str, list[str]]:
     for name, texts in NOTICES.items():
         out[name] = [*out[name], *texts]
     return out
+
+
+# Names with their versions as the longer notices spell them; a notice that states one of a license's must hold one whole. Fixed values.
+STATED = {
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0"],
+    "EPL-1.0": ["Eclipse Public License v1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+}
+_GNU = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+
+
+def demands() -> dict[tuple[str, str], list[str]]:
+    """By license and wording, what a stretch must hold word by word, versions to their end."""
+    out = {(name, phrase.format(n)): [n] for name, names in NAMES.items() for n in names for phrase in PHRASES}
+    for name, texts in NOTICES.items():
+        for text in texts:
+            out[name, text] = [n for n in STATED.get(name, []) if n in text]
+            if name in _GNU:
+                kind, version = _GNU[name]
+                out[name, text] = [f"GNU {kind}", f"version {version}"]
+    return out

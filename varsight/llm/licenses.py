@@ -5,8 +5,10 @@ cut into overlapping windows, half as long again as a template and a quarter of
 it apart, for each length of templates; a window and a template whose shingle
 sets are similar share a band of MinHash values with high probability, and
 every template retrieved is then checked by the exact share of its shingles
-that the window holds.  Templates are few and fixed, so their bands travel to
-the tasks and texts are never shuffled.
+that the window holds, and by the words that it demands whole: the name of the
+license with its version.  A phrase that names a license by a name that no
+template has is reported as ``unknown``.  Templates are few and fixed, so their
+bands travel to the tasks and texts are never shuffled.
 
 With ``rows`` values in a band, a pair of Jaccard similarity s shares one of b
 bands with probability 1 - (1 - s ** rows) ** b.  A stretch of up to one and a
@@ -18,6 +20,7 @@ some window whole, and their similarity is then c / (2.5 - c) at least:
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 
 from . import textkernels as tk
 from .common import map_arrow
+from .license_texts import demands as known_demands
 from .license_texts import templates as known_templates
 
+UNKNOWN = "unknown"
+
 @dataclass(frozen=True)
 class LicenseConfig:
     """width: words of a shingle.  containment: least share of a template's
@@ -66,11 +72,45 @@ for _c in range(128):
     _FOLD[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 0x20
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+# Capitalized names that end as those of licenses do, after a phrase, or with a version; what goes on as the name of a rule or a body is none.
+_NAMED = re.compile(
+    rb"\b(?i:licensed|released|distributed|available|published)\s+(?i:under)\s+(?:(?i:the|a|an)\s+)?(?:(?i:terms)\s+(?i:of)\s+(?i:the)\s+)?"
+    rb"((?:[A-Z0-9][\w.+-]*[\s,]+){1,8}?(?:License|Licence|LICENSE|LICENCE)|CC[ -][A-Z-]+[ -]\d+(?:\.\d+)*|(?:[A-Z]{2,}|[A-Z]+PL)[ -]?v?\d+(?:\.\d+)*)\b(?!\s+(?:Act|Board|Ordinance|Code|Law|Office|Agency|Commission|Department|Regulations?)\b)"
+)
+
+
+class Words:
+    """A document's words in lower case, with what a version goes on with."""
+
+    def __init__(self, raw: bytes):
+        found = list(_WORD.finditer(raw))
+        self.raw = raw
+        self.words = [m[0].lower() for m in found]
+        self.starts = [m.start() for m in found]
+        self.dotted = [bool(re.match(rb"\.\d", raw[m.end() : m.end() + 2])) for m in found]
+
+    def holds(self, wanted: list[bytes], first: int, end: int) -> bool:
+        """Whether ``wanted`` lies word by word in a stretch, and no version goes on after it."""
+        n = len(wanted)
+        return any(self.words[i : i + n] == wanted and not (wanted[-1][-1:].isdigit() and self.dotted[i + n - 1]) for i in range(first, min(end, len(self.words)) - n + 1))
+
+    def unknown(self, taken: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """Stretches that name a license after a phrase and overlap none that is known."""
+        out = []
+        for m in _NAMED.finditer(self.raw):
+            first, end = np.searchsorted(self.starts, [m.start(), m.end()]).tolist()
+            if all(end <= a or first >= b for _, a, b, _ in taken):
+                out.append((UNKNOWN, first, end, 0.0))
+        return out
+
+
 class TemplateIndex:
-    """Templates by length class, with their bands and shingle sets."""
+    """Templates by length class, with their bands, shingle sets and demanded words."""
 
-    def __init__(self, templates: dict[str, list[str]], cfg: LicenseConfig):
+    def __init__(self, templates: dict[str, list[str]], cfg: LicenseConfig, demands: dict[tuple[str, str], list[str]] | None = None):
         self.cfg, self.bands = cfg, bands_for(cfg)
+        self.demands: list[list[list[bytes]]] = []
         n = self.bands * cfg.rows
         rng = np.random.default_rng(8)
         self.seeds = rng.integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,6 +123,7 @@ class TemplateIndex:
                 shingles, _ = tk.shingle_hashes(words, ranges, cfg.width)
                 if len(shingles):
                     self.names.append(name)
+                    self.demands.append([[w.lower() for w in _WORD.findall(d.encode())] for d in (demands or {}).get((name, text), [])])
                     self.sets.append(np.unique(shingles))
                     spans.append(len(shingles))
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
@@ -109,8 +150,8 @@ class TemplateIndex:
         keys = self.band_keys(self.minhash(np.unique(window))[None, :])[0].tolist()
         return {i for b, key in enumerate(keys) for i in tables[b].get(key, ())}
 
-    def matches(self, shingles: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(license, first word, end word, containment) of stretches that do not overlap, by place.
+    def matches(self, shingles: np.ndarray, raw: bytes) -> list[tuple[str, int, int, float]]:
+        """(license, first word, end word, containment) of stretches of a text that do not overlap, by place.
 
         Of templates that match overlapping stretches the one with most shingles
         met counts, then the fullest, then the first.
@@ -121,6 +162,7 @@ class TemplateIndex:
         hits = np.concatenate([[0], np.cumsum(self.known[at] == shingles)])
         if hits[-1] < min(least for _, _, least, _ in self.classes):
             return []
+        words = Words(raw)
         found: set[tuple[int, float, int, int, int]] = set()
         for span, _, least, tables in self.classes:
             size, step = span + max(span // 2, 2), max(span // 4, 1)
@@ -133,8 +175,11 @@ class TemplateIndex:
                     place = np.flatnonzero(np.isin(window, self.sets[i]))
                     met = len(np.unique(window[place]))
                     share = met / len(self.sets[i])
-                    if share >= self.cfg.containment:
-                        found.add((-met, -share, i, s + int(place[0]), s + int(place[-1]) + self.cfg.width))
+                    if share < self.cfg.containment:
+                        continue
+                    first, end = s + int(place[0]), s + int(place[-1]) + self.cfg.width
+                    if all(words.holds(d, first, end) for d in self.demands[i]):
+                        found.add((-met, -share, i, first, end))
         kept: list[tuple[str, int, int, float]] = []
         for _, share, i, first, end in sorted(found):
             if all(end <= a or first >= b for _, a, b, _ in kept):
@@ -150,7 +195,10 @@ def _scan(index: object) -> Callable:
             for first, end, data, offsets in tk.text_blocks(batch.column("text")):
                 words, ranges = tk.word_hashes(_normal(data), offsets)
                 shingles, spans = tk.shingle_hashes(words, ranges, ix.cfg.width)
-                found += [ix.matches(shingles[spans[d] : spans[d + 1]]) for d in range(end - first)]
+                for d in range(end - first):
+                    raw = data[offsets[d] : offsets[d + 1]].tobytes()
+                    known = ix.matches(shingles[spans[d] : spans[d + 1]], raw)
+                    found.append(sorted(known + (Words(raw).unknown(known) if ix.sets and _NAMED.search(raw) else []), key=lambda m: m[1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -165,13 +213,16 @@ def _scan(index: object) -> Callable:
     return run
 
 
-def scan_licenses(documents: DataFrame, cfg: LicenseConfig = DEFAULT, templates: dict[str, list[str]] | None = None) -> DataFrame:
+def scan_licenses(documents: DataFrame, cfg: LicenseConfig = DEFAULT, templates: dict[str, list[str]] | None = None, demands: dict[tuple[str, str], list[str]] | None = None) -> DataFrame:
     """Per row: doc_id, the number of stretches that hold a template, their licenses by name, the best containment, and the stretches.
 
     A stretch is ``license:first word:end word:containment``; ASCII signs part
-    words and letters' case does not matter.  Null, empty and blank texts hold
+    words and letters' case does not matter.  ``demands`` names by license and
+    template what a stretch must hold whole; the templates known here have
+    theirs.  A license whose name no template has is ``unknown``, with a
+    containment of 0, where a phrase and a capitalized name point to it.  Null, empty and blank texts hold
     none; repeated rows give repeated results; without templates nothing is found.
     """
-    index = documents.sparkSession.sparkContext.broadcast(TemplateIndex(known_templates() if templates is None else templates, cfg))
+    index = documents.sparkSession.sparkContext.broadcast(TemplateIndex(known_templates(), cfg, known_demands()) if templates is None else TemplateIndex(templates, cfg, demands))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.transform(map_arrow, _scan(index), "doc_id long, n_matches long, licenses string, best_containment double, spans string")
