@@ -47,7 +47,7 @@ def place(slots: DataFrame, dates: DataFrame, cfg: DecompositionConfig, n_return
     return found.select("ticker", F.col("date").alias("announcement_date"), "return_position", status.alias("status"), reason.alias("drop_reason"), F.col("slot.at").alias("at"))
 
 
-def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: DecompositionConfig, payload: list[str]) -> DataFrame:
+def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: DecompositionConfig, payload: list[str], partitions: int | None = None) -> DataFrame:
     """Every announcement with ``return_position``, status, reason and the payload of its session.
 
     ``sessions`` come from ``positioned``.  Sessions and announcements are one
@@ -55,8 +55,13 @@ def placed_announcements(sessions: DataFrame, announcements: DataFrame, cfg: Dec
     announcement takes the last session met, and with it the columns named in
     ``payload``: an as-of join by one running frame, after which no other join
     is needed.  Announcements of tickers without sessions drop out.
+
+    The few announcements are dealt by ticker as the sessions already are, to
+    ``partitions`` where those are in buckets, so that the stream of both needs
+    no exchange and sessions stay where they are.
     """
     dates = announcement_set(announcements).select("ticker", F.col("announcement_date").alias("date"), F.lit(0).alias("kind"))
+    dates = dates.repartition(partitions, "ticker") if partitions else dates.repartition("ticker")
     return place(session_slots(sessions, cfg, payload), dates, cfg, F.sum("kind").over(by_ticker()))
 
 

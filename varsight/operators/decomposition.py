@@ -55,16 +55,18 @@ def session_frames(df: DataFrame, cfg: DecompositionConfig) -> DataFrame:
     return df.withColumns(columns)
 
 
-def decompose_events(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, strict: bool = False) -> DataFrame:
+def decompose_events(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, strict: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per aligned event, with its volatilities and moves.
 
     The jump is what total variance exceeds the primary baseline by; where it
     falls short the jump is 0 and ``jump_clamped``.  Volatilities are annualized
-    if the settings say so, ``var_jump_raw`` and returns never are.
+    if the settings say so, ``var_jump_raw`` and returns never are.  Bars stored
+    in buckets by ticker (``sources.buckets``) are not shuffled where
+    ``partitions`` is the number of buckets.
     """
     cfg = config or DecompositionConfig()
     _check(bars, cfg, strict)
-    return event_columns(placed_announcements(session_frames(positioned(bars), cfg), announcements, cfg, event_payload(cfg)), cfg)
+    return event_columns(placed_announcements(session_frames(positioned(bars), cfg), announcements, cfg, event_payload(cfg), partitions), cfg)
 
 
 def event_payload(cfg: DecompositionConfig) -> list[str]:

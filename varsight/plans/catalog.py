@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import BacktestConfig, DecompositionConfig
 from ..functions import expressions as X
 from ..operators import alignment, backtest, cone, decomposition, estimators, long_history, premium, quality, quantiles, report
+from ..operators.table_functions import register_table_functions
 from ..sources import tables
 from ..streaming import bars as stream_bars
 from . import oracle
@@ -299,6 +300,28 @@ _add(
     oracle.base("p AS (" + oracle.straddle("SELECT ticker, date, close AS spot, open AS strike, 0.25::DOUBLE AS vol, (day(date) - 1) / 252::DOUBLE AS tau FROM bars", "ticker, date, spot - strike AS move", 0.02) + ")")
     + f"SELECT ticker, date, round({oracle.cdf('move')}, 8) AS cdf, round(sqrt(0.08::DOUBLE * day(date) / 252), 8) AS move, round(sqrt(0.08::DOUBLE * day(date) / 365), 8) AS move_365, round(price, 8) AS price, round(delta, 8) AS delta FROM p",
 )
+
+
+def _by_table_functions(i: Inputs) -> DataFrame:
+    """Alignment and decomposition, called from SQL text."""
+    register_table_functions(i.spark, i.bars, i.announcements, C2C)
+    return i.spark.sql(
+        """SELECT e.ticker, e.session_date, a.announcement_date, a.status, e.sigma_jump, e.variance_ratio, n.n_future
+FROM decomposed_events(NULL, DATE'1996-01-01', DATE'1999-12-31') e JOIN aligned_events() a ON a.ticker = e.ticker AND a.session_date = e.session_date
+JOIN (SELECT ticker, count_if(status = 'future') AS n_future FROM aligned_events() GROUP BY ticker) n ON n.ticker = e.ticker
+WHERE e.ticker <> 'RO' UNION ALL SELECT ticker, session_date, announcement_date, 'one ticker', sigma_jump, variance_ratio, 0L FROM decomposed_events('RO')"""
+    )
+
+
+_add(
+    "sql_table_functions",
+    _by_table_functions,
+    oracle.base(*oracle.event_ctes(C2C))
+    + """SELECT e.ticker, e.session_date, a.announcement_date, a.status, round(sigma_jump, 8) AS sigma_jump, round(variance_ratio, 8) AS variance_ratio, n_future FROM events_out e
+JOIN status a ON a.ticker = e.ticker AND a.session_date = e.session_date JOIN (SELECT ticker, count(*) FILTER (WHERE status = 'future') AS n_future FROM status GROUP BY ticker) n ON n.ticker = e.ticker
+WHERE e.ticker <> 'RO' AND e.session_date BETWEEN '1996-01-01' AND '1999-12-31'
+UNION ALL SELECT ticker, session_date, announcement_date, 'one ticker', round(sigma_jump, 8), round(variance_ratio, 8), 0 FROM events_out WHERE ticker = 'RO'""",
+)
 _add(
     "entry_inputs",
     lambda i: backtest.entry_inputs(i.bars, i.events(), BT, C2C).select("ticker", "session_date", "entry_date", "exit_date", "baseline", "history_events", "calibration", "usable"),

@@ -18,7 +18,7 @@ TICKER_COLUMNS = ("ticker", "symbol", "tickers")
 
 
 class PriceSource(Protocol):
-    """Anything that gives raw bars: a table, a file, a provider's client."""
+    """Anything that gives raw bars: a table, a file, a provider's client; ``recorded.RecordedPrices`` is one as a Spark data source."""
 
     def bars(self, spark: SparkSession) -> DataFrame: ...
 
