@@ -377,3 +377,16 @@ def test_texts_for_people(spark, sample, events, result):
 def test_statistics_are_one_pass(result):
     plan = result.stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 8, plan.count("Exchange hashpartitioning")
+
+
+def test_problems_are_told_where_nothing_is_raised(spark, sample, events):
+    bars = sample[0]
+    first = bars.agg(F.min("date")).first()[0]
+    assert backtest.run_backtest(bars, events).problems.count() == 0
+    bad = bars.withColumn("close", F.when(F.col("date") == first, F.lit(float("nan"))).otherwise(F.col("close")))
+    assert [r["problem"] for r in backtest.run_backtest(bad, events).problems.collect()] == ["1 closes are not finite and positive"]
+    twice = bars.unionByName(bars.where(F.col("date") == first))
+    assert [r["problem"] for r in backtest.run_backtest(twice, events).problems.collect()] == ["prices need unique session dates"]
+    short = bars.orderBy("date").limit(5)
+    found = {r["problem"] for r in backtest.input_problems(short, events, backtest.BacktestConfig()).collect()}
+    assert found == {"5 sessions; one holding period needs 8", "event positions must be finite, unique and inside the history"}

@@ -37,12 +37,15 @@ def _by_event() -> WindowSpec:
 class BacktestResult:
     """trades: a row per trade.  equity: its running curve.  stats: a row per
     ticker.  skipped: how many events of each ticker were not traded.
+    problems: what is wrong with a ticker's bars or positions, where nothing was
+    raised; see ``input_problems``.
     """
 
     trades: DataFrame
     equity: DataFrame
     stats: DataFrame
     skipped: DataFrame
+    problems: DataFrame
     config: BacktestConfig
     iv_source: str
 
@@ -51,6 +54,27 @@ class BacktestResult:
         return summary_table(self.stats)
 
 
+def input_problems(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """``(ticker, problem)``: what ``validate_inputs`` would raise for, for every ticker that has it.
+
+    One aggregation of the bars and one of the events, each by ticker.
+    """
+    usable = F.coalesce(finite(F.col("close")) & (F.col("close") > 0), F.lit(False))
+    b = bars.groupBy("ticker").agg((F.count(F.lit(1)) - F.countDistinct("date")).alias("repeats"), F.count(F.when(~usable, 1)).alias("bad"), F.count(F.lit(1)).alias("n"))
+    p = F.col("return_position").cast("double")
+    e = events.groupBy("ticker").agg(
+        F.count(F.when(~F.coalesce(finite(p) & (p == F.floor(p)) & (p >= 0), F.lit(False)), 1)).alias("odd"), F.max(p).alias("last"), (F.count(F.lit(1)) - F.countDistinct("return_position")).alias("again")
+    )
+    least = cfg.holding_sessions + 2
+    cases = [
+        F.when(F.col("repeats") > 0, F.lit("prices need unique session dates")),
+        F.when(F.col("bad") > 0, F.format_string("%d closes are not finite and positive", "bad")),
+        F.when(F.col("n") < least, F.format_string(f"%d sessions; one holding period needs {least}", "n")),
+        F.when((F.col("odd") > 0) | (F.col("again") > 0) | (F.col("last") + 1 >= F.col("n")), F.lit("event positions must be finite, unique and inside the history")),
+    ]
+    return b.join(e, "ticker", "left").select("ticker", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("problem"))
+
+
 def validate_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) -> None:
     """Raise on repeated dates, bad closes or bad event positions, in two aggregations."""
     for c in ("return_position", "sigma_baseline", "abs_event_return"):
@@ -260,7 +284,7 @@ def run_backtest(
         if cfg.compound and trades.where(F.col("return") <= -1).limit(1).count():
             raise BacktestError("returns at or below -100% cannot be compounded")
     equity = equity_curve(trades, cfg.compound)
-    return BacktestResult(trades, equity, trade_stats(trades, cfg), skipped, cfg, source)
+    return BacktestResult(trades, equity, trade_stats(trades, cfg), skipped, input_problems(bars, events, cfg), cfg, source)
 
 
 def _with_curve(trades: DataFrame, compound: bool) -> DataFrame:

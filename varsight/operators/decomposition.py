@@ -55,6 +55,11 @@ def session_frames(df: DataFrame, cfg: DecompositionConfig) -> DataFrame:
     return df.withColumns(columns)
 
 
+def session_variances(bars: DataFrame, cfg: DecompositionConfig) -> DataFrame:
+    """``session_frames`` of plain bars."""
+    return session_frames(positioned(bars), cfg)
+
+
 def decompose_events(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, strict: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per aligned event, with its volatilities and moves.
 
@@ -66,7 +71,7 @@ def decompose_events(bars: DataFrame, announcements: DataFrame, config: Decompos
     """
     cfg = config or DecompositionConfig()
     _check(bars, cfg, strict)
-    return event_columns(placed_announcements(session_frames(positioned(bars), cfg), announcements, cfg, event_payload(cfg), partitions), cfg)
+    return event_columns(placed_announcements(session_variances(bars, cfg), announcements, cfg, event_payload(cfg), partitions), cfg)
 
 
 def event_payload(cfg: DecompositionConfig) -> list[str]:

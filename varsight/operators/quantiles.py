@@ -13,6 +13,7 @@ before they are shuffled, and rows of a group are dealt to ``salts`` parts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,9 +36,14 @@ class SelectConfig:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder, or in the executors' storage, which is recomputed where lost."""
-    has_folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if has_folder else df.persist()
+    """``df`` computed once: as Parquet in the checkpoint folder, or in the executors' storage, which is recomputed where lost."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        return df.persist()
+    path = f"{folder.get()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _between(low: Column, high: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import BacktestConfig, DecompositionConfig
+from .backtest import run_backtest
+from .decomposition import decompose_events, summarize
+from .quantiles import settled
+
 
 def cross_section(summary: DataFrame, stats: DataFrame) -> DataFrame:
     """One line per ticker, highest variance ratio first."""
@@ -24,6 +29,16 @@ def cross_section(summary: DataFrame, stats: DataFrame) -> DataFrame:
     ).orderBy(F.desc_nulls_last("var_ratio"), "ticker")
 
 
+def universe_cross_section(bars: DataFrame, announcements: DataFrame, config: DecompositionConfig | None = None, backtest: BacktestConfig | None = None) -> DataFrame:
+    """``cross_section`` of a whole universe, from its bars.
+
+    Events are computed once and kept, a row for each: the summary and the trades
+    both start from them, and the bars are framed once for each of the two.
+    """
+    events = settled(decompose_events(bars, announcements, config))
+    return cross_section(summarize(events), run_backtest(bars, events, backtest, config).stats)
+
+
 def jump_histogram(events: DataFrame, bins: int = 20) -> DataFrame:
     """``(ticker, bin, bin_lo, bin_hi, n)`` of the jump volatility; the last bin is closed.
 

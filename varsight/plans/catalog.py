@@ -390,6 +390,18 @@ _add(
     lambda i: i.trades().skipped,
     oracle.base(*oracle.entry_ctes(BT, C2C)) + "SELECT ticker, count(*) FILTER (WHERE NOT (priceable AND calibration IS NOT NULL)) AS n_skipped, count(*) FILTER (WHERE priceable AND calibration IS NOT NULL) AS n_traded FROM ei GROUP BY ticker",
 )
+_add(
+    "backtest_problems",
+    lambda i: backtest.input_problems(
+        i.bars.withColumn("close", F.when(F.col("ticker").startswith("A") & (F.dayofmonth("date") == 13), -F.col("close")).otherwise(F.col("close"))).unionByName(i.bars.where("ticker like 'N%' and day(date) = 11")).where("ticker <> 'RF' or year(date) < 1996"),
+        i.events(), BT,
+    ),
+    oracle.base(*oracle.event_ctes(C2C))
+    + """, d AS (SELECT ticker, date, CASE WHEN ticker LIKE 'A%' AND day(date) = 13 THEN -close ELSE close END AS close FROM bars WHERE ticker <> 'RF' OR year(date) < 1996 UNION ALL SELECT ticker, date, close FROM bars WHERE ticker LIKE 'N%' AND day(date) = 11),
+k AS (SELECT ticker, count(*) - count(DISTINCT date) AS repeats, count(*) FILTER (WHERE close <= 0) AS bad, count(*) AS n FROM d GROUP BY ticker), l AS (SELECT ticker, max(return_position) AS last FROM events_out GROUP BY ticker)
+SELECT ticker, 'prices need unique session dates' AS problem FROM k WHERE repeats > 0 UNION ALL SELECT ticker, printf('%d closes are not finite and positive', bad) FROM k WHERE bad > 0
+UNION ALL SELECT ticker, 'event positions must be finite, unique and inside the history' FROM k JOIN l USING (ticker) WHERE last + 1 >= n""",
+)
 _add("events_per_year", lambda i: backtest.events_per_year(i.events()), oracle.base(*oracle.event_ctes(C2C), oracle.RATES.format(table="events_out")) + "SELECT ticker, round(events_per_year, 8) AS events_per_year FROM rates")
 
 # long windows, and histories in blocks: each equals its plain form
@@ -422,7 +434,7 @@ _add(
 _CROSS = {"mean_sigma_baseline": "baseline", "mean_sigma_jump": "jump", "mean_sigma_total": "total", "mean_variance_ratio": "var_ratio", "mean_abs_event_return": "mean_move", "downside_share": "downside_share", "clamp_rate": "clamp_rate", "win_rate": "win_rate", "sharpe_ratio": "sharpe"}
 _add(
     "cross_section",
-    lambda i: report.cross_section(decomposition.summarize(i.events()), i.trades().stats),
+    lambda i: report.universe_cross_section(i.bars, tables.quarter_starts(i.bars), C2C, BT),
     oracle.base(*oracle.trade_ctes(BT, C2C), *oracle.stats_ctes(), f"sm_ AS ({oracle.summary_select(C2C)})")
     + "SELECT ticker, n_events AS events, " + ", ".join(f"round({a}, 8) AS {b}" for a, b in _CROSS.items()) + " FROM sm_ LEFT JOIN stats USING (ticker)",
 )

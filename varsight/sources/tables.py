@@ -170,3 +170,8 @@ def lineitem_bars(lineitem: DataFrame) -> DataFrame:
 def lineitem_announcements(lineitem: DataFrame) -> DataFrame:
     """The first day of every quarter in which a ticker has line items."""
     return lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("announcement_date")).distinct()
+
+
+def quarter_starts(bars: DataFrame) -> DataFrame:
+    """The first day of every quarter in which a ticker has bars: ``lineitem_announcements`` without reading the trades again."""
+    return bars.select("ticker", F.to_date(F.date_trunc("quarter", "date")).alias("announcement_date")).distinct()
