@@ -113,10 +113,24 @@ def bs_straddle(spot: Column, strike: Column, vol: Column, tau: Column, rate: fl
     return value
 
 
+def _horner_sql(x: str, coefficients: tuple[float, ...]) -> str:
+    text = f"{coefficients[0]!r}D"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}D)"
+    return text
+
+
+def _tail_sql(a: str, e: str) -> str:
+    """``_tail`` as SQL text of two columns: one call to the driver's JVM instead of one for each operation."""
+    near = f"{e} * {_horner_sql(a, CDF_NUMERATOR)} / {_horner_sql(a, CDF_DENOMINATOR)}"
+    far = f"{e} / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65D))))) / {CDF_ROOT_2_PI!r}D"
+    return f"CASE WHEN {a} > 37 THEN 0D WHEN {a} < {CDF_SPLIT!r}D THEN {near} ELSE {far} END"
+
+
 def with_norm_cdf(df: DataFrame, x: str, into: str) -> DataFrame:
     """``norm_cdf`` of a column in steps, so that generated code computes each part once."""
     a, e, tail = f"{into}_a", f"{into}_e", f"{into}_tail"
-    df = df.withColumns({a: F.abs(x), e: F.exp(-F.col(x) * F.col(x) / 2)}).withColumn(tail, _tail(F.col(a), F.col(e)))
+    df = df.withColumns({a: F.abs(x), e: F.exp(-F.col(x) * F.col(x) / 2)}).withColumn(tail, F.expr(_tail_sql(f"`{a}`", f"`{e}`")))
     return df.withColumn(into, F.when(F.col(x) > 0, 1 - F.col(tail)).otherwise(F.col(tail))).drop(a, e, tail)
 
 
@@ -124,36 +138,43 @@ def with_straddles(df: DataFrame, legs: dict[str, tuple[Column, Column, Column,
     """``df`` with a struct of ``bs_straddle`` per leg ``(spot, strike, vol, tau)``.
 
     The legs advance together through a few layers of columns, which generated
-    code evaluates once each and which keep the plan shallow.
+    code evaluates once each and which keep the plan shallow.  Layers are SQL
+    text, as an expression is then made by one call.
     """
+    r = f"{float(rate)!r}D"
 
-    def c(leg: str, part: str) -> Column:
-        return F.col(f"_{leg}_{part}")
+    def parts(leg: str, names: str) -> list[str]:
+        return [f"`_{leg}_{n}`" for n in names.split()]
 
-    def layer(df: DataFrame, build: Callable[[str], dict[str, Column]]) -> DataFrame:
-        return df.withColumns({f"_{leg}_{part}": column for leg in legs for part, column in build(leg).items()})
+    def layer(df: DataFrame, build: Callable[[str], dict[str, Column | str]]) -> DataFrame:
+        return df.withColumns({f"_{leg}_{part}": F.expr(x) if isinstance(x, str) else x for leg in legs for part, x in build(leg).items()})
 
-    def inputs(leg: str) -> dict[str, Column]:
+    def inputs(leg: str) -> dict[str, Column | str]:
         spot, strike, vol, tau = legs[leg]
         return {"s": spot, "k": strike, "v": vol, "u": tau, "t": F.greatest(tau, F.lit(SHORTEST_TAU))}
 
-    def distances(leg: str) -> dict[str, Column]:
-        s, k, v, u, t = (c(leg, n) for n in "skvut")
-        ok = _valid_straddle(s, k, v, u)
-        return {"w": F.when(ok, v * F.sqrt(t)), "d1": F.when(ok, _d1(s, k, v, t, rate))}
+    def distances(leg: str) -> dict[str, Column | str]:
+        s, k, v, u, t = parts(leg, "s k v u t")
+        known = " AND ".join(f"{x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < double('infinity')" for x in (s, k, v, u))
+        ok = f"{known} AND {s} > 0 AND {k} > 0 AND {v} > 0 AND {u} >= 0"
+        return {"w": f"CASE WHEN {ok} THEN {v} * sqrt({t}) END", "d1": f"CASE WHEN {ok} THEN (ln({s} / {k}) + ({r} + {v} * {v} / 2) * {t}) / ({v} * sqrt({t})) END"}
 
-    def powers(leg: str) -> dict[str, Column]:
-        d1, d2 = c(leg, "d1"), c(leg, "d1") - c(leg, "w")
-        return {"d2": d2, "a1": F.abs(d1), "e1": F.exp(-d1 * d1 / 2), "a2": F.abs(d2), "e2": F.exp(-d2 * d2 / 2)}
+    def powers(leg: str) -> dict[str, Column | str]:
+        d1, w = parts(leg, "d1 w")
+        d2 = f"({d1} - {w})"
+        return {"d2": d2, "a1": f"abs({d1})", "e1": f"exp(-{d1} * {d1} / 2)", "a2": f"abs({d2})", "e2": f"exp(-{d2} * {d2} / 2)"}
 
-    def tails(leg: str) -> dict[str, Column]:
-        return {n: _tail(c(leg, f"a{n[-1]}"), c(leg, f"e{n[-1]}")) for n in ("tail1", "tail2")}
+    def tails(leg: str) -> dict[str, Column | str]:
+        return {f"tail{n}": _tail_sql(*parts(leg, f"a{n} e{n}")) for n in (1, 2)}
 
     def value(leg: str) -> Column:
-        up, down = (F.when(c(leg, f"d{n}") > 0, 1 - c(leg, f"tail{n}")).otherwise(c(leg, f"tail{n}")) for n in (1, 2))
-        alive = _straddle_struct(c(leg, "s"), c(leg, "k"), c(leg, "w"), c(leg, "t"), c(leg, "d1"), up, down, rate)
-        ok = c(leg, "w").isNotNull()
-        return F.when(ok & (c(leg, "u") > 0), alive).when(ok, _intrinsic(c(leg, "s"), c(leg, "k")))
+        s, k, w, t, u, d1, d2, tail1, tail2 = parts(leg, "s k w t u d1 d2 tail1 tail2")
+        up, down = (f"CASE WHEN {d} > 0 THEN 1 - {tail} ELSE {tail} END" for d, tail in ((d1, tail1), (d2, tail2)))
+        price = f"{s} * (2 * ({up}) - 1) - {k} * exp(-{r} * {t}) * (2 * ({down}) - 1)"
+        gamma = f"2 * (exp(-{d1} * {d1} / 2) / {math.sqrt(2 * math.pi)!r}D / ({s} * {w}))"
+        alive = f"named_struct('price', {price}, 'delta', 2 * ({up}) - 1, 'gamma', {gamma})"
+        over = f"named_struct('price', abs({s} - {k}), 'delta', signum({s} - {k}), 'gamma', 0D)"
+        return F.expr(f"CASE WHEN {w} IS NOT NULL AND {u} > 0 THEN {alive} WHEN {w} IS NOT NULL THEN {over} END")
 
     kept = df.columns
     for build in (inputs, distances, powers, tails):

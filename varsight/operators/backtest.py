@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -35,20 +36,32 @@ def _by_event() -> WindowSpec:
 
 @dataclass(frozen=True)
 class BacktestResult:
-    """trades: a row per trade.  equity: its running curve.  stats: a row per
-    ticker.  skipped: how many events of each ticker were not traded.
-    problems: what is wrong with a ticker's bars or positions, where nothing was
-    raised; see ``input_problems``.
+    """trades: a row per trade.  skipped: how many events of each ticker were
+    not traded.  bars, events: what was traded on.
     """
 
     trades: DataFrame
-    equity: DataFrame
-    stats: DataFrame
     skipped: DataFrame
-    problems: DataFrame
+    bars: DataFrame
+    events: DataFrame
     config: BacktestConfig
     iv_source: str
 
+    @cached_property
+    def equity(self) -> DataFrame:
+        """The running curve of the trades."""
+        return equity_curve(self.trades, self.config.compound)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """A row per ticker; see ``trade_stats``."""
+        return trade_stats(self.trades, self.config)
+
+    @cached_property
+    def problems(self) -> DataFrame:
+        """What is wrong with a ticker's bars or positions, where nothing was raised; see ``input_problems``."""
+        return input_problems(self.bars, self.events, self.config)
+
     def summary_table(self) -> DataFrame:
         """The figures for people; see ``summary_table``."""
         return summary_table(self.stats)
@@ -283,8 +296,7 @@ def run_backtest(
             raise BacktestError("a capital basis is not positive")
         if cfg.compound and trades.where(F.col("return") <= -1).limit(1).count():
             raise BacktestError("returns at or below -100% cannot be compounded")
-    equity = equity_curve(trades, cfg.compound)
-    return BacktestResult(trades, equity, trade_stats(trades, cfg), skipped, input_problems(bars, events, cfg), cfg, source)
+    return BacktestResult(trades, skipped, bars, events, cfg, source)
 
 
 def _with_curve(trades: DataFrame, compound: bool) -> DataFrame:
