@@ -285,7 +285,7 @@ def test_supplied_volatilities(spark, sample, events):
     known = entry.select("ticker", "session_date", F.lit(0.35).alias("implied_vol"), close_ny.alias("observed_at"))
     assert backtest.run_backtest(bars, events, implied_vols=known, strict=True).trades.count() == 7
     late = known.withColumn("observed_at", F.col("observed_at") + F.expr("interval 1 second"))
-    assert backtest.run_backtest(bars, events, implied_vols=late).trades.count() == 0
+    assert backtest.run_backtest(bars, events, implied_vols=late, strict=False).trades.count() == 0
     with pytest.raises(BacktestError, match="timestamps"):
         backtest.run_backtest(bars, events, implied_vols=late, strict=True)
     with pytest.raises(BacktestError):
@@ -384,9 +384,29 @@ def test_problems_are_told_where_nothing_is_raised(spark, sample, events):
     first = bars.agg(F.min("date")).first()[0]
     assert backtest.run_backtest(bars, events).problems.count() == 0
     bad = bars.withColumn("close", F.when(F.col("date") == first, F.lit(float("nan"))).otherwise(F.col("close")))
-    assert [r["problem"] for r in backtest.run_backtest(bad, events).problems.collect()] == ["1 closes are not finite and positive"]
+    assert [r["problem"] for r in backtest.run_backtest(bad, events, strict=False).problems.collect()] == ["1 closes are not finite and positive"]
     twice = bars.unionByName(bars.where(F.col("date") == first))
-    assert [r["problem"] for r in backtest.run_backtest(twice, events).problems.collect()] == ["prices need unique session dates"]
+    assert [r["problem"] for r in backtest.run_backtest(twice, events, strict=False).problems.collect()] == ["prices need unique session dates"]
     short = bars.orderBy("date").limit(5)
     found = {r["problem"] for r in backtest.input_problems(short, events, backtest.BacktestConfig()).collect()}
     assert found == {"5 sessions; one holding period needs 8", "event positions must be finite, unique and inside the history"}
+
+
+def test_bad_inputs_raise_by_default(spark, sample, events):
+    bars = sample[0]
+    with pytest.raises(SchemaError, match="finite"):
+        backtest.run_backtest(bars.withColumn("close", F.lit(-1.0)), events)
+    with pytest.raises(SchemaError, match="unique session"):
+        backtest.run_backtest(bars.unionByName(bars.limit(1)), events)
+    with pytest.raises(BacktestError, match="no events"):
+        backtest.run_backtest(bars, events.limit(0))
+    with pytest.raises(BacktestError, match="history"):
+        backtest.run_backtest(bars, events, BacktestConfig(min_history_events=50))
+
+
+def test_returns_that_cannot_be_compounded_are_told(spark):
+    rows = [("A", 1.0, -1.5), ("A", 2.0, 0.1), ("B", 0.0, None), ("C", 1.0, -1.0), ("D", 1.0, 0.3)]
+    trades = spark.createDataFrame(rows, "ticker string, capital_basis double, return double")
+    told = lambda cfg: {(r["ticker"], r["problem"]) for r in backtest.return_problems(trades, cfg).collect()}
+    assert told(BacktestConfig()) == {("B", "1 trades have no positive capital basis")}
+    assert told(BacktestConfig(compound=True)) == {("B", "1 trades have no positive capital basis"), ("A", "1 returns at or below -100% cannot be compounded"), ("C", "1 returns at or below -100% cannot be compounded")}

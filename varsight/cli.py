@@ -14,13 +14,13 @@ from collections.abc import Callable
 from datetime import date
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
 from .config import ESTIMATORS, STRUCTURES, BacktestConfig, DecompositionConfig
 from .errors import VarsightError
-from .operators import alignment, backtest, cone, decomposition, premium, quality, report
+from .operators import alignment, backtest, cone, counters, decomposition, premium, quality, report
 from .session import build_session
 from .sources import store, tables
 
@@ -174,9 +174,9 @@ def _section(title: str, rows: list[tuple[str, str]]) -> None:
         print(f"  {name:<28}{value:>14}")
 
 
-def _report(summary: list, placed: dict, premium_rows: dict, source: str, stats: dict, tickers_failed: dict) -> None:
-    for row in summary:
-        t = row["ticker"]
+def _report(rows: list[Row], source: str) -> None:
+    for done in sorted((r for r in rows if r["summary"] is not None), key=lambda r: r["ticker"]):
+        t, row = done["ticker"], done["summary"]
         _section(
             f"{t}: {row['n_events']} events",
             [
@@ -188,21 +188,21 @@ def _report(summary: list, placed: dict, premium_rows: dict, source: str, stats:
                 ("clamped", number(row["clamp_rate"], True)),
             ],
         )
-        print(f"  events: {placed.get(t, 'none')}")
+        print(f"  events: {done['placed'] or 'none'}")
         if row["clamp_rate"] is not None and row["clamp_rate"] > CLAMP_WARNING:
             print(f"  warning: {number(row['clamp_rate'], True)} of the jumps were clamped at zero")
-        if t in premium_rows:
-            v = premium_rows[t]
+        if done["premium"] is not None:
+            v = done["premium"]
             _section("premium", [("mean", number(v["mean_vrp"], True)), ("median", number(v["median_vrp"], True)), ("hit rate", number(v["hit_rate"], True)), ("t", number(v["t_stat"]))])
             print(f"  implied moves: {source}")
-        if t in stats:
-            s = stats[t]
+        if done["stats"] is not None:
+            s = done["stats"]
             _section(
                 "backtest",
                 [("trades", number(s["n_trades"], digits=0)), ("win rate", number(s["win_rate"], True)), ("mean return", number(s["mean_return"], True)), ("Sharpe", number(s["sharpe_ratio"])), ("drawdown", number(s["max_drawdown"], True))],
             )
-    for t, why in tickers_failed.items():
-        print(f"\n{t}: failed: {why}")
+    for done in sorted((r for r in rows if r["failure"] is not None), key=lambda r: r["ticker"]):
+        print(f"\n{done['ticker']}: failed: {done['failure']}")
 
 
 def analyze(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -214,58 +214,95 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> int:
     bt = None if args.no_backtest else settings(args, BacktestConfig)
     tickers = resolve_tickers(spark, args)
     raw, announcements = _inputs(spark, args, tickers)
-    bars_in = quality.coerce_bars(raw)
+    bars_in, seen_bars = counters.observe_bars(quality.coerce_bars(raw))
     verdict = quality.with_verdict(quality.violations(bars_in), min_rows=cfg.back_need + cfg.forward_need + 1).select("ticker", "valid", "problems").persist()
-    failed = {r["ticker"]: "; ".join(r["problems"]) for r in verdict.where("not valid").collect()}
     asked = spark.createDataFrame([(t,) for t in tickers], "ticker string")
-    failed |= {r["ticker"]: "no bars" for r in asked.join(verdict, "ticker", "left_anti").collect()}
-    if failed and args.fail_fast:
-        raise VarsightError(f"{next(iter(failed))}: {next(iter(failed.values()))}")
+    everyone = verdict.select("ticker").union(asked).distinct().join(verdict, "ticker", "left")
+    unfit = F.when(F.col("valid").isNull(), F.lit("no bars")).when(~F.col("valid"), F.concat_ws("; ", "problems"))
+    everyone = everyone.select("ticker", unfit.alias("unfit"))
+    if args.fail_fast:
+        first = everyone.where("unfit is not null").orderBy("ticker").first()
+        if first:
+            raise VarsightError(f"{first['ticker']}: {first['unfit']}")
     bars = bars_in.dropna(subset=list(quality.PRICES)).join(verdict.where("valid"), "ticker", "left_semi")
     if args.strict_gaps:
         gaps = quality.detect_gaps(bars)
-        failed |= {r["ticker"]: r["description"] for r in quality.describe_gaps(gaps).collect()}
+        everyone = everyone.join(quality.describe_gaps(gaps), "ticker", "left").select("ticker", F.coalesce("unfit", "description").alias("unfit"))
         bars = bars.join(gaps, "ticker", "left_anti")
     bars = bars.persist()
     events = decomposition.decompose_events(bars, announcements, cfg).persist()
-    summary = decomposition.summarize(events).persist()
+    try:
+        return _deliver(args, cfg, bt, bars, announcements, events, everyone, seen_bars)
+    finally:
+        events.unpersist()
+        bars.unpersist()
+        verdict.unpersist()
+
+
+def _deliver(
+    args: argparse.Namespace, cfg: DecompositionConfig, bt: BacktestConfig | None, bars: DataFrame, announcements: DataFrame, events: DataFrame, everyone: DataFrame, seen_bars: Observation
+) -> int:
+    """One job makes a row per ticker of all stages; each table that was asked for is one more.
+
+    Counts come from the jobs themselves.  Rows of tickers reach the driver only where they are printed.
+    """
+    summary = decomposition.summarize(events)
     iv = None if args.implied_vol is None else args.implied_vol / 100
     vrp = premium.volatility_risk_premium(events, implied_vols=iv, days_to_expiry=args.iv_days, trim_quantile=args.trim, annualized=cfg.annualized)
-    result, broken = None, None
+    result, broken, stats = None, None, None
     if bt is not None:
+        stats = everyone.sparkSession.createDataFrame([], "ticker string")
         try:
-            result = backtest.run_backtest(bars, events, bt, cfg, implied_vols=iv, implied_vol_days=args.iv_days if iv else None)
+            result = backtest.run_backtest(bars, events, bt, cfg, implied_vols=iv, implied_vol_days=args.iv_days if iv else None, strict=False)
         except VarsightError as e:
             broken = e
-    nothing = spark.createDataFrame([], "ticker string")
-    everyone = verdict.select("ticker").union(asked)
-    stages = report.stage_status(everyone, summary, vrp.stats, None if bt is None else nothing if result is None else result.stats).persist()
-    if args.save_csv:
-        store.write_csv(events, f"{args.outdir}/events")
-        store.write_csv(alignment.align_events(bars, announcements, cfg), f"{args.outdir}/alignment")
-        if result is not None:
-            store.write_csv(result.trades, f"{args.outdir}/trades")
-        store.write_stages(stages, f"{args.outdir}/stages")
-    if broken is not None:
-        raise broken
-    unaligned = stages.where("stages['decomposition'] = 'failed'").select("ticker").collect()
-    failed = {r["ticker"]: "no event could be aligned" for r in unaligned} | failed
-    lost = {r["ticker"]: "no event with enough history to trade" for r in stages.where("stages['decomposition'] = 'ok' and stages['backtest'] = 'failed'").collect()}
-    if not args.quiet:
-        if not args.summary_only:
-            placed = {r["ticker"]: r["description"] for r in alignment.describe(alignment.align_events(bars, announcements, cfg)).collect()}
-            _report(summary.collect(), placed, {r["ticker"]: r for r in vrp.stats.collect()}, vrp.source, {} if result is None else {r["ticker"]: r for r in result.stats.collect()}, failed | lost)
-        if args.show_events:
+    why = F.lit("no event with enough history to trade")
+    if result is not None:
+        result.trades.persist()
+        problems = result.problems.groupBy("ticker").agg(F.array_join(F.sort_array(F.collect_set("problem")), "; ").alias("problem"))
+        stats = result.stats.join(problems, "ticker", "left_anti")
+        everyone, why = everyone.join(problems, "ticker", "left"), F.coalesce("problem", why)
+    aligned, seen_aligned = counters.observe_alignment(alignment.align_events(bars, announcements, cfg))
+    done = report.outcomes(everyone, summary, vrp.stats, stats).join(alignment.describe(aligned), "ticker", "left")
+    failure = F.when(F.col("unfit").isNotNull(), F.col("unfit")).when(F.col("stages.decomposition") == "failed", F.lit("no event could be aligned")).when(F.col("stages.backtest") == "failed", why)
+    done = done.select("ticker", "stages", "summary", "premium", "stats", F.col("description").alias("placed"), failure.alias("failure")).persist()
+    try:
+        counted, seen = counters.observe_stages(done)
+        told = not args.quiet and not args.summary_only
+        if told:
+            rows = counted.collect()
+        else:
+            counted.write.format("noop").mode("overwrite").save()
+        if args.save_csv:
+            store.write_csv(events, f"{args.outdir}/events")
+            store.write_csv(alignment.align_events(bars, announcements, cfg), f"{args.outdir}/alignment")
+            if result is not None:
+                store.write_csv(result.trades, f"{args.outdir}/trades")
+            store.write_stages(done.select("ticker", "stages"), f"{args.outdir}/stages")
+        if broken is not None:
+            raise broken
+        log.info("bars %s, announcements %s, tickers %s", seen_bars.get, seen_aligned.get, seen.get)
+        if told:
+            _report(rows, vrp.source)
+        if args.show_events and not args.quiet:
             report.event_table(events).orderBy("ticker", "place").show(200, truncate=False)
-        if result is not None and summary.count() > 1:
+        if result is not None and not args.quiet and seen.get["n_decomposition_ok"] > 1:
             report.cross_section(summary, result.stats).show(200, truncate=False)
+        _charts(args, bars, events, vrp.per_event, result)
+        return seen.get["n_failed"]
+    finally:
+        done.unpersist()
+        if result is not None:
+            result.trades.unpersist()
+
+
+def _charts(args: argparse.Namespace, bars: DataFrame, events: DataFrame, per_event: DataFrame, result: backtest.BacktestResult | None) -> None:
     if args.plot:
-        charts = {"cone": cone.vol_cone(bars, estimator=args.estimator), "jumps": report.jump_histogram(events), "timeline": report.decomposition_timeline(events), "premium": report.premium_scatter(vrp.per_event)}
+        charts = {"cone": cone.vol_cone(bars, estimator=args.estimator), "jumps": report.jump_histogram(events), "timeline": report.decomposition_timeline(events), "premium": report.premium_scatter(per_event)}
         if result is not None:
             charts["pnl"] = report.pnl_chart(result.equity)
         for name, df in charts.items():
             df.write.mode("overwrite").format(args.backend).options(**({"header": True} if args.backend == "csv" else {})).save(f"{args.outdir}/charts/{name}")
-    return len({**failed, **lost})
 
 
 def main(argv: list[str] | None = None) -> int:

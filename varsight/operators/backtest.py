@@ -59,8 +59,8 @@ class BacktestResult:
 
     @cached_property
     def problems(self) -> DataFrame:
-        """What is wrong with a ticker's bars or positions, where nothing was raised; see ``input_problems``."""
-        return input_problems(self.bars, self.events, self.config)
+        """What is wrong with a ticker's bars, positions or returns, where nothing was raised; see ``input_problems`` and ``return_problems``."""
+        return input_problems(self.bars, self.events, self.config).unionByName(return_problems(self.trades, self.config))
 
     def summary_table(self) -> DataFrame:
         """The figures for people; see ``summary_table``."""
@@ -88,6 +88,15 @@ def input_problems(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) -> D
     return b.join(e, "ticker", "left").select("ticker", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("problem"))
 
 
+def return_problems(trades: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """``(ticker, problem)``: trades without a positive capital basis, and returns that cannot be compounded where they are to be."""
+    found = trades.groupBy("ticker").agg(F.count(F.when(~F.coalesce(F.col("capital_basis") > 0, F.lit(False)), 1)).alias("basis"), F.count(F.when(F.col("return") <= -1, 1)).alias("ruin"))
+    cases = [F.when(F.col("basis") > 0, F.format_string("%d trades have no positive capital basis", "basis"))]
+    if cfg.compound:
+        cases.append(F.when(F.col("ruin") > 0, F.format_string("%d returns at or below -100%% cannot be compounded", "ruin")))
+    return found.select("ticker", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("problem"))
+
+
 def validate_inputs(bars: DataFrame, events: DataFrame, cfg: BacktestConfig) -> None:
     """Raise on repeated dates, bad closes or bad event positions, in two aggregations."""
     for c in ("return_position", "sigma_baseline", "abs_event_return"):
@@ -194,10 +203,14 @@ def run_backtest(
     events_config: DecompositionConfig | None = None,
     implied_vols: float | DataFrame | None = None,
     implied_vol_days: int | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> BacktestResult:
     """Trade every usable event.
 
+    By default bad inputs raise: repeated dates, closes that are not positive, short histories, positions outside them,
+    no usable event, a capital basis that is not positive, returns of -100 % or less that are to be compounded.  A universe of which
+    a few tickers are bad runs with ``strict=False``, where nothing raises and ``problems`` tells the same by ticker.
+
     ``implied_vols`` is a number, or a table ``(ticker, session_date,
     implied_vol, observed_at)`` whose observations must be no later than 16:00
     New York time of the entry session; an event with a missing, bad or later

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +28,31 @@ def _wrong(name: str, condition: Column) -> list[Column]:
     return [F.count(F.when(hit, 1)).alias(f"n_{name}"), F.min(F.when(hit, F.col("date"))).alias(f"first_{name}")]
 
 
+def _whole() -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in PRICES])
+
+
+def row_rules(allow_zero_volume: bool = True) -> dict[str, Column]:
+    """By name, what is wrong with a row that has all prices; null counts as right."""
+    rules = {f"nonpositive_{c}": F.col(c) <= 0 for c in PRICES}
+    rules["high_below_low"] = F.col("high") < F.col("low")
+    rules |= {f"{c}_outside": (F.col(c) < F.col("low")) | (F.col(c) > F.col("high")) for c in ("open", "close")}
+    rules["negative_volume"] = F.col("volume") < 0
+    rules["zero_volume"] = F.lit(False) if allow_zero_volume else F.col("volume") == 0
+    return {name: _whole() & rule for name, rule in rules.items()}
+
+
 def violations(bars: DataFrame, allow_zero_volume: bool = True) -> DataFrame:
     """A row per ticker with counts of every broken rule, in one aggregation.
 
     Rows without all prices count as ``n_incomplete`` and under no other price rule.
     """
-    whole = F.lit(True)
-    for c in PRICES:
-        whole = whole & F.col(c).isNotNull()
-    rows = bars.withColumn("_whole", whole)
-    once = Window.partitionBy("ticker", "date")
-    rows = rows.withColumn("_copies", F.count(F.lit(1)).over(once))
-
-    def when_whole(condition: Column) -> Column:
-        return F.col("_whole") & condition
-
-    checks = [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_whole"), 1)).alias("n_complete"), F.count(F.when(~F.col("_whole"), 1)).alias("n_incomplete")]
+    rows = bars.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("ticker", "date")))
+    whole = _whole()
+    checks = [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(whole, 1)).alias("n_complete"), F.count(F.when(~whole, 1)).alias("n_incomplete")]
     checks += _wrong("duplicated", F.col("_copies") > 1)
-    for c in PRICES:
-        checks += _wrong(f"nonpositive_{c}", when_whole(F.col(c) <= 0))
-    checks += _wrong("high_below_low", when_whole(F.col("high") < F.col("low")))
-    for c in ("open", "close"):
-        checks += _wrong(f"{c}_outside", when_whole((F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))))
-    checks += _wrong("negative_volume", when_whole(F.col("volume") < 0))
-    checks += _wrong("zero_volume", when_whole(F.col("volume") == 0) if not allow_zero_volume else F.lit(False))
+    for name, rule in row_rules(allow_zero_volume).items():
+        checks += _wrong(name, rule)
     return rows.groupBy("ticker").agg(*checks)
 
 

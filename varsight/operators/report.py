@@ -36,7 +36,7 @@ def universe_cross_section(bars: DataFrame, announcements: DataFrame, config: De
     both start from them, and the bars are framed once for each of the two.
     """
     events = settled(decompose_events(bars, announcements, config))
-    return cross_section(summarize(events), run_backtest(bars, events, backtest, config).stats)
+    return cross_section(summarize(events), run_backtest(bars, events, backtest, config, strict=False).stats)
 
 
 def jump_histogram(events: DataFrame, bins: int = 20) -> DataFrame:
@@ -108,3 +108,20 @@ def stage_status(tickers: DataFrame, summary: DataFrame, premium_stats: DataFram
     state(trade_stats, "backtest", "failed")
     names = ("decomposition", "vrp", "backtest")
     return out.select("ticker", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("stages"))
+
+
+def outcomes(tickers: DataFrame, summary: DataFrame, premium_stats: DataFrame | None, trade_stats: DataFrame | None) -> DataFrame:
+    """``(ticker, stages, summary, premium, stats)``: what ``stage_status`` tells and the figures themselves, a row per ticker.
+
+    The figures are null where a stage has none, so that one job over this frame
+    gives a whole run's report.  Further columns of ``tickers`` stay.
+    """
+    out = tickers.dropDuplicates(["ticker"])
+    status = []
+    for stage, name, rows, lost in (("decomposition", "summary", summary, "failed"), ("vrp", "premium", premium_stats, "skipped"), ("backtest", "stats", trade_stats, "failed")):
+        if rows is None:
+            out, state = out.withColumn(name, F.lit(None).cast("struct<ticker: string>")), F.lit("skipped")
+        else:
+            out, state = out.join(rows.select("ticker", F.struct(*rows.columns).alias(name)), "ticker", "left"), F.when(F.col(name).isNotNull(), "ok").otherwise(lost)
+        status += [F.lit(stage), state]
+    return out.select(*tickers.columns, F.create_map(*status).alias("stages"), "summary", "premium", "stats")

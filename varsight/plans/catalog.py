@@ -54,7 +54,7 @@ class Inputs:
         return decomposition.decompose_events(self.bars, self.announcements, cfg)
 
     def trades(self, cfg: BacktestConfig = BT, **more) -> backtest.BacktestResult:
-        return backtest.run_backtest(self.bars, self.events(), cfg, C2C, **more)
+        return backtest.run_backtest(self.bars, self.events(), cfg, C2C, strict=False, **more)
 
     def damaged(self) -> DataFrame:
         """Bars with rows broken by rule: the thirteenth of a month has its high below its low."""
