@@ -9,9 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 BATCH_BYTES = 8 << 20
 _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # names of glibc's mallopt settings
@@ -100,6 +100,45 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def smallest(rows: DataFrame, k: int, mark: Column, by: str | None = None) -> DataFrame:
+    """The ``k`` rows of smallest ``mark``, a 64-bit hash, of all rows or of each value of the column ``by``, which is not null.
+
+    Equal rows count once; rows of equal marks follow by their columns.  The
+    result does not depend on how rows are dealt, and no task reads the best
+    rows of all others: hashes are spread evenly, so a count tells a bound below
+    which about ``2 * k`` rows lie, which each task applies to its own rows.  Where
+    fewer than ``k`` different rows lie below it, as repeated rows were counted too,
+    it is raised.  A count and a bound for each value of ``by`` reach the driver.
+    """
+    spark = rows.sparkSession
+    columns, into, bound = rows.columns, free_name(rows, "mark"), free_name(rows, "bound")
+    marked = rows.withColumn(into, mark)
+
+    def sizes(df: DataFrame) -> dict:
+        return {r[0]: r[1] for r in df.groupBy(by).count().collect()} if by else {None: df.count()}
+
+    share = {g: 2 * k / max(n, 1) for g, n in sizes(rows).items()}
+    while True:
+        below = {g: min(int(s * (1 << 64)), (1 << 64) - 1) - (1 << 63) for g, s in share.items()}
+        if by:
+            bounds = spark.createDataFrame(list(below.items()), StructType([StructField(by, rows.schema[by].dataType), StructField(bound, LongType())]))
+            near = marked.join(bounds, by).where(F.col(into) <= F.col(bound))
+        else:
+            near = marked.where(F.col(into) <= F.lit(below[None]).cast("long"))
+        near = materialize(near.select(*columns, into).distinct(), "sample")
+        have = sizes(near)
+        short = [g for g, s in share.items() if s < 1 and have.get(g, 0) < k]
+        if not short:
+            break
+        for g in short:
+            share[g] *= 8
+    order = [into, *columns]
+    if by is None:
+        return near.orderBy(*order).limit(k).select(*columns)
+    place = free_name(near, "place")
+    return near.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(place) <= k).select(*columns)
+
+
 def crc_mod4(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; the held-out fold is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

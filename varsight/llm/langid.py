@@ -26,12 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textkernels as tk
-from .common import is_held_out, map_arrow, materialize, tokenizer_path
+from .common import is_held_out, map_arrow, materialize, smallest, tokenizer_path
 
 WORD_BYTES = 32
 CACHE_WORDS = 1_000_000
@@ -270,15 +270,14 @@ def _expect(model: object) -> Callable:
 def fit(documents: DataFrame, cfg: LanguageConfig = DEFAULT) -> LanguageModel:
     """Learn from rows outside the held-out fold whose language and text are known.
 
-    One pass over the ids chooses the texts of all languages; of rows that
-    repeat an id and language any one stands for all.
+    The ids are counted by language and then filtered by a bound on their hash,
+    which chooses the texts of all languages at once; rows that repeat an id
+    and language count as one.
     """
     sc = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    # Spark keeps the first rows of each language per task before it shuffles
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.texts).select("doc_id", "lang").distinct()
+    chosen = smallest(rows.select("doc_id", "lang"), cfg.texts, F.xxhash64("doc_id"), by="lang")
     # as many rows as texts of each language are learned from: two numbers each, so the texts stay where they are
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
     words = sample.transform(map_arrow, _count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textkernels as tk
-from .common import free_name, is_held_out, map_arrow
+from .common import free_name, is_held_out, map_arrow, smallest
 
 BLOCK_CHARS = 1 << 20
 
@@ -270,7 +270,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig = DEFAULT)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows)
+    chosen = smallest(chosen, cfg.fit_rows, F.xxhash64("doc_id"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("mark"))
 
