@@ -8,11 +8,14 @@ executors.  A payload that another record holds already becomes a revisit
 record, which refers to that record and repeats no payload.
 
 Reading parses archives member by member and sorts each archive's captures by
-URL key, time and record; these runs are written to the shared folder.  They
-are merged externally: captures are dealt by ranges of the whole order, so many
-that a range has a bounded number of them at any size and however often a key
-occurs, and a task merges its range of every run with a loser tree.  Ranges
-follow each other, so the whole index is in order.
+URL key, time and record.  A task merges the runs of its archives into longer
+ones, up to a bound of captures, and these are written to the shared folder.
+They are merged externally: captures are dealt by ranges of the whole order, so
+many that a range has a bounded number of them at any size and however often a
+key occurs, and a task merges its range of every run with loser trees.  No tree
+has more than ``fan_in`` runs open: where a range meets more, as many at a time
+become one, in passes, until so many are left.  Ranges follow each other, so the
+whole index is in order.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import gzip
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from itertools import batched, pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -45,7 +49,8 @@ class WarcConfig:
     """least_payload: bytes from which equal payloads are written once.
     archive_bytes: compressed bytes after which an archive is closed; a record
     is never cut.  salts: parts into which the copies of one payload are dealt.
-    merge_rows: captures of a range that one task merges, on average.
+    merge_rows: captures of a range that one task merges, on average, and those
+    from which a task closes a run.  fan_in: runs that a merge has open.
     crawl_start: time of the first capture; a page is captured as many seconds
     later as its id says, modulo a year.
     """
@@ -54,6 +59,7 @@ class WarcConfig:
     archive_bytes: int = 8 << 20
     salts: int = 32
     merge_rows: int = 100_000
+    fan_in: int = 64
     crawl_start: datetime = datetime(2024, 1, 1, tzinfo=UTC)
 
 
@@ -220,24 +226,47 @@ def _number(value: str) -> int | None:
     return int(digits) if digits else None
 
 
-def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted run of captures of each archive; payloads are checked by digest."""
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            run = []
-            for head, at, block in parse_records(content):
-                kind = head["warc-type"]
-                if kind == "warcinfo":
-                    continue
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
-                digest = head["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
-                    raise ValueError(f"{path} at {at}: the payload does not match its digest")
-                refers = _number(head["warc-refers-to"]) if kind == "revisit" else None
-                run.append((url_key(head["warc-target-uri"]), head["warc-date"], _number(head["warc-record-id"]), kind, refers, size, digest, path, at))
-            run.sort(key=_order)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run, strict=True), _TYPES, strict=True)] if run else [pa.array([], t) for t in _TYPES], _NAMES)
+def _archive_run(path: str, content: bytes) -> list[tuple]:
+    """The captures of an archive in order; payloads are checked by digest."""
+    run = []
+    for head, at, block in parse_records(content):
+        kind = head["warc-type"]
+        if kind == "warcinfo":
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
+        digest = head["warc-payload-digest"].removeprefix("sha1:")
+        if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+            raise ValueError(f"{path} at {at}: the payload does not match its digest")
+        refers = _number(head["warc-refers-to"]) if kind == "revisit" else None
+        run.append((url_key(head["warc-target-uri"]), head["warc-date"], _number(head["warc-record-id"]), kind, refers, size, digest, path, at))
+    return sorted(run, key=_order)
+
+
+def _captures(cfg: WarcConfig) -> Callable:
+    """Archives ``path, content`` to runs of captures, each in order and named after its first archive."""
+
+    def merged(runs: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        name = min(r[0][7] for r in runs)
+        for batch in _in_batches(merge_runs(runs, cfg.fan_in)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([name] * batch.num_rows, pa.string())], [*_NAMES, "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[list[tuple]] = []
+        rows = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = _archive_run(path, content)
+                if found:
+                    runs.append(found)
+                    rows += len(found)
+                if rows >= cfg.merge_rows:
+                    yield from merged(runs)
+                    runs, rows = [], 0
+        if runs:
+            yield from merged(runs)
+
+    return run
 
 
 _TYPES = [pa.int64() if " long" in c else pa.string() for c in _CAPTURE.split(", ")]
@@ -289,25 +318,33 @@ class LoserTree:
             self._settle(run)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge_runs(runs: list[list[tuple]], fan_in: int, key: Callable = _order) -> LoserTree:
+    """Sorted runs as one sorted stream, with at most ``fan_in`` of them open in any tree."""
+    while len(runs) > fan_in:
+        runs = [list(LoserTree(runs[k : k + fan_in], key)) for k in range(0, len(runs), fan_in)]
+    return LoserTree(runs, key)
+
+
+def _in_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    for some in batched(rows, 8192):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _merge(cfg: WarcConfig) -> Callable:
     """A task's share of every run, each in order, to one sorted stream."""
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            run = runs.setdefault(row[7], [])
-            run.append(row)
-    for run in runs.values():
-        # a range's share of a run comes in order, if its blocks did
-        if any(_order(a) > _order(b) for a, b in zip(run, run[1:], strict=False)):
-            run.sort(key=_order)
-    out: list[tuple] = []
-    for row in LoserTree(list(runs.values())):
-        out.append(row)
-        if len(out) == 8192:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list[tuple]] = {}
+        for batch in batches:
+            for *row, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs.setdefault(name, []).append(tuple(row))
+        for rows in runs.values():
+            # a range's share of a run comes in order, if its blocks did
+            if any(_order(a) > _order(b) for a, b in pairwise(rows)):
+                rows.sort(key=_order)
+        yield from _in_batches(merge_runs(list(runs.values()), cfg.fan_in))
+
+    return run
 
 
 def read_captures(spark: SparkSession, path: str, cfg: WarcConfig = DEFAULT) -> DataFrame:
@@ -317,10 +354,10 @@ def read_captures(spark: SparkSession, path: str, cfg: WarcConfig = DEFAULT) ->
     archive and the offset end the order, so that no two captures are equal in it.
     """
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("path", "content")
-    runs = materialize(archives.transform(map_arrow, _captures, _CAPTURE), "runs")
+    runs = materialize(archives.transform(map_arrow, _captures(cfg), f"{_CAPTURE}, run string"), "runs")
     ranges = max(1, -(-runs.count() // cfg.merge_rows))
     order = ["url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "record_offset"]
-    return runs.repartitionByRange(ranges, *order).transform(map_arrow, _merge, _CAPTURE)
+    return runs.repartitionByRange(ranges, *order).transform(map_arrow, _merge(cfg), _CAPTURE)
 
 
 def archive_pages(pages: DataFrame, cfg: WarcConfig = DEFAULT) -> DataFrame:
