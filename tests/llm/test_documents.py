@@ -65,6 +65,22 @@ def test_sampling_is_generalised_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(jaccard(bag(a, 1), bag(b, 1)), abs=0.035)
 
 
+def test_fingerprint_ranges(spark):
+    """The next document is found over any number of ranges, one row a range and a large group of null ids among them."""
+    rng = random.Random(8)
+    rows = [(None, f"a b c d e f{i % 90}") for i in range(300)] + [(i * i - 50, " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for i in range(40)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(4)
+    edits = {}
+    for chars in (3, 60, 1 << 20):
+        found = fingerprints.compare_edited(df, fingerprints.FingerprintConfig(range_chars=chars)).collect()
+        edits[chars] = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["near_next"]) for r in found)
+    assert edits[3] == edits[60] == edits[1 << 20] and len(edits[3]) == 340
+    known = sorted((d, t) for d, t in rows if d is not None)
+    for (doc_id, text), (_, after) in zip(known, known[1:]):
+        half = len(text) // 2
+        assert (True, doc_id, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()) in {e[:3] for e in edits[3]}
+
+
 def test_fingerprints_awkward(awkward, clashing, nothing, spark):
     rows = fingerprints.compare_edited(awkward).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in awkward_rows())
@@ -153,6 +169,27 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, key=lambda r: r)) == sorted(x for r in runs for x in r)
 
 
+def test_many_runs_are_merged_a_few_at_a_time(monkeypatch):
+    """2,000 runs, some of one row and some empty, with at most 64 open."""
+    rng = random.Random(3)
+    runs = [sorted((rng.randrange(5_000),) for _ in range(rng.choice([0, 1, 1, 2, 9]))) for _ in range(2_000)]
+    opened, plain = [], warc.LoserTree.__init__
+    monkeypatch.setattr(warc.LoserTree, "__init__", lambda self, some, key=warc._order: (opened.append(len(some)), plain(self, some, key))[1])
+    assert list(warc.merge_runs(runs, 64, key=lambda r: r)) == sorted(x for r in runs for x in r)
+    assert max(opened) <= 64 and len(opened) == 33
+
+
+def test_runs_of_many_archives(spark, tmp_path):
+    """Archives of a task become longer runs; the index is that of one archive, whatever the bounds."""
+    pages = [(i, f"http://h{i % 7}.org/p{i % 31}", f"<p>{i % 40}</p>" * 30) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    rows = {}
+    for name, cfg in {"few": warc.WarcConfig(archive_bytes=900, merge_rows=60, fan_in=2), "one": warc.WarcConfig()}.items():
+        found = warc.archive_pages(df, cfg).collect()
+        rows[name] = [(r["url_key"], r["captured"], r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in found]
+    assert rows["few"] == rows["one"] and len(rows["one"]) == 400
+
+
 def notices():
     """Wordings and the names that each belongs to; one wording may stand for several."""
     out = {}

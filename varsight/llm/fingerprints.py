@@ -19,14 +19,14 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import textkernels as tk
-from .common import map_arrow
+from .common import map_arrow, materialize
 
 BLOCK_CHARS = 600_000
 ROWS = 2048  # terms whose values are made at a time
@@ -144,58 +144,79 @@ def fingerprint(documents: DataFrame, cfg: FingerprintConfig = DEFAULT, column:
     return documents.transform(map_arrow, run, schema)
 
 
+def _chained(ids: list[int | None], texts: list[str], cfg: FingerprintConfig) -> pa.RecordBatch:
+    """Results of all texts but the last; each is followed by its next document."""
+    edited = []
+    for text, after in zip(texts[:-1], texts[1:], strict=True):
+        half = len(text) // 2
+        edited.append(text[: len(text) - half] + after[:half])
+    found, some = signatures(texts + edited, cfg)
+    n = len(texts)
+    own, changed = found[: n - 1], found[n:]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids[: n - 1], pa.int64()),
+            pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited], pa.string()),
+            pa.array([as_text(s, k) for s, k in zip(own, some, strict=False)], pa.string()),
+            pa.array([as_text(s, k) for s, k in zip(changed, some[n:], strict=True)], pa.string()),
+            pa.array(likeness(own, changed, some[: n - 1], some[n:])),
+            pa.array(likeness(own, found[1:n], some[: n - 1], some[1:n])),
+        ],
+        _COLUMNS,
+    )
+
+
 def _compare(cfg: FingerprintConfig) -> Callable:
-    """Rows ``(bucket, halo, key, tie, doc_id, text)`` in order to the results of all but halo rows."""
-
-    def results(rows: list[tuple]) -> pa.RecordBatch:
-        """All rows but the last; each is followed by its next document."""
-        texts = [r[3] for r in rows]
-        edited = []
-        for text, after in zip(texts[:-1], texts[1:], strict=True):
-            half = len(text) // 2
-            edited.append(text[: len(text) - half] + after[:half])
-        found, some = signatures(texts + edited, cfg)
-        n = len(rows)
-        own, changed = found[: n - 1], found[n:]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[2] for r in rows[:-1]], pa.int64()),
-                pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited], pa.string()),
-                pa.array([as_text(s, k) for s, k in zip(own, some, strict=False)], pa.string()),
-                pa.array([as_text(s, k) for s, k in zip(changed, some[n:], strict=True)], pa.string()),
-                pa.array(likeness(own, changed, some[: n - 1], some[n:])),
-                pa.array(likeness(own, found[1:n], some[: n - 1], some[1:n])),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+    """A range's ``doc_id, text`` in order to results of all rows but its last, and the texts at its two ends."""
+
+    def inner(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], [*_COLUMNS, "bucket", "end", "text"])
+
+    def end(name: str, bucket: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+        blank = [pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.string()) for _ in range(3)), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *blank, pa.array([bucket], pa.int32()), pa.array([name]), pa.array([text])], [*_COLUMNS, "bucket", "end", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId()
+        ids: list[int | None] = []
+        texts: list[str] = []
+        size, begun = 0, False
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if not begun:
+                    begun = True
+                    yield end("head", bucket, doc_id, text)
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size > BLOCK_CHARS and len(texts) > 1:
+                    yield inner(_chained(ids, texts, cfg))
+                    ids, texts, size = ids[-1:], texts[-1:], len(text)
+        if begun:
+            if len(texts) > 1:
+                yield inner(_chained(ids, texts, cfg))
+            yield end("tail", bucket, ids[-1], texts[-1])
+
+    return run
+
+
+def _compare_ends(cfg: FingerprintConfig) -> Callable:
+    """The last document of a range and the first of the next one, ``doc_id, text, after``, to results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size = 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "text")]
-            for row in zip(*cols, strict=True):
-                if waiting and (waiting[-1][0] != row[0] or waiting[-1][1]):
-                    # the bucket has ended, or its halo was met: further halos repeat an id
-                    if row[0] == waiting[-1][0]:
-                        continue
-                    if len(waiting) > 1:
-                        yield results(waiting)
-                    waiting, size = [], 0
-                waiting.append(row)
-                size += len(row[3])
-                if size > BLOCK_CHARS and len(waiting) > 1:
-                    yield results(waiting)
-                    waiting = waiting[-1:]
-                    size = len(row[3])
-        if len(waiting) > 1:
-            yield results(waiting)
+            for doc_id, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True):
+                if after is None:
+                    raise ValueError("a range of ids is followed by an empty one")
+                yield _chained([doc_id], [text, after], cfg)
 
     return run
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = [c.split()[0] for c in _RESULT.split(", ")]
 
 
 def compare_edited(documents: DataFrame, cfg: FingerprintConfig = DEFAULT) -> DataFrame:
@@ -207,30 +228,28 @@ def compare_edited(documents: DataFrame, cfg: FingerprintConfig = DEFAULT) -> Da
     come first, null texts are empty.  A lone row is its own next.  An empty
     table gives an empty result.
 
-    Ids are cut into ranges of about ``range_chars``, four for each shuffle
-    partition at least, and each range is a task.  The first document of each
-    range is also sent to the range before it, so texts are shuffled once and no
-    order is made over the whole table.  The driver holds one bound per range.
+    Spark deals the rows by ranges of that order, of about ``range_chars`` each and
+    four for each shuffle partition at least, so texts are shuffled once, rows that
+    repeat an id are parted too, and no order is made over the whole table.  A
+    task goes through its range and puts aside the texts at the two ends; results
+    and ends are written, and the last document of each range meets the first
+    of the next one in a join on the number of the range.  Ranges are consecutive:
+    each ends with a row of its own, and only the last may have none.  The driver
+    holds two numbers.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0]
     if chars is None:
         return spark.createDataFrame([], _RESULT)
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // cfg.range_chars))
-    marks = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(marks, dtype=np.int64)))
-
-    @F.pandas_udf(IntegerType())
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, key.to_numpy(), side="right").astype(np.int32))
-
-    rows = rows.withColumn("bucket", range_of("key"))
-    firsts = sorted((r["bucket"], r["key"]) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).collect())
-    before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    halo = spark.createDataFrame(before, "key long, bucket int")
-    halos = rows.drop("bucket").join(F.broadcast(halo), "key").select("bucket", F.lit(True).alias("halo"), "key", "doc_id", "text")
-    rows = rows.select("bucket", F.lit(False).alias("halo"), "key", "doc_id", "text").unionByName(halos)
-    rows = rows.repartitionById(len(firsts), "bucket").sortWithinPartitions("bucket", "halo", "key", F.xxhash64("text"))
-    return rows.transform(map_arrow, _compare(cfg), _RESULT)
+    order = [F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    made = materialize(ranged.transform(map_arrow, _compare(cfg), f"{_RESULT}, bucket int, end string, text string"), "ranges")
+
+    tails = made.where(F.col("end") == "tail").select("bucket", "doc_id", "text")
+    last = tails.agg(F.max("bucket")).first()[0]
+    tails = tails.withColumn("bucket", F.when(F.col("bucket") == last, F.lit(0)).otherwise(F.col("bucket") + 1))
+    heads = made.where(F.col("end") == "head").select("bucket", F.col("text").alias("after"))
+    ends = tails.join(heads, "bucket", "left").select("doc_id", "text", "after")
+    return made.where(F.col("end").isNull()).select(_COLUMNS).unionByName(ends.transform(map_arrow, _compare_ends(cfg), _RESULT))
