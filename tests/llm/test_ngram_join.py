@@ -178,3 +178,25 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert got == {n: find(n) for n in parent}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_settled_edges_take_no_round(spark, monkeypatch):
+    """Stars around their smallest nodes are told as such; a path is not."""
+    stars = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21), (20, 21)], "a long, b long")
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(label) or write(df, label))
+    got = sorted(tuple(r) for r in graph.connected_components(stars).collect())
+    assert got == [(i, 0) for i in range(9)] + [(20, 20), (21, 20)] and len(written) == 1
+    got = sorted(tuple(r) for r in graph.connected_components(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long")).collect())
+    assert got == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_further_links_merge_components(spark):
+    """Links between components, of classes that had none, and within a component, as from all links at once."""
+    schema = "a long, b long"
+    first = [(5, 1), (6, 5), (9, 8), (12, 11)]
+    for second in ([], [(6, 5)], [(9, 6), (20, 12), (31, 30), (6, 1)], [(-3, 9), (9, 12)]):
+        joined = graph.connected_components(spark.createDataFrame(first, schema))
+        got = sorted(tuple(r) for r in nj._merged(joined, spark.createDataFrame(second, schema), nj.DEFAULT).collect())
+        assert got == sorted(tuple(r) for r in graph.connected_components(spark.createDataFrame(first + second, schema)).collect())

@@ -2,51 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
-
-
-def _contract(large: bool) -> Callable:
-    """Rows sorted by (a, b), to edges towards the smallest neighbour of each ``a``.
-
-    Large stars move the neighbours above ``a`` to the smallest of it and its
-    neighbours.  Small stars, whose neighbours all lie below ``a``, move ``a``
-    and the other neighbours to the smallest.  A node's rows stream through:
-    only the last row of a batch is carried over.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = last = low = None
-        for batch in batches:
-            a = batch.column(0).to_numpy()
-            b = batch.column(1).to_numpy()
-            if not len(a):
-                continue
-            new = np.concatenate([[a[0] != node], a[1:] != a[:-1]])
-            fresh = new.copy()
-            fresh[0] |= b[0] != last
-            fresh[1:] |= b[1:] != b[:-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-            least = np.where(start >= 0, b[np.maximum(start, 0)], low if low is not None else 0)
-            node, last, low = a[-1], b[-1], least[-1]
-            if large:
-                keep = fresh & (b > a)
-                ends, hubs = b[keep], np.minimum(least, a)[keep]
-            else:
-                keep = fresh & (b != least)
-                ends, hubs = np.concatenate([b[keep], a[new]]), np.concatenate([least[keep], least[new]])
-            real = ends != hubs
-            if real.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ends[real]), pa.array(hubs[real])], ["a", "b"])
-
-    return run
+from .common import materialize
 
 
 @dataclass(frozen=True)
@@ -65,32 +26,48 @@ class GraphConfig:
 DEFAULT = GraphConfig()
 
 
-def _hubs(edges: DataFrame, cfg: GraphConfig) -> tuple[tuple, list[tuple[int, int]]]:
-    """A mark of the edges, and the nodes ``a`` of too many edges with their smallest neighbour.
+def _hubs(both: DataFrame, cfg: GraphConfig) -> tuple[bool, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of edges in both directions: whether all is stars around smallest nodes, and the hubs with their smallest neighbour.
 
-    A node's edges are counted before they are shuffled.
+    Hubs are the nodes of too many neighbours, then those of too many smaller
+    ones.  A node's edges are counted before they are shuffled.
     """
-    nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark"))
-    total, most, mark = nodes.agg(F.sum("n"), F.max("n"), F.sum("mark")).first()
+    low = F.when(F.col("b") < F.col("a"), F.col("b"))
+    nodes = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count(low).alias("n_low"), F.min("b").alias("least"), F.max(low).alias("low"), F.max("b").alias("high"))
+    # an end of a star has one smaller neighbour and no larger one
+    astray = F.col("low").isNotNull() & ((F.col("low") != F.col("least")) | (F.col("high") > F.col("a")))
+    total, most, unsettled = nodes.agg(F.sum("n"), F.max("n"), F.count(F.when(astray, 1))).first()
     bound = max(cfg.hub_rows, (total or 0) // cfg.hubs)
-    if (most or 0) <= bound:
-        return (total, mark), []
-    return (total, mark), [(r["a"], r["least"]) for r in nodes.where(F.col("n") > bound).select("a", "least").collect()]
+    if not unsettled or most <= bound:
+        return not unsettled, [], []
+    rows = nodes.where(F.col("n") > bound).select("a", "least", "n_low").collect()
+    return False, [(r["a"], r["least"]) for r in rows], [(r["a"], r["least"]) for r in rows if r["n_low"] > bound]
 
 
 def _stars(edges: DataFrame, large: bool, hubs: list[tuple[int, int]], cfg: GraphConfig) -> DataFrame:
-    """Contracted edges.  The edges of hubs go to several tasks, each of which also gets the hub's smallest neighbour."""
-    edges = edges.select("a", "b")
-    if not hubs:
-        return edges.repartition("a").sortWithinPartitions("a", "b").transform(map_arrow, _contract(large), "a long, b long")
-    spark = edges.sparkSession
-    known = F.broadcast(spark.createDataFrame(hubs, "hub long, least long"))
-    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(cfg.hub_parts)).cast("int")).otherwise(F.lit(0))
-    dealt = edges.join(known, F.col("a") == F.col("hub"), "left").select("a", "b", part.alias("part"))
-    heads = spark.createDataFrame([(a, b, k) for a, b in hubs for k in range(cfg.hub_parts)], "a long, b long, part int")
-    rows = dealt.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    # parts of a node that meet in one task follow each other; each starts with the smallest neighbour
-    return rows.select("a", "b").transform(map_arrow, _contract(large), "a long, b long")
+    """Edges towards the smallest neighbour of each ``a``.
+
+    Large stars move the neighbours above ``a`` to the smallest of it and its
+    neighbours.  Small stars, whose neighbours all lie below ``a``, move ``a``
+    and the other neighbours to the smallest.  A node's rows stream through a
+    running frame.  The edges of hubs go to several tasks, each of which also
+    gets the hub's smallest neighbour.
+    """
+    edges, of = edges.select("a", "b"), ["a"]
+    if hubs:
+        spark = edges.sparkSession
+        known = F.broadcast(spark.createDataFrame(hubs, "hub long, least long"))
+        part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(cfg.hub_parts)).cast("int")).otherwise(F.lit(0))
+        dealt = edges.join(known, F.col("a") == F.col("hub"), "left").select("a", "b", part.alias("part"))
+        heads = spark.createDataFrame([(a, b, k) for a, b in hubs for k in range(cfg.hub_parts)], "a long, b long, part int")
+        edges, of = dealt.unionByName(heads), ["a", "part"]
+    mine = Window.partitionBy(*of).orderBy("b")
+    least = F.first("b").over(mine.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = edges.select("a", "b", least.alias("least"), F.lag("b").over(mine).alias("last"))
+    if large:
+        return rows.where("b > a and (last is null or last != b) and b != least(least, a)").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))
+    # the first row, that of the smallest, stands for the node itself
+    return rows.where("last is null or last != b").select(F.when(F.col("last").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
 
 
 def connected_components(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
@@ -98,26 +75,23 @@ def connected_components(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFr
 
     Nodes that no edge between two different nodes names are absent.  A round
     is two shuffles of the edges and at least halves path lengths; its edges go
-    to the shared folder.  Null ends are ignored; an empty edge table gives an
-    empty result.
+    to the shared folder.  Rounds end when every node is the end of one edge or
+    smaller than all its neighbours.  Null ends are ignored; an empty edge table
+    gives an empty result.
 
     A node with very many neighbours is no hot spot: its edges are dealt to
     ``hub_parts`` tasks.  After large stars a node has one edge for each smaller
     neighbour it had, so small stars need that only in the first step.
     """
     down = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    down = materialize(down, "edges")
-    current = materialize(_stars(down, False, _hubs(down, cfg)[1], cfg), "edges")
-    last = None
-    for _ in range(cfg.max_rounds):
+    current = materialize(down, "edges")
+    for step in range(cfg.max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        mark, hubs = _hubs(both, cfg)
-        if mark == last or not mark[0]:
+        settled, hubs, lower = _hubs(both, cfg)
+        if settled:
             break
-        last = mark
-        current = materialize(_stars(_stars(both, True, hubs, cfg), False, [], cfg), "edges")
+        stars = _stars(_stars(both, True, hubs, cfg), False, [], cfg) if step else _stars(current, False, lower, cfg)
+        current = materialize(stars, "edges")
     else:
         raise RuntimeError("components did not settle")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -384,6 +384,16 @@ def _figures(members: DataFrame, figures: DataFrame, cfg: JoinConfig) -> DataFra
     return members.withColumn("salt", F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(cfg.salts)).cast("int")).join(salted, ["family", "salt"], "left").drop("salt")
 
 
+def _merged(joined: DataFrame, links: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """``joined``, as ``connected_components`` gives it, with further links, whose ends are named by their components first."""
+    for end in ("a", "b"):
+        links = links.join(joined, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("component", end)).select("a", "b")
+    more = connected_components(links)
+    nodes = joined.unionByName(more.select("node", F.col("node").alias("component"))).distinct()
+    nodes = _figures(nodes.toDF("class_id", "family"), more.select(F.col("node").alias("family"), "component"), cfg)
+    return nodes.select(F.col("class_id").alias("node"), F.coalesce("component", "family").alias("component"))
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT) -> DataFrame:
     """``(node, component)`` over the class ids that link with another class."""
     spark = docs.sparkSession
@@ -421,8 +431,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
     links = materialize(_links(placed.select("family", "tile", "class_id", F.col("class_id").alias("label"), F.lit(True).alias("probe")), sets, cfg.percent), "links")
     large = members.where("tiles > 1")
     if large.limit(1).count():
-        joined = connected_components(links).select(F.col("node").alias("class_id"), "component")
-        large = large.join(joined, "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).withColumn("own", own).drop("component")
+        joined = connected_components(links)
+        large = large.join(joined, F.col("class_id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("component", "class_id")).withColumn("own", own).drop("component")
         main = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         large = materialize(_figures(large, main, cfg).withColumn("probe", F.col("label") != F.col("main")), "large")
         # a task holds one block of those that ask and one tile of those that answer
@@ -434,7 +444,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, cfg: JoinConfig = DEFAULT)
         answer = large.withColumn("block", all_blocks).select("family", tile, "class_id", "label", F.lit(False).alias("probe"))
         ask = large.where("probe").withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(11)), F.col("blocks"))).withColumn("own", all_tiles)
         ask = ask.select("family", tile, "class_id", "label", "probe")
-        links = links.unionByName(_links(answer.unionByName(ask), sets, cfg.percent))
+        return _merged(joined, _links(answer.unionByName(ask), sets, cfg.percent), cfg)
     return connected_components(links)
 
 
