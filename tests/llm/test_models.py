@@ -359,6 +359,37 @@ def test_secret_candidates(net):
         assert marked & clear.keys() == {x for x, yes in clear.items() if yes} and marked <= set(shown)
 
 
+def test_secret_fit_takes_all_texts(secret_docs, monkeypatch):
+    """All candidates of all texts are examples, and all without a place in the working set end without a loss."""
+    cfg = secrets.SecretConfig(fit_rows=200, epochs=4, share_rows=64)
+    rng = random.Random(3)
+    many = " ".join("".join(rng.choice("aeioubdgkKLT") for _ in range(rng.randint(1, 9))) + rng.choice(["", "+x", "~", "/y", ".", "=", "@b.cd"]) for _ in range(3000))
+    texts = [*[t or "" for t in secret_texts()], many, "a/" * 100 + "b 12-34"]
+    docs = secret_docs.unionByName(secret_docs.sparkSession.createDataFrame([(-i, t, "en", "s", len(t)) for i, t in enumerate(texts[-2:], 1)], SCHEMA))
+    written, write = {}, secrets.materialize
+
+    def keep(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(secrets, "materialize", keep)
+    net = secrets.fit(docs, cfg)
+    want = set()
+    for t in texts:
+        base = secrets.base_spans(t)
+        values = [(e - len(secrets._ASSIGN.match(t, s)[2]) if kind == "assign" else s, e) for kind, s, e in base]
+        shown = [(1, *v) for v in values] + [(0, s, e) for s, e in secrets.other_candidates(t, base) if secrets._HARMLESS.fullmatch(t, s, e)]
+        want |= {(label, secrets.window(t, *piece, cfg).tobytes()) for label, s, e in shown for piece in secrets.pieces(s, e, cfg)}
+    rows = [(r["label"], bytes(r["kinds"]), r["kept"]) for r in written["examples"].collect()]
+    windows = secrets.windows_of([k for _, k, _ in rows], cfg)
+    assert len(rows) == len(want) and {(r[0], w.tobytes()) for r, w in zip(rows, windows, strict=True)} == want
+    margin = net.margin(windows)
+    np.testing.assert_allclose(secrets._Screen(net).margins([k for _, k, _ in rows]), margin, rtol=1e-3, atol=1e-3)
+    working = {(r["label"], bytes(r["kinds"])) for r in written["working"].collect()}
+    lost = {(label, k) for (label, k, kept), m in zip(rows, margin, strict=True) if not kept and (m if label else -m) < 1 - 1e-3}
+    assert 64 < len(working) < len(rows) and lost <= working and not working & {r[:2] for r in rows if r[2]}
+
+
 def test_redaction(secret_docs, awkward, clashing, nothing):
     out = secrets.redact_documents(secret_docs)
     assert out.columns == secret_docs.columns
